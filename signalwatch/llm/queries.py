@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import LOWER, UPPER, contaminated
+from .language_id import identified, page_language, page_text
 from .minhash_dedup import near_duplicates
 from .packing import packed
-from .url_filter import judged
+from .shared import keep, scratch
+from .substring_dedup import repeated_passages
+from .token_counts import commit, counted, deletes, inserts, revisions, totals
+from .url_filter import host_of, judged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +34,22 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, per_cent=85)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches of inserts, one sent twice, a batch of deletes (documents labelled low quality) and one
+    of revisions (documents with long numbers, which are masked)."""
+    docs, path, version = _table(spark, sf_dir, "documents"), word_tokenizer(), "word_bpe_49k"
+    table = f"{scratch(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    counts = keep(counted(docs, path, version))
+    for batch in (0, 1, 2, 3, 0):
+        commit(inserts(counts.where(F.pmod(F.hash("doc_id"), F.lit(4)) == batch)), table, batch)
+    low = _table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    commit(deletes(counts.join(low, "doc_id", "left_semi")), table, 4)
+    masked = docs.where(F.col("text").rlike(r"\d{6}")).join(low, "doc_id", "left_anti").withColumn("text", F.regexp_replace("text", r"\d{6,}", "0"))
+    new = keep(counted(masked, path, version))
+    commit(revisions(counts.join(new.select("doc_id"), "doc_id", "left_semi"), new), table, 5)
+    return totals(spark, table)
+
+
 #: (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -37,6 +59,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document (declared: its lang; host: its source) and every page (declared: its markup; suffix and host: its URL's)."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), F.lit(None).cast("bigint").alias("page_id"), F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), "text")
+    host = host_of(F.col("url"))
+    pages = _table(spark, sf_dir, "pages").select(F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint"), page_language(F.col("html")).alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), host.alias("host"), page_text(F.col("html")).alias("text"))
+    return identified(docs.unionByName(pages))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1, most=2048, with_ids=False)
 
@@ -47,7 +81,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op8_decontamination": op8_decontamination,
 }
