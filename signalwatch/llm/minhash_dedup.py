@@ -10,8 +10,8 @@ Links are exact on what the tables propose, and no group is ever paired out:
 2. In every table bucket the class with most copies leads; each member is checked against its leader. Copies of one text
    thus cost a number of checks in proportion to their number.
 3. Where a bucket still spans several components, its members outside the largest one are checked against all others, in
-   blocks of bounded size: first by the share of equal minhashes (refused 4.5 standard deviations under the threshold),
-   then on the full sets.
+   blocks of bounded size: first by how many of their shingles any other such member has, which bounds the intersection,
+   and by the share of equal minhashes (refused 4.5 standard deviations under the threshold); then on the full sets.
 4. Components are contracted by joins.
 
 Defined results: null or empty text has an empty set and links with nothing; fewer words than a shingle make one shingle of the
@@ -121,9 +121,10 @@ def _rest(rows: DataFrame, m: int, rows_per_key: int, per_cent: int) -> DataFram
             for xs, ys in zip(few, many, strict=True):
                 a = np.frombuffer(b"".join(x["bytes"] for x in xs), np.uint8).reshape(len(xs), -1)
                 b = np.frombuffer(b"".join(y["bytes"] for y in ys), np.uint8).reshape(len(ys), -1)
-                size_b, comp_b, id_b = (np.array([y[k] for y in ys]) for k in ("n_shingles", "component", "doc_id"))
+                size_b, comp_b, id_b, common_b = (np.array([y[k] for y in ys]) for k in ("n_shingles", "component", "doc_id", "common"))
                 for k, x in enumerate(xs):
-                    fit = (comp_b != x["component"]) & (100 * np.minimum(size_b, x["n_shingles"]) >= per_cent * np.maximum(size_b, x["n_shingles"]))
+                    most = np.minimum(common_b, x["common"])
+                    fit = (comp_b != x["component"]) & (100 * most >= per_cent * (size_b + x["n_shingles"] - most))
                     fit[fit] = (b[fit] == a[k]).sum(1) >= least
                     found += [(min(x["doc_id"], int(y)), max(x["doc_id"], int(y))) for y in id_b[fit]]
             found = sorted(set(found))
@@ -152,9 +153,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
     open_keys = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.component").alias("top"), "total")
     waiting = keep(labelled.join(open_keys, "key"))
     if waiting.limit(1).count():
+        # shingles that one waiting class alone has are in no intersection
+        waiters = sets.join(waiting.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        alone = waiters.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+        common = waiters.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size")).join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
         blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-        spread = waiting.join(classes.select("rep", "bytes"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-        row = F.struct(F.col("rep").alias("doc_id"), "component", "n_shingles", "bytes")
+        spread = waiting.join(classes.select("rep", "bytes").join(common, "rep"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+        row = F.struct(F.col("rep").alias("doc_id"), "component", "n_shingles", "common", "bytes")
         few = spread.where("component <> top").groupBy("key", F.col("block").alias("s"), "blocks").agg(F.collect_list(row).alias("few"))
         many = spread.groupBy("key", F.col("block").alias("t")).agg(F.collect_list(row).alias("many"))
         tasks = few.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(many, ["key", "t"]).select("few", "many")

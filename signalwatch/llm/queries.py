@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import LOWER, UPPER, contaminated
+from .embedding_dedup import near_vectors
 from .language_id import identified, page_language, page_text
+from . import quality, toxicity
 from .minhash_dedup import near_duplicates
 from .packing import packed
 from .shared import keep, scratch
@@ -75,10 +77,36 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1, most=2048, with_ids=False)
 
 
+def _judged(scores: DataFrame, parts: int, held: int) -> DataFrame:
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == held
+    return scores.select("doc_id", part.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def _to_learn(labels: DataFrame, parts: int, held: int) -> DataFrame:
+    return labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) != held)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon, curve = toxicity.learned(toxicity.sampled(docs, _to_learn(_table(spark, sf_dir, "labels"), 4, 2), "toxic"))
+    return _judged(toxicity.scored(docs, lexicon, curve), 4, 2)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    vectors, share = quality.word_vectors(docs)
+    model = quality.trained(toxicity.sampled(docs, _to_learn(_table(spark, sf_dir, "labels"), 5, 0), "quality", quality.SAMPLE), "quality", vectors, share)
+    return _judged(quality.scored(docs, model, vectors, share), 5, 0)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
@@ -86,7 +114,10 @@ QUERIES: dict[str, Query] = {
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
