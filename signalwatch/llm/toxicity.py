@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Labelled rows a class that the lexicon is learned from.
 SAMPLE = 20_000
 #: A word enters the lexicon if it is in this share of toxic rows at least, with this log ratio to its share in others.
-LEAST_SHARE, LEAST_WEIGHT = 0.02, 2.5
+LEAST_SHARE, LEAST_WEIGHT = 0.06, 2.5
 #: Words a lexicon holds at most: the heaviest.
 LEXICON = 2_000
 #: Harmless phrases known beforehand; others are learned.
