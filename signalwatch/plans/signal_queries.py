@@ -8,24 +8,10 @@ from pyspark.sql.window import Window
 
 from ..operators import signals as s
 from ..operators import telemetry as t
-from .views import oracle, view
-
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = oracle(sql)
-        return f
-
-    return put
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+from .registry import registry, rounded
+from .views import view
 
+QUERIES, ORACLES, query = registry()
 
 _MA = """WITH m AS (SELECT *, avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS moving_avg FROM v_telemetry)"""
 
