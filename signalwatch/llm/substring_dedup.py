@@ -27,6 +27,8 @@ from .shared import keep
 from .textbytes import SPACE, chunks, mix, power_table
 
 WINDOW, LONGEST = 8, 4096
+#: Bits of a place for the bytes and for the words of a chunk: enough for LONGEST and a character.
+BITS = 13
 _U = np.uint64
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(48)).astype(np.uint16)
 
@@ -60,7 +62,7 @@ def cut_points(offsets: np.ndarray, data: np.ndarray, words_per_chunk: int) -> n
 
 
 def chunked(docs: DataFrame, words_per_chunk: int) -> DataFrame:
-    """(doc_id, chunks array<struct<digest, start, bytes, words>>), start in bytes."""
+    """(doc_id, chunks array<struct<digest, place>>); place holds start, bytes and words of a chunk in one number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, offsets, data in chunks(batch.column(1)):
@@ -76,23 +78,30 @@ def chunked(docs: DataFrame, words_per_chunk: int) -> DataFrame:
                 seen = np.concatenate(([0], np.cumsum(begins)))
                 row = np.searchsorted(offsets[1:], starts, "right")
                 low = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
-                parts = pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), pa.array((starts - offsets[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array((seen[ends] - seen[starts]).astype(np.int32))], ["digest", "start", "bytes", "words"])
+                place = ((starts - offsets[row]) << 2 * BITS) | ((ends - starts) << BITS) | (seen[ends] - seen[starts])
+                parts = pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), pa.array(place.astype(np.int64))], ["digest", "place"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(low), parts)], ["doc_id", "chunks"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, chunks array<struct<digest:bigint,start:int,bytes:int,words:int>>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, chunks array<struct<digest:bigint,place:bigint>>")
 
 
 def passage_chunks(docs: DataFrame, least_words: int = 20, words_per_chunk: int = 4) -> DataFrame:
-    """(doc_id, k, digest, start, bytes, words, passage, first): repeated chunks inside passages. first: not to be cut."""
-    cut = keep(chunked(docs.where("doc_id is not null"), words_per_chunk))
-    often = cut.select("doc_id", F.explode("chunks.digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("digest")
-    each = cut.select("doc_id", F.posexplode("chunks").alias("k", "c")).select("doc_id", "k", "c.*")
+    """(doc_id, digest, start, bytes, words, passage, first, first_doc_id): repeated chunks inside passages. first: not to be cut.
+
+    Texts are cut twice, once to count digests and once to find their places: cheaper than to store all chunks in between.
+    """
+    cut = chunked(docs.where("doc_id is not null"), words_per_chunk)
+    often = cut.select(F.explode(F.array_distinct("chunks.digest")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    each = cut.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.digest", "c.place")
     twice = each.join(often, "digest")
-    by_doc = Window.partitionBy("doc_id").orderBy("k")
-    islands = twice.withColumn("passage", F.col("k") - F.row_number().over(by_doc))
+    part = lambda n: F.col("place").bitwiseAND((1 << BITS) - 1) if n == 0 else F.shiftright("place", BITS).bitwiseAND((1 << BITS) - 1) if n == 1 else F.shiftright("place", 2 * BITS)
+    rows = twice.select("doc_id", "digest", part(2).alias("start"), part(1).alias("bytes"), part(0).alias("words"))
+    by_doc = Window.partitionBy("doc_id").orderBy("start")
+    opens = F.when(F.col("start") == F.lag(F.col("start") + F.col("bytes")).over(by_doc), 0).otherwise(1)
+    islands = rows.withColumn("opens", opens).withColumn("passage", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
     long = keep(islands.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "passage"))).where(F.col("total") >= least_words).drop("total"))
-    origin = long.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("origin"))
-    return long.join(origin, "digest").withColumn("first", (F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.k") == F.col("k"))).withColumn("first_doc_id", F.col("origin.doc_id")).drop("origin")
+    origin = long.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("origin"))
+    return long.join(origin, "digest").withColumn("first", (F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.start") == F.col("start"))).withColumn("first_doc_id", F.col("origin.doc_id")).drop("origin")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, words_per_chunk: int = 4) -> DataFrame:
