@@ -52,15 +52,15 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """(id, hop): vertices at most `hops` undirected steps from seeds (id), with the fewest steps.
 
     Each step is one equi-join of the vertices reached by the step before; the fewest steps of each are picked at the end,
-    so the plan grows in proportion to the hops and nothing is run on the way.
+    so the plan grows in proportion to the hops. Each step is persisted (lost parts are computed again); the caller clears them.
     """
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"))).distinct()
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"))).distinct().persist()
     reached = seeds.select("id").distinct()
     steps = reached.withColumn("hop", F.lit(0))
     for k in range(1, hops + 1):
-        reached = both.join(reached, "id", "left_semi").select(F.col("to").alias("id")).distinct()
+        reached = both.join(reached, "id", "left_semi").select(F.col("to").alias("id")).distinct().persist()
         steps = steps.unionByName(reached.withColumn("hop", F.lit(k)))
-    return steps.groupBy("id").agg(F.min("hop").alias("hop"))
+    return steps.groupBy("id").agg(F.min("hop").alias("hop")).persist()
 
 
 def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "v_entities").where("entity_type = 'GEO'").orderBy(F.desc("updated"), "id").limit(10).select("id", "updated")
 
 
-_HOPS = """WITH both AS (SELECT src AS id, dst AS t FROM v_edges UNION SELECT dst, src FROM v_edges), s AS (SELECT 'ORG-1' AS id), h1 AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT DISTINCT t, 1 FROM both WHERE id IN (SELECT id FROM s)),
-    h2 AS (SELECT * FROM h1 UNION ALL SELECT DISTINCT t, 2 FROM both WHERE id IN (SELECT id FROM h1)), h3 AS (SELECT * FROM h2 UNION ALL SELECT DISTINCT t, 3 FROM both WHERE id IN (SELECT id FROM h2)), seen AS (SELECT id, min(hop) AS hop FROM h3 GROUP BY 1)"""
+_HOPS = """WITH ends AS (SELECT src AS id, dst AS t FROM v_edges UNION SELECT dst, src FROM v_edges), s AS (SELECT 'ORG-1' AS id), h1 AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT DISTINCT t, 1 FROM ends WHERE id IN (SELECT id FROM s)),
+    h2 AS (SELECT * FROM h1 UNION ALL SELECT DISTINCT t, 2 FROM ends WHERE id IN (SELECT id FROM h1)), h3 AS (SELECT * FROM h2 UNION ALL SELECT DISTINCT t, 3 FROM ends WHERE id IN (SELECT id FROM h2)), seen AS (SELECT id, min(hop) AS hop FROM h3 GROUP BY 1)"""
 
 
 def _seen(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +126,7 @@ def f7(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f8_name_grams", f"""WITH n AS (SELECT id, ' ' || {_NORM.format('name')} || ' ' AS p FROM v_entities WHERE entity_type = 'PERSON')
-    SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, length(p) - 2), lambda i: substr(p, CAST(i AS INTEGER), 3))) AS g FROM n) GROUP BY 1, 2""")
+    SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, CAST(i AS INTEGER), 3))) AS g FROM n) GROUP BY 1, 2""")
 def f8(spark: SparkSession, sf: str) -> DataFrame:
     e = view(spark, sf, "v_entities").where("entity_type = 'PERSON'")
     return e.select("id", F.explode(grams(normalized_name(F.col("name")), 3, 3)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
