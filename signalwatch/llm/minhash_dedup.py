@@ -10,8 +10,8 @@ Links are exact on what the tables propose, and no group is ever paired out:
 2. In every table bucket the class with most copies leads; each member is checked against its leader. Copies of one text
    thus cost a number of checks in proportion to their number.
 3. Where a bucket still spans several components, its members outside the largest one are checked against all others, in
-   blocks of bounded size: first by how many of their shingles any other such member has, which bounds the intersection,
-   and by the share of equal minhashes (refused 4.5 standard deviations under the threshold); then on the full sets.
+   blocks of bounded size. Each check of step 2 leaves a bit for every shingle of the leader; the bits that two members share,
+   and the shingles beyond the leader's that others have too, bound their intersection from above. Pairs that pass go to the full sets.
 4. Components are contracted by joins.
 
 Defined results: null or empty text has an empty set and links with nothing; fewer words than a shingle make one shingle of the
@@ -51,7 +51,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle: int, m: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, d0, d1, halves, bytes): size and 128-bit digest of the set, half keys, a byte of each minhash."""
+    """(doc_id, n_shingles, d0, d1, halves): size and 128-bit digest of the set, half keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, times = _seeds(2 * m * rows)
         for batch in batches:
@@ -73,11 +73,10 @@ def signatures(docs: DataFrame, shingle: int, m: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, n), pa.array(size.astype(np.int64)), _signed(digest[0]), _signed(digest[1]),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, dtype=np.int32) * 2 * m), _signed(half.ravel())),
-                    pa.array([x.tobytes() for x in (low >> _U(40)).astype(np.uint8)], pa.binary()),
-                ], ["doc_id", "n_shingles", "d0", "d1", "halves", "bytes"])
+                ], ["doc_id", "n_shingles", "d0", "d1", "halves"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d0 bigint, d1 bigint, halves array<bigint>, bytes binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d0 bigint, d1 bigint, halves array<bigint>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -108,29 +107,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= per_cent * (F.size("as") + F.size("bs") - both)).select("a", "b")
 
 
-def _rest(rows: DataFrame, m: int, rows_per_key: int, per_cent: int) -> DataFrame:
-    """Pairs worth checking between blocks of a bucket, one end outside its largest component: (a, b)."""
-    t = per_cent / 100
-    n = 2 * m * rows_per_key
-    least = math.floor(n * (t - 4.5 * math.sqrt(t * (1 - t) / n)))
+def _led(star: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(rep, leader, shared, linked, bits): each member against its leader; a bit for each shingle of the leader, in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, lead = ((c.flatten().to_numpy(), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy())))) for c in (batch.column(2), batch.column(3)))
+            shared, linked, bits = [], [], []
+            for k in range(batch.num_rows):
+                x, y = own[0][own[1][k] : own[1][k + 1]], lead[0][lead[1][k] : lead[1][k + 1]]
+                has = np.isin(y, x, assume_unique=True)
+                n = int(has.sum())
+                shared.append(n), linked.append(100 * n >= per_cent * (len(x) + len(y) - n)), bits.append(np.packbits(has).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(linked, pa.bool_()), pa.array(bits, pa.binary())], ["rep", "leader", "shared", "linked", "bits"])
+
+    full = star.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("own")), "rep").join(sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("lead")), "leader")
+    return full.select("rep", "leader", "own", "lead").mapInArrow(run, "rep bigint, leader bigint, shared int, linked boolean, bits binary")
+
 
+def _rest(tasks: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs of blocks that may link: (a, b). tasks: few, many; their rows have bits for the same leader."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            few, many = batch.column("few").to_pylist(), batch.column("many").to_pylist()
-            found: list[tuple[int, int]] = []
-            for xs, ys in zip(few, many, strict=True):
-                a = np.frombuffer(b"".join(x["bytes"] for x in xs), np.uint8).reshape(len(xs), -1)
-                b = np.frombuffer(b"".join(y["bytes"] for y in ys), np.uint8).reshape(len(ys), -1)
-                size_b, comp_b, id_b, common_b = (np.array([y[k] for y in ys]) for k in ("n_shingles", "component", "doc_id", "common"))
+            found: set[tuple[int, int]] = set()
+            for at in range(batch.num_rows):
+                xs, ys = batch.column("few")[at].as_py(), batch.column("many")[at].as_py()
+                a, b = (np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (xs, ys))
+                size, of, ids, beyond = (np.array([y[k] for y in ys]) for k in ("n_shingles", "component", "doc_id", "beyond"))
                 for k, x in enumerate(xs):
-                    most = np.minimum(common_b, x["common"])
-                    fit = (comp_b != x["component"]) & (100 * most >= per_cent * (size_b + x["n_shingles"] - most))
-                    fit[fit] = (b[fit] == a[k]).sum(1) >= least
-                    found += [(min(x["doc_id"], int(y)), max(x["doc_id"], int(y))) for y in id_b[fit]]
-            found = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+                    most = np.bitwise_count(b & a[k]).sum(1, dtype=np.int64) + np.minimum(beyond, x["beyond"])
+                    fit = (of != x["component"]) & (100 * most >= per_cent * (size + x["n_shingles"] - most))
+                    found.update((min(x["doc_id"], y), max(x["doc_id"], y)) for y in ids[fit].tolist())
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return tasks.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows: int = 3, miss: float = 1e-4) -> DataFrame:
@@ -138,14 +148,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
     m = half_keys(per_cent / 100, rows, miss)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = keep(signatures(docs, shingle, m, rows))
-    classes = keep(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("halves").alias("halves"), F.first("bytes").alias("bytes")))
+    classes = keep(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("halves").alias("halves")))
     rank = F.struct(-F.col("copies"), F.col("rep"))
     exploded = classes.select(F.explode(table_keys(m)).alias("key"), rank.alias("rank"), "n_shingles")
     led = exploded.groupBy("key").agg(F.min("rank").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = keep(exploded.join(led, "key").select("key", F.col("rank.rep").alias("rep"), F.col("lead.rep").alias("leader"), "n_shingles"))
     sets = keep(full_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
-    star = members.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = keep(confirmed(star, sets, per_cent))
+    star = keep(_led(members.where("rep <> leader").select("rep", "leader").distinct(), sets, per_cent))
+    links = star.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     first = keep(components(links))
     rest = links.limit(0)
     labelled = members.where("rep <> leader").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -153,17 +163,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
     open_keys = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.component").alias("top"), "total")
     waiting = keep(labelled.join(open_keys, "key"))
     if waiting.limit(1).count():
-        # shingles that one waiting class alone has are in no intersection
-        waiters = sets.join(waiting.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        # shingles that one class alone has are in no intersection; with the leaders among the classes, the others beyond a leader's are known
+        there = waiting.select(F.explode(F.array("rep", "leader")).alias("doc_id")).distinct()
+        waiters = sets.join(there, "doc_id", "left_semi")
         alone = waiters.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-        common = waiters.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size")).join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
         blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-        spread = waiting.join(classes.select("rep", "bytes").join(common, "rep"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-        row = F.struct(F.col("rep").alias("doc_id"), "component", "n_shingles", "common", "bytes")
+        beyond = (F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.col("shared")).alias("beyond")
+        marked = star.join(alone, "rep", "left").select("rep", "leader", "shared", "bits", "alone")
+        spread = waiting.join(marked, ["rep", "leader"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+        row = F.struct(F.col("rep").alias("doc_id"), "component", "n_shingles", beyond, "bits")
         few = spread.where("component <> top").groupBy("key", F.col("block").alias("s"), "blocks").agg(F.collect_list(row).alias("few"))
         many = spread.groupBy("key", F.col("block").alias("t")).agg(F.collect_list(row).alias("many"))
         tasks = few.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(many, ["key", "t"]).select("few", "many")
-        rest = confirmed(_rest(tasks, m, rows, per_cent), sets, per_cent)
+        rest = confirmed(_rest(tasks, per_cent), sets, per_cent)
     final = components(links.unionByName(rest))
     named = classes.select("d0", "d1", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d0", "d1", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d0", "d1").join(named, ["d0", "d1", "n_shingles"], "left")
