@@ -36,7 +36,7 @@ _U = np.uint64
 BLOCK = 512
 
 
-def half_keys(threshold: float, rows: int = 3, miss: float = 1e-4) -> int:
+def half_keys(threshold: float, rows: int = 3, miss: float = 2e-4) -> int:
     """How many half keys of `rows` minhashes a collection needs."""
     return max(1, math.ceil(math.log(miss) / math.log1p(-(threshold**rows))))
 
@@ -143,16 +143,17 @@ def _rest(tasks: DataFrame, per_cent: int) -> DataFrame:
     return tasks.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows: int = 3, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows: int = 3, miss: float = 2e-4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id integer, text)."""
     m = half_keys(per_cent / 100, rows, miss)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = keep(signatures(docs, shingle, m, rows))
     classes = keep(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("halves").alias("halves")))
-    rank = F.struct(-F.col("copies"), F.col("rep"))
-    exploded = classes.select(F.explode(table_keys(m)).alias("key"), rank.alias("rank"), "n_shingles")
-    led = exploded.groupBy("key").agg(F.min("rank").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = keep(exploded.join(led, "key").select("key", F.col("rank.rep").alias("rep"), F.col("lead.rep").alias("leader"), "n_shingles"))
+    placed = classes.select(F.explode(table_keys(m)).alias("key"), "rep")
+    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = keep(placed.join(shared, "key").join(classes.select("rep", "copies", "n_shingles"), "rep"))
+    led = met.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("rep"))).alias("lead"))
+    members = keep(met.join(led, "key").select("key", "rep", F.col("lead.rep").alias("leader"), "n_shingles"))
     sets = keep(full_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
     star = keep(_led(members.where("rep <> leader").select("rep", "leader").distinct(), sets, per_cent))
     links = star.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))

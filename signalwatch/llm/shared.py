@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,27 @@ def scratch(spark: SparkSession) -> str:
     return where
 
 
+#: Bytes that go to a Python worker at once in keep(): bounds its memory, and the buffers of its executor.
+BATCH = "8m"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
