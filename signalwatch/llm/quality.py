@@ -110,7 +110,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Two layers and a temperature; inputs are standardised."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 3000) -> None:
         rng = np.random.default_rng(7)
         self.mid, self.scale = x.mean(0), x.std(0) + 1e-6
         order = rng.permutation(len(x))
@@ -119,7 +119,7 @@ class Network:
         self.w = [rng.normal(0, (2 / z.shape[1]) ** 0.5, (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, hidden), np.zeros(1)]
         first, second = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w]
         step, best = 0, (np.inf, self.w)
-        for _ in range(epochs):
+        for _ in range(max(40, -(-steps // max(1, -(-len(own) // 256))))):
             rng.shuffle(own)
             for at in range(0, len(own), 256):
                 a, b = z[own[at : at + 256]], y[own[at : at + 256]]
