@@ -26,7 +26,7 @@ def w8(spark: SparkSession, sf: str) -> DataFrame:
     return _chain(spark, sf)
 
 
-@query("w7_chain_verify", "SELECT chain, count(*) AS entries, CASE WHEN chain % 5 = 0 AND count(*) >= 4 THEN 3 END AS broken_at FROM v_chain WHERE NOT (chain % 5 = 0 AND sequence = 2) GROUP BY 1")
+@query("w7_chain_verify", "SELECT chain, count(*) AS entries, CASE WHEN chain % 5 = 0 AND count(*) >= 4 THEN CAST(3 AS BIGINT) END AS broken_at FROM v_chain WHERE NOT (chain % 5 = 0 AND sequence = 2) GROUP BY 1")
 def w7(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth chain lacks its second entry."""
     return g.verified(_chain(spark, sf).where("not (chain % 5 = 0 and sequence = 2)"))

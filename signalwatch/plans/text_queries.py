@@ -166,7 +166,7 @@ def f11(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("kind = 'EMAIL'").groupBy("mention_id").agg(F.count("*").alias("n"))
 
 
-@query("a10_entity_counts", r"""WITH e AS (SELECT lower(v) AS low, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b[a-fA-F0-9]{32,64}\b')) AS v FROM documents) GROUP BY 1) SELECT 'HASH' AS kind, low, n AS count, round(least(0.97, 0.86 + least(0.06, 0.01 * n)), 6) AS confidence FROM e""")
+@query("a10_entity_counts", r"""WITH e AS (SELECT lower(v) AS low, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b[a-fA-F0-9]{32,64}\b')) AS v FROM documents) GROUP BY 1) SELECT 'HASH' AS kind, low, n AS count, round(CAST(least(0.97, 0.86 + least(0.06, 0.01 * n)) AS DOUBLE), 6) AS confidence FROM e""")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
     found = w.heuristic_entities(view(spark, sf, "v_mentions").select("mention_id", "text"))
     return rounded(w.entity_counts(found, []).where("kind = 'HASH'").select("kind", "low", "count", "confidence"))

@@ -28,8 +28,8 @@ VIEWS = {
     "v_signals": "SELECT concat('sig-', CAST(o_orderkey AS STRING)) AS id, concat('p', CAST(o_custkey % 7 AS STRING)) AS project_id, CASE o_orderkey % 3 WHEN 0 THEN 'adr' WHEN 1 THEN 'trend' ELSE 'cluster' END AS kind, "
     "CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'F' THEN 'confirmed' ELSE 'more_data' END AS status, round(o_totalprice / 500000, 6) AS score, datediff(CAST(o_orderdate AS DATE), DATE '1970-01-01') AS detected, o_orderkey AS n FROM {orders}",
     "v_triage": "SELECT concat('sig-', CAST(l_orderkey AS STRING)) AS signal_id, l_linenumber AS seq, concat('user', CAST(l_suppkey % 5 AS STRING)) AS actor, CASE l_returnflag WHEN 'A' THEN 'confirm' WHEN 'R' THEN 'reject' ELSE 'more_data' END AS decision, "
-    "datediff(CAST(l_shipdate AS DATE), DATE '1970-01-01') AS decided, l_partkey AS tie FROM {lineitem}",
-    "v_chain": "SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, props AS payload FROM {events}",
+    "CAST(datediff(CAST(l_shipdate AS DATE), DATE '1970-01-01') AS BIGINT) AS decided, l_partkey AS tie FROM {lineitem}",
+    "v_chain": "SELECT user_id AS chain, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS sequence, props AS payload FROM {events}",
 }
 
 
