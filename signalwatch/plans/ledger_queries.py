@@ -120,11 +120,13 @@ def a30(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(g.charged(asked, 1.0).select("key", "seq", "accepted", "spent"))
 
 
-@query("w11_source_breaker", """WITH RECURSIVE q AS (SELECT user_id AS source, event_id AS seq, event_type NOT IN ('error', 'view') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+BREAKER = """WITH RECURSIVE q AS (SELECT user_id AS source, event_id AS seq, event_type NOT IN ('error', 'view') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     r AS (SELECT source, seq, i, CASE WHEN ok THEN 0.7e0 + 0.3e0 ELSE 0.7e0 END AS health, CASE WHEN ok THEN 0 ELSE 1 END AS failures, NOT ok AND 0.7e0 < 0.3 AS is_open FROM q WHERE i = 1
       UNION ALL SELECT q.source, q.seq, q.i, 0.7e0 * r.health + CASE WHEN q.ok THEN 0.3e0 ELSE 0e0 END, CASE WHEN q.ok THEN 0 ELSE r.failures + 1 END,
-        CASE WHEN q.ok THEN r.is_open AND 0.7e0 * r.health + 0.3e0 < 0.7 ELSE r.is_open OR 0.7e0 * r.health < 0.3 END FROM r JOIN q ON q.source = r.source AND q.i = r.i + 1)
-    SELECT source, seq, round(health, 6) AS health, failures, is_open, CAST(CASE WHEN NOT is_open AND failures = 0 THEN 60 ELSE 60 * least(pow(2, greatest(failures - 1, 0)), 16) END AS DOUBLE) AS delay FROM r""")
+        CASE WHEN q.ok THEN r.is_open AND 0.7e0 * r.health + 0.3e0 < 0.7 ELSE r.is_open OR 0.7e0 * r.health < 0.3 END FROM r JOIN q ON q.source = r.source AND q.i = r.i + 1)"""
+
+
+@query("w11_source_breaker", BREAKER + """ SELECT source, seq, round(health, 6) AS health, failures, is_open, CAST(CASE WHEN NOT is_open AND failures = 0 THEN 60 ELSE 60 * least(pow(2, greatest(failures - 1, 0)), 16) END AS DOUBLE) AS delay FROM r""")
 def w11(spark: SparkSession, sf: str) -> DataFrame:
     e = view(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view")).alias("success"))
     return rounded(g.breaker(e))

@@ -34,23 +34,31 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(terms, F.expr("contains(low, surface)")).groupBy("kind", "surface", "code").agg(F.count("*").alias("docs"))
 
 
-@query("j1_dictionary_entities", f"""WITH RECURSIVE t(kind, surface, code) AS (VALUES {_VOCAB_SQL}), m AS (SELECT mention_id, lower(text) AS x FROM v_mentions),
-    at AS (SELECT mention_id, kind, surface, code, x, CAST(instr(x, surface) AS BIGINT) AS p FROM m, t WHERE instr(x, surface) > 0
-      UNION ALL SELECT mention_id, kind, surface, code, x, p + instr(substr(x, p + 1), surface) FROM at WHERE instr(substr(x, p + 1), surface) > 0)
-    SELECT mention_id, kind, code, CAST(p - 1 AS INTEGER) AS start, CAST(p - 1 + length(surface) AS INTEGER) AS stop FROM at
-    WHERE NOT regexp_matches(substr(x, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(x, p + length(surface), 1), '[\\p{{L}}\\p{{N}}_]')""".replace(" at AS", " places AS").replace("FROM at", "FROM places"))
+_FOUND = f"""WITH RECURSIVE t(kind, surface, code) AS (VALUES {_VOCAB_SQL}), m AS (SELECT mention_id, lower(text) AS x FROM v_mentions),
+    places AS (SELECT mention_id, kind, surface, code, x, CAST(instr(x, surface) AS BIGINT) AS p FROM m, t WHERE instr(x, surface) > 0
+      UNION ALL SELECT mention_id, kind, surface, code, x, p + instr(substr(x, p + 1), surface) FROM places WHERE instr(substr(x, p + 1), surface) > 0)
+    SELECT @ FROM places
+    WHERE NOT regexp_matches(substr(x, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(x, p + length(surface), 1), '[\\p{{L}}\\p{{N}}_]')"""
+_PLACES = _FOUND.replace("@", "mention_id, kind, code, CAST(p - 1 AS INTEGER) AS start, CAST(p - 1 + length(surface) AS INTEGER) AS stop")
+
+
+@query("j1_dictionary_entities", _PLACES)
 def j1(spark: SparkSession, sf: str) -> DataFrame:
     return dictionary_entities(view(spark, sf, "v_mentions"), vocabulary(spark)).select("mention_id", "kind", "code", "start", "stop")
 
 
-@query("u3_entity_dedupe", None)
+@query("u3_entity_dedupe", _PLACES)
 def u3(spark: SparkSession, sf: str) -> DataFrame:
     """A surface listed twice is found once: the first in vocabulary order."""
     twice = vocabulary(spark).unionByName(vocabulary(spark).withColumn("ord", F.col("ord") + 10_000).withColumn("surface", F.upper("surface")))
     return dictionary_entities(view(spark, sf, "v_mentions"), twice).select("mention_id", "kind", "code", "start", "stop")
 
 
-@query("f5_negated_entities", None)
+_BEFORE = "substr(x, CAST(greatest(p - 24, 1) AS BIGINT), CAST(least(p - 1, 24) AS BIGINT))"
+_CUES = " OR ".join(f"contains({_BEFORE}, '{c}')" for c in a.NEGATIONS)
+
+
+@query("f5_negated_entities", "WITH RECURSIVE " + _FOUND.replace("@", f"kind, {_CUES} AS negated").strip()[15:].replace("SELECT kind, " + _CUES, "SELECT kind, negated, count(*) AS n FROM (SELECT kind, " + _CUES, 1) + ") GROUP BY 1, 2")
 def f5(spark: SparkSession, sf: str) -> DataFrame:
     return dictionary_entities(view(spark, sf, "v_mentions"), vocabulary(spark)).groupBy("kind", "negated").agg(F.count("*").alias("n"))
 
@@ -183,3 +191,22 @@ def f12(spark: SparkSession, sf: str) -> DataFrame:
     asked = spark.createDataFrame([(-1, "who is a@b.org")], "mention_id bigint, text string")
     found = w.heuristic_entities(view(spark, sf, "v_mentions").select("mention_id", "text")).unionByName(w.heuristic_entities(asked, weight=3))
     return w.entity_counts(found, []).where("kind = 'EMAIL'").select("low", "count")
+
+
+@query("x1_annotation_stages", "SELECT conv_id * 1000 + turn AS mention_id, 'en' AS language, CASE WHEN trim(text) = '' THEN NULL WHEN regexp_matches(text, '(?i)/s\\b') THEN 'sarcasm' ELSE 'clean' END AS label FROM conversations WHERE NOT regexp_matches(text, '(?i)boycott|banthis|plandemic')")
+def x1(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages by name; tests put a model in place of one."""
+    from ..functions.stages import applied
+
+    rows = view(spark, sf, "v_talk").where(~F.lower("text").rlike("boycott|banthis|plandemic"))
+    out = applied(rows, ["redact", "language", "translate", "sentiment", "misinformation"])
+    return out.select("mention_id", "language", F.col("misinformation.label").alias("label"))
+
+
+@query("x2_embedding_hook")
+def x2(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.stages import embedding, hashed_name_model
+
+    embed = embedding(hashed_name_model)
+    v = view(spark, sf, "v_entities").where("entity_type = 'ORG'").select("id", embed(F.lower("name")).alias("v"))
+    return v.select("id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
