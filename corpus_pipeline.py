@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with their columns (doc_id, text, lang, source, n_chars),
 the last one packed pieces. Near-duplicate stages take five words and a similarity of 0.8.
+Other columns are dropped, so none can clash. Rows without a doc_id are left out by the stages that decide by it; rows that share one count as copies. Null
+or empty texts have no language and go with the first stage.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is sure enough; lang becomes what was identified, from text, declared lang and source."""
+    docs = docs.select(*COLUMNS)
     known = identified(docs.select("doc_id", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), "text"))
     known = known.where("kept").select("doc_id", F.col("lang").alias("found")).dropDuplicates(["doc_id"])
     return docs.join(known, "doc_id").withColumn("lang", F.col("found")).select(*COLUMNS)
@@ -31,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
+    docs = docs.select(*COLUMNS)
     kept = near_duplicates(docs, shingle=5, per_cent=80).where("kept").select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
@@ -42,6 +46,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten words in a row of a benchmark item."""
+    docs = docs.select(*COLUMNS)
     clean = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select("doc_id").distinct()
     return docs.join(clean, "doc_id", "left_semi").select(*COLUMNS)
 
