@@ -46,6 +46,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 def cut_points(offsets: np.ndarray, data: np.ndarray, words_per_chunk: int) -> np.ndarray:
     """Ends of all chunks, rising; every end of a row that isn't empty is one."""
     ends = np.flatnonzero(SPACE[data] & (gear(data) < np.uint16(65536 // words_per_chunk))) + 1
+    ends = ends[ends - offsets[np.searchsorted(offsets, ends - 1, "right") - 1] >= WINDOW]  # the window lies within the row
     ends = np.union1d(ends, offsets[1:][np.diff(offsets) > 0])
     long = np.flatnonzero(np.diff(ends, prepend=0) > LONGEST)
     if len(long):

@@ -218,6 +218,16 @@ def test_chunks_resist_shifts():
     assert b"".join(a) == text and len(set(a) - set(b)) <= 3
 
 
+def test_cuts_do_not_depend_on_the_row_before():
+    r = random.Random(14)
+    for _ in range(200):
+        before, own = prose(3, r).encode(), prose(4, r).encode()
+        data = np.frombuffer(before + own, np.uint8)
+        both = substring_dedup.cut_points(np.array([0, len(before), len(data)]), data, 2)
+        alone = substring_dedup.cut_points(np.array([0, len(own)]), np.frombuffer(own, np.uint8), 2)
+        assert (both[both > len(before)] - len(before)).tolist() == alone.tolist()
+
+
 def contaminated(docs, items, n=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     sought = {}
