@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon: Aho-Corasick over folded text, normalised by length, with exception phrases.
 
 Folding lower-cases, strips accents, maps look-alike letters of other scripts to Latin ones and digits and marks to the letters they
-stand for. Lexicon, weights and exceptions are learned from labelled rows, at most SAMPLE a class (by a hash of
+stand for. The lexicon has whole words and beginnings of words. Lexicon, weights and exceptions are learned from labelled rows, at most SAMPLE a class (by a hash of
 the id); two numbers a text (weight of its hits, and that per length) then go through a logistic curve fitted on the same rows.
 Whole texts are scored in one pass without any shuffle.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 
 #: Labelled rows a class that the lexicon is learned from.
 SAMPLE = 20_000
-#: A word enters the lexicon if it is in this share of toxic rows at least, with this log ratio to its share in others.
-LEAST_SHARE, LEAST_WEIGHT = 0.06, 2.5
-#: Words a lexicon holds at most: the heaviest.
-LEXICON = 2_000
+#: A word or the beginning of words enters the lexicon if it is in this share of toxic rows at least, with this log ratio to its share in others.
+LEAST_SHARE, LEAST_WEIGHT = 0.03, 2.5
+#: Stems that the lexicon is chosen from at most: those in most toxic rows.
+LEXICON = 20_000
+#: Letters that a stem may have.
+STEM = range(4, 10)
 #: Harmless phrases known beforehand; others are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum")
 
@@ -52,18 +55,32 @@ def fold(text: str) -> str:
     return text.lower().translate(_FOLD)
 
 
-def _word_counts(sample: DataFrame) -> DataFrame:
-    """(word, toxic, n): documents of each label with each folded word."""
+def _stem_counts(sample: DataFrame) -> DataFrame:
+    """(stem, n0, n1): documents of each label with a folded word that begins so; a whole word ends in `$`. Added up by batch first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row_words, labels = [], []
+            counts = (Counter(), Counter())
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(_WORD.findall(fold(text or "")))
-                row_words += own
-                labels += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(row_words, pa.string()), pa.array(labels, pa.int32())], ["word", "toxic"])
-
-    return sample.select("text", "toxic").mapInArrow(run, "word string, toxic int").groupBy("word").pivot("toxic", [0, 1]).count().na.fill(0)
+                words = set(_WORD.findall(fold(text or "")))
+                counts[label].update({w[:k] for w in words for k in STEM if len(w) >= k} | {f"{w}$" for w in words if len(w) >= STEM[0]})
+            stems = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([c[x] for x in stems], pa.int64()) for c in counts)], ["stem", "n0", "n1"])
+
+    return sample.select("text", "toxic").mapInArrow(run, "stem string, n0 bigint, n1 bigint").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _chosen(found: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Of (stem, toxic documents, weight) the longest stems that still hold what their beginnings hold, and none within another."""
+    most: dict[str, int] = {}
+    for stem, n, _ in found:
+        for k in range(STEM[0], len(stem)):
+            most[stem[:k]] = max(most.get(stem[:k], 0), n)
+    closed = [(s, w) for s, n, w in found if most.get(s, 0) < 0.98 * n]
+    out: dict[str, float] = {}
+    for stem, weight in sorted(closed, key=lambda x: (len(x[0]), x[0])):
+        if not any(stem[:k] in out for k in range(STEM[0], len(stem))):
+            out[stem] = weight
+    return out
 
 
 class Lexicon:
@@ -84,27 +101,29 @@ class Lexicon:
             import ahocorasick
 
             self._machine = ahocorasick.Automaton()
-            for word, weight in self.weights.items():
-                self._machine.add_word(word, (len(word), weight))
+            for stem in sorted({x.rstrip("$") for x in self.weights}):
+                self._machine.add_word(stem, (len(stem), self.weights.get(stem), self.weights.get(f"{stem}$")))
             for phrase in self.exceptions:
-                self._machine.add_word(phrase, (len(phrase), None))
+                self._machine.add_word(phrase, (len(phrase), None, None))
             if len(self._machine):
                 self._machine.make_automaton()
         return self._machine
 
     def hits(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of whole words outside exception phrases."""
+        """(start, end, weight) of words that are in the lexicon or begin as a stem of it, outside exception phrases."""
         found, safe = [], []
         if not len(self.machine()):
             return found
-        for last, (n, weight) in self.machine().iter(folded):
+        for last, (n, stem, whole) in self.machine().iter(folded):
             start, end = last - n + 1, last + 1
-            if (start and folded[start - 1 : start].isalpha()) or folded[end : end + 1].isalpha():
+            if start and folded[start - 1 : start].isalpha():
                 continue
-            if weight is None:
-                safe.append((start, end))
-            else:
-                found.append((start, end, weight))
+            ends = not folded[end : end + 1].isalpha()
+            if stem is None and whole is None:
+                if ends:
+                    safe.append((start, end))
+            elif stem is not None or ends:
+                found.append((start, end, stem if stem is not None else whole))
         return [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in safe)] if safe else found
 
 
@@ -167,9 +186,9 @@ def learned(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
     if not n0 or not n1:
         sample.unpersist()
         return Lexicon({}), np.array([0.0, 0.0, math.log((n1 + 0.5) / (n0 + 0.5))])
-    weight = F.log((F.col("1") + 0.5) / (n1 + 1)) - F.log((F.col("0") + 0.5) / (n0 + 1))
-    words = _word_counts(sample).where((F.col("1") >= F.lit(max(2.0, LEAST_SHARE * n1))) & (F.length("word") > 2)).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    lexicon = Lexicon({r["word"]: float(r["weight"]) for r in words.orderBy(F.desc("weight"), "word").limit(LEXICON).collect()}, EXCEPTIONS)
+    weight = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    stems = _stem_counts(sample).where(F.col("n1") >= F.lit(max(4.0, LEAST_SHARE * n1))).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
+    lexicon = Lexicon(_chosen([(r["stem"], r["n1"], float(r["weight"])) for r in stems.orderBy(F.desc("n1"), "stem").limit(LEXICON).collect()]), EXCEPTIONS)
     safe = _contexts(sample, lexicon).groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n - bad >= 3 and bad < 0.3 * n").orderBy(F.desc("n"), "phrase").limit(LEXICON)
     lexicon = Lexicon(lexicon.weights, (*EXCEPTIONS, *(r["phrase"] for r in safe.collect())))
 

@@ -260,9 +260,9 @@ def test_decontamination(spark):
 
 
 def test_lexicon():
-    lex = toxicity.Lexicon({"idiot": 3.0, "trash": 2.0}, ("trash can",))
+    lex = toxicity.Lexicon({"idiot$": 3.0, "trash$": 2.0, "scumb": 1.0}, ("trash can",))
     hits = lambda t: [toxicity.fold(t)[a:b] for a, b, _ in lex.hits(toxicity.fold(t))]
-    assert hits("You 1d10t!") == ["idiot"] and hits("ІDIОT, trаsh") == ["idiot", "trash"] and hits("idiotic trash can") == [] and hits("the trash can is trash") == ["trash"] and hits("") == []
+    assert hits("You 1d10t!") == ["idiot"] and hits("ІDIОT, trаsh") == ["idiot", "trash"] and hits("idiotic trash can") == [] and hits("the trash can is trash") == ["trash"] and hits("") == [] and hits("scumbag, unscumb") == ["scumb"]
     assert toxicity.fold("Ｉｄ​iót") == "idiot"
 
 
@@ -272,7 +272,7 @@ def test_toxicity(spark):
     docs = frame(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(300)] + [(None, 1, 1), (5, None, 1)], "doc_id long, toxic int, text int")
     lexicon, curve = toxicity.learned(toxicity.sampled(docs, labels, "toxic"))
-    assert {"moron", "scum"} <= set(lexicon.weights)
+    assert {"moron$", "scum$"} <= set(lexicon.weights)
     out = {x["doc_id"]: x["score"] for x in toxicity.scored(docs, lexicon, curve).collect()}
     assert all((out[i] >= 0.3) == (i % 4 == 0) for i in range(400)) and out[400] == out[401] < 0.3
     alone, one = toxicity.learned(toxicity.sampled(docs, labels.where("toxic = 0"), "toxic"))
