@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, modest
 from .textbytes import LOWER, chunks
 
 CODES = 1 << 14
@@ -101,6 +101,7 @@ def _softmax(x: Column) -> Column:
 
 def identified(rows: DataFrame, least: float = 0.5, least_share: float = 0.001) -> DataFrame:
     """rows (declared, suffix, host, text and any key columns) without text, with lang, confidence, kept."""
+    modest(rows.sparkSession)
     keys = [c for c in rows.columns if c not in ("declared", "suffix", "host", "text")]
     blank = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.lower(F.trim(F.col(c).cast("string"))))
     rows = rows.select(*keys, F.substring_index(blank("declared"), "-", 1).alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"), F.col("text").cast("string").alias("text"))

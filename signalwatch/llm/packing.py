@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest
 from .tokens import encode_words
 
 #: Texts encoded together: bounds a task's memory.
@@ -54,6 +55,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, most: int = 2048, with_i
                     names.append("input_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    modest(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", input_ids array<int>" * with_ids
     pieces = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)

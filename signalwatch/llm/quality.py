@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest
 from .textbytes import SPACE, chunks, mix, power_table
 
 CELLS, WIDTH, NONZERO, REACH = 4096, 64, 4, 2
@@ -74,6 +75,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         table = total.reshape(CELLS, WIDTH)[some]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), *(pa.array(table[:, i]) for i in range(WIDTH))], ["cell", "n", *names])
 
+    modest(docs.sparkSession)
     names = [f"v{i}" for i in range(WIDTH)]
     sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "cell bigint, n double, " + ", ".join(f"{x} double" for x in names)).groupBy("cell").agg(F.sum("n").alias("n"), F.array(*(F.sum(x) for x in names)).alias("v"))
     vectors, share = np.zeros((CELLS, WIDTH)), np.zeros(CELLS)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,27 +21,24 @@ def scratch(spark: SparkSession) -> str:
     return where
 
 
-#: Bytes that go to a Python worker at once in keep(): bounds its memory, and the buffers of its executor.
-BATCH = "8m"
+#: Bytes that go to a Python worker at once: bounds its memory, and the buffers of its executor.
+BATCH = 8 << 20
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def modest(spark: SparkSession) -> None:
+    """Has the session hand at most BATCH bytes to a Python worker at once; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name, "0"))
+    if not now or not 0 < int(now[1]) <= BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 def keep(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    modest(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import keep
+from .shared import keep, modest
 from .textbytes import SPACE, chunks, mix, power_table
 
 WINDOW, LONGEST = 8, 4096
@@ -83,6 +83,7 @@ def chunked(docs: DataFrame, words_per_chunk: int) -> DataFrame:
                 parts = pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), pa.array(place.astype(np.int64))], ["digest", "place"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(low), parts)], ["doc_id", "chunks"])
 
+    modest(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, chunks array<struct<digest:bigint,place:bigint>>")
 
 

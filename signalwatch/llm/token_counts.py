@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import modest
 from .tokens import encode_words
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -33,6 +34,7 @@ def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
                 n = [len(x) // 4 for x in encode_words([t or "" for t in some.column(3).to_pylist()], path)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([version] * len(n)), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "tokens"])
 
+    modest(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", *(F.col(x).cast("string").alias(x) for x in ("source", "lang", "text")))
     return plain.mapInArrow(run, f"doc_id {kind}, source string, lang string, tokenizer string, tokens bigint")

@@ -12,7 +12,7 @@ import os
 import re
 
 #: Words whose ids a worker keeps: about 150 bytes each.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 400_000
 
 _loaded: dict[str, object] = {}
 _memory: dict[str, dict[str, bytes]] = {}

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest
+
 #: Labelled rows a class that the lexicon is learned from.
 SAMPLE = 20_000
 #: A word or the beginning of words enters the lexicon if it is in this share of toxic rows at least, with this log ratio to its share in others.
@@ -173,6 +175,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE) -> DataFrame:
     """(text, label): labelled documents, at most per_class of each label, by a hash of the id. At most 2 * per_class ids are broadcast."""
+    modest(docs.sparkSession)
     own = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     part = [own.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(part[0].unionByName(part[1])), "doc_id").select("text", label)
