@@ -28,7 +28,7 @@ BATCH = 8 << 20
 def modest(spark: SparkSession) -> None:
     """Has the session hand at most BATCH bytes to a Python worker at once; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name, "0"))
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
     if not now or not 0 < int(now[1]) <= BATCH:
         spark.conf.set(name, str(BATCH))
 
