@@ -1,12 +1,13 @@
 """Substring deduplication by content-defined chunking: a gear rolling hash cuts texts at content, equal chunks are found by
-digest, and runs of repeated chunks are passages. An insertion moves no cut beyond the words around it.
+digest, and runs of chunks that repeat together are passages. An insertion moves no cut beyond the words around it.
 
 Cuts fall after white space only, where the gear hash of the last WINDOW bytes is in the lowest 1/`words_per_chunk` of its range, so
 chunks are whole words and a passage keeps its chunks wherever it stands. Text without white space for LONGEST bytes is cut there.
 
-A chunk is repeated if its digest stands in another document too (what repeats within one document only is left alone). Consecutive repeated chunks of a document with `least_words` words or more
-make a passage; shorter ones (stock phrases) stay. Within passages the first place of a chunk, by doc_id and position, is
-kept and every later one is cut. Counts combine before the shuffle and joins are ones that adaptive execution
+From each chunk on, `least_words` words make a window, and so do the last ones of a text. A window is repeated if its digest, taken over all its
+bytes, stands in another document too (what repeats within one document only is left alone); chunks that repeat one by one, each beside others, prove
+nothing. Repeated windows that overlap or touch make a passage, and shorter repeats (stock phrases) stay. The first place of a window, by doc_id and
+position, is kept and every later one is cut. Counts combine before the shuffle and joins are ones that adaptive execution
 splits, so a passage that a third of all documents hold makes no large task.
 
 Defined results: null and empty texts have no chunks; rows that share a doc_id are taken for copies of each other; rows without a doc_id pass
@@ -27,8 +28,8 @@ from .shared import keep, modest
 from .textbytes import SPACE, chunks, mix, power_table
 
 WINDOW, LONGEST = 8, 4096
-#: Bits of a place for the bytes and for the words of a chunk: enough for LONGEST and a character.
-BITS = 13
+#: Bits for the second of two numbers that share one: enough for any length of a text.
+BITS = 31
 _U = np.uint64
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(48)).astype(np.uint16)
 
@@ -62,8 +63,8 @@ def cut_points(offsets: np.ndarray, data: np.ndarray, words_per_chunk: int) -> n
     return ends
 
 
-def chunked(docs: DataFrame, words_per_chunk: int) -> DataFrame:
-    """(doc_id, chunks array<struct<digest, place>>); place holds start, bytes and words of a chunk in one number."""
+def windows(docs: DataFrame, least_words: int, words_per_chunk: int) -> DataFrame:
+    """(doc_id, windows array<struct<digest, place, words>>); place holds start and bytes of a window, words its first word's number and their count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, offsets, data in chunks(batch.column(1)):
@@ -72,51 +73,62 @@ def chunked(docs: DataFrame, words_per_chunk: int) -> DataFrame:
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
                 up, down = power_table(len(data) + 1)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + _U(1)) * down[: len(data)])))
-                digest = mix((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
                 inside = ~SPACE[data]
                 begins = inside & ~np.concatenate((np.zeros(1, bool), inside[:-1])) if len(data) else inside
                 begins[offsets[:-1][offsets[:-1] < len(data)]] |= inside[offsets[:-1][offsets[:-1] < len(data)]]
                 seen = np.concatenate(([0], np.cumsum(begins)))
                 row = np.searchsorted(offsets[1:], starts, "right")
+                outside = np.concatenate((~inside[1:], np.ones(1, bool))) if len(data) else inside
+                outside[offsets[1:][offsets[1:] > 0] - 1] = True
+                first_byte, word_end = np.flatnonzero(begins), np.flatnonzero(inside & outside) + 1
+                tail = np.flatnonzero(seen[offsets[1:]] - seen[offsets[:-1]] >= least_words)
+                starts = np.concatenate((starts, first_byte[seen[offsets[1:][tail]] - least_words]))
+                row = np.concatenate((row, tail))
+                whole = seen[starts] + least_words <= seen[offsets[1:]][row]
+                starts, order = np.unique(starts[whole], return_index=True)
+                row = row[whole][order]
+                ends = word_end[seen[starts] + least_words - 1]
+                digest = mix((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
                 low = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
-                place = ((starts - offsets[row]) << 2 * BITS) | ((ends - starts) << BITS) | (seen[ends] - seen[starts])
-                parts = pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), pa.array(place.astype(np.int64))], ["digest", "place"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(low), parts)], ["doc_id", "chunks"])
+                place = ((starts - offsets[row]) << BITS) | (ends - starts)
+                words = ((seen[starts] - seen[offsets[row]]) << BITS) | (seen[ends] - seen[starts])
+                parts = pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), pa.array(place.astype(np.int64)), pa.array(words.astype(np.int64))], ["digest", "place", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(low), parts)], ["doc_id", "windows"])
 
     modest(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, chunks array<struct<digest:bigint,place:bigint>>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, windows array<struct<digest:bigint,place:bigint,words:bigint>>")
 
 
-def passage_chunks(docs: DataFrame, least_words: int = 20, words_per_chunk: int = 4) -> DataFrame:
-    """(doc_id, digest, start, bytes, words, passage, first, first_doc_id): repeated chunks inside passages. first: not to be cut.
+def passage_windows(docs: DataFrame, least_words: int = 20, words_per_chunk: int = 4) -> DataFrame:
+    """(doc_id, start, end, first_word, last_word, first, first_doc_id): repeated windows. first: not to be cut.
 
-    Texts are cut twice, once to count digests and once to find their places: cheaper than to store all chunks in between.
+    Texts are cut twice, once to count digests and once to find their places: cheaper than to store all windows in between.
     """
-    cut = chunked(docs.where("doc_id is not null"), words_per_chunk)
-    often = cut.select(F.explode(F.array_distinct("chunks.digest")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    each = cut.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.digest", "c.place")
-    twice = each.join(often, "digest")
-    part = lambda n: F.col("place").bitwiseAND((1 << BITS) - 1) if n == 0 else F.shiftright("place", BITS).bitwiseAND((1 << BITS) - 1) if n == 1 else F.shiftright("place", 2 * BITS)
-    rows = twice.select("doc_id", "digest", part(2).alias("start"), part(1).alias("bytes"), part(0).alias("words"))
-    by_doc = Window.partitionBy("doc_id").orderBy("start")
-    opens = F.when(F.col("start") == F.lag(F.col("start") + F.col("bytes")).over(by_doc), 0).otherwise(1)
-    islands = rows.withColumn("opens", opens).withColumn("passage", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
-    long = keep(islands.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "passage"))).where(F.col("total") >= least_words).drop("total"))
-    origin = long.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("origin"))
-    return long.join(origin, "digest").withColumn("first", (F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.start") == F.col("start"))).withColumn("first_doc_id", F.col("origin.doc_id")).drop("origin")
+    cut = windows(docs.where("doc_id is not null"), least_words, words_per_chunk)
+    often = cut.select(F.explode(F.array_distinct("windows.digest")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    each = cut.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.digest", "w.place", "w.words")
+    one, two = (lambda c: F.shiftright(c, BITS)), (lambda c: F.shiftright(c, BITS) + F.col(c).bitwiseAND((1 << BITS) - 1))
+    rows = keep(each.join(often, "digest").select("doc_id", "digest", one("place").alias("start"), two("place").alias("end"), one("words").alias("first_word"), two("words").alias("last_word")))
+    origin = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("origin"))
+    return rows.join(origin, "digest").withColumn("first", (F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.start") == F.col("start"))).withColumn("first_doc_id", F.col("origin.doc_id")).drop("origin", "digest")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, words_per_chunk: int = 4) -> DataFrame:
     """(doc_id, start, bytes, words, cut_bytes, first_doc_id, kept): one row per passage of a document. kept: nothing of it is cut."""
-    p = passage_chunks(docs, least_words, words_per_chunk)
-    out = p.groupBy("doc_id", "passage").agg(F.min("start").cast("bigint").alias("start"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.sum(F.when(~F.col("first"), F.col("bytes")).otherwise(0)).alias("cut_bytes"), F.min("first_doc_id").alias("first_doc_id"))
+    by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
+    later = F.max(F.when(~F.col("first"), F.col("end"))).over(before)
+    p = passage_windows(docs, least_words, words_per_chunk)
+    p = p.withColumn("opens", F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1)).withColumn("cut", F.when(F.col("first"), 0).otherwise(F.greatest(F.col("end") - F.greatest("start", later), F.lit(0))))
+    p = p.withColumn("passage", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    out = p.groupBy("doc_id", "passage").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("bytes"), (F.max("last_word") - F.min("first_word")).alias("words"), F.sum("cut").alias("cut_bytes"), F.min("first_doc_id").alias("first_doc_id"))
     return out.drop("passage").withColumn("kept", F.col("cut_bytes") == 0)
 
 
 def without_repeats(docs: DataFrame, least_words: int = 20, words_per_chunk: int = 4) -> DataFrame:
     """docs with every later place of a repeated passage cut from text; documents left without any word by it are dropped."""
-    p = passage_chunks(docs, least_words, words_per_chunk).where(~F.col("first"))
-    cuts = p.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("__cuts"))
+    p = passage_windows(docs, least_words, words_per_chunk).where(~F.col("first"))
+    cuts = p.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
     joined = docs.join(cuts, "doc_id", "left")
     names = docs.columns
     at = names.index("text")
@@ -129,7 +141,7 @@ def without_repeats(docs: DataFrame, least_words: int = 20, words_per_chunk: int
                     raw, left, end = text.encode(), [], 0
                     for x in own:
                         left.append(raw[end : x["start"]])
-                        end = max(end, x["start"] + x["bytes"])
+                        end = max(end, x["end"])
                     left.append(raw[end:])
                     text = b"".join(left).decode("utf-8", "replace")
                     alive.append(bool(text.strip()))

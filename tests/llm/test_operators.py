@@ -204,6 +204,25 @@ def test_passages(spark):
     assert set(substring_dedup.without_repeats(docs).columns) == set(docs.columns)
 
 
+def test_chance_repeats_are_no_passages(spark):
+    """Every few words of a stand in another document, each beside other words: nothing of a is a passage."""
+    r = random.Random(31)
+    a, b, c = prose(120, r).split(), prose(120, r).split(), prose(60, r)
+    parts = [a[k : k + 12] for k in range(0, 120, 6)]
+    mosaic = [" ".join([*b[6 * k : 6 * k + 12], *p, *b[-6 * k - 12 : len(b) - 6 * k]]) for k, p in enumerate(parts)]
+    texts = [" ".join(a), *mosaic, c + " " + prose(30, r), prose(30, r) + " " + c]
+    n = len(texts)
+    found = substring_dedup.repeated_passages(frame(spark, texts)).collect()
+
+    def shared(i, x):
+        w, own = 20, texts[i].encode()[x["start"] : x["start"] + x["bytes"]].decode().split()
+        return x["words"] == len(own) >= w and any(f" {' '.join(own[:w])} " in f" {t} " for j, t in enumerate(texts) if j != i)
+
+    assert all(shared(x["doc_id"], x) for x in found) and {n - 2, n - 1} <= {x["doc_id"] for x in found} and 0 not in {x["doc_id"] for x in found}
+    left = {x["doc_id"]: x["text"] for x in substring_dedup.without_repeats(frame(spark, texts)).collect()}
+    assert left[0] == texts[0] and left[n - 2] == texts[n - 2] and len(left[n - 1]) < len(texts[n - 1])
+
+
 def test_chunks_resist_shifts():
     r = random.Random(4)
     text = prose(2000, r).encode()
