@@ -26,12 +26,13 @@ from .shared import modest
 
 #: Labelled rows a class that the lexicon is learned from.
 SAMPLE = 20_000
-#: A word or the beginning of words enters the lexicon if it is in this share of toxic rows at least, with this log ratio to its share in others.
-LEAST_SHARE, LEAST_WEIGHT = 0.03, 2.5
+#: A word or the beginning of words enters the lexicon if the log ratio of its share in toxic rows to that in others is LEAST_WEIGHT at least and, less
+#: DEVIATIONS standard errors, still positive; and so many toxic rows have it. No share of all toxic rows is asked for, so a small language's signs enter too.
+LEAST_ROWS, LEAST_WEIGHT, DEVIATIONS = 4, 2.5, 3.0
 #: Stems that the lexicon is chosen from at most: those in most toxic rows.
 LEXICON = 20_000
-#: Letters that a stem may have.
-STEM = range(4, 10)
+#: Letters that a stem may have, and that a whole word must have.
+STEM, LEAST_WORD = range(4, 10), 2
 #: Harmless phrases known beforehand; others are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum")
 
@@ -64,7 +65,7 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
             counts = (Counter(), Counter())
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = set(_WORD.findall(fold(text or "")))
-                counts[label].update({w[:k] for w in words for k in STEM if len(w) >= k} | {f"{w}$" for w in words if len(w) >= STEM[0]})
+                counts[label].update({w[:k] for w in words for k in STEM if len(w) >= k} | {f"{w}$" for w in words if len(w) >= LEAST_WORD})
             stems = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([c[x] for x in stems], pa.int64()) for c in counts)], ["stem", "n0", "n1"])
 
@@ -190,7 +191,8 @@ def learned(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
         sample.unpersist()
         return Lexicon({}), np.array([0.0, 0.0, math.log((n1 + 0.5) / (n0 + 0.5))])
     weight = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    stems = _stem_counts(sample).where(F.col("n1") >= F.lit(max(4.0, LEAST_SHARE * n1))).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
+    error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    stems = _stem_counts(sample).where(F.col("n1") >= LEAST_ROWS).withColumn("weight", weight).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("weight") > DEVIATIONS * error))
     lexicon = Lexicon(_chosen([(r["stem"], r["n1"], float(r["weight"])) for r in stems.orderBy(F.desc("n1"), "stem").limit(LEXICON).collect()]), EXCEPTIONS)
     safe = _contexts(sample, lexicon).groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n - bad >= 3 and bad < 0.3 * n").orderBy(F.desc("n"), "phrase").limit(LEXICON)
     lexicon = Lexicon(lexicon.weights, (*EXCEPTIONS, *(r["phrase"] for r in safe.collect())))

@@ -298,6 +298,15 @@ def test_toxicity(spark):
     assert {x["score"] < 0.3 for x in toxicity.scored(docs, alone, one).collect()} == {True}
 
 
+def test_rare_and_short_toxic_words(spark):
+    """A word in 2 % of toxic rows, as a small language's would be, and one of three letters are in the lexicon."""
+    r = random.Random(18)
+    texts = [prose(40, r) + (" moron " if i < 980 else " zut kretyn ") + prose(40, r) if i < 1000 else prose(80, r) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(3000)], "doc_id long, toxic int")
+    lexicon, _ = toxicity.learned(toxicity.sampled(frame(spark, texts), labels, "toxic"))
+    assert lexicon.hits("kretyn") and lexicon.hits("zut") and not any(lexicon.hits(w) for w in VOCAB)
+
+
 def test_quality(spark):
     r = random.Random(12)
     texts = [prose(80, r) if i % 3 else " ### ".join(prose(3, r) + "%%%" for _ in range(20)) for i in range(360)] + [None, ""]
