@@ -6,16 +6,18 @@ probability at most `miss` a side.
 
 Links are exact on what the tables propose, and no group is ever paired out:
 
-1. Documents with equal sets become one class, known by its smallest doc_id.
-2. In every table bucket the class with most copies leads; each member is checked against its leader. Copies of one text
+1. Documents with equal sets become one class.
+2. Halves that no other class has are in no shared key, so only pairs of shared halves become table keys.
+3. In every table bucket the class with most copies leads; each member is checked against its leader. Copies of one text
    thus cost a number of checks in proportion to their number.
-3. Where a bucket still spans several components, its members outside the largest one are checked against all others, in
-   blocks of bounded size. Each check of step 2 leaves a bit for every shingle of the leader; the bits that two members share,
+4. Where a bucket still spans several components, its members outside the largest one are checked against all others, in
+   blocks of bounded size. Each check of step 3 leaves a bit for every shingle of the leader; the bits that two members share,
    and the shingles beyond the leader's that others have too, bound their intersection from above. Pairs that pass go to the full sets.
-4. Components are contracted by joins.
+5. Components are contracted by joins. Sums by key are written before they are joined, so adaptive execution can split a hot key.
 
 Defined results: null or empty text has an empty set and links with nothing; fewer words than a shingle make one shingle of the
-whole sequence; repeated rows are copies; a null doc_id never names a component. Other columns of the input are ignored.
+whole sequence; repeated rows are copies; rows that share a doc_id but not the text are documents of their own, each in its own component,
+which the smallest doc_id in it names; a null doc_id never names a component. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .shared import components, keep
 from .textbytes import chunks, mix, shingle_sets
 
 _U = np.uint64
-#: Rows of a block in step 3: bounds the memory of a task.
-BLOCK = 512
+#: Rows, and bytes of their bits, that a block of step 4 has at most: bounds the memory of a task.
+BLOCK, BLOCK_BYTES = 512, 1 << 20
 
 
 def half_keys(threshold: float, rows: int = 3, miss: float = 2e-4) -> int:
@@ -50,59 +52,72 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _digests(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[2, row]: a 128-bit digest of each set; sets come one after another, `at` their edges."""
+    out = np.zeros((2, len(at) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        starts = at[:-1][some]
+        out[0, some], out[1, some] = np.add.reduceat(mix(sets ^ _U(0x51ED270B)), starts), np.add.reduceat(mix(sets + _U(0x2545F4914F6CDD1D)), starts)
+    return out
+
+
 def signatures(docs: DataFrame, shingle: int, m: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, d0, d1, halves): size and 128-bit digest of the set, half keys."""
+    """(doc_id, row, n_shingles, d0, d1, halves): size and 128-bit digest of the set, half keys; row is carried along."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, times = _seeds(2 * m * rows)
         for batch in batches:
-            for first, end, offsets, data in chunks(batch.column(1)):
+            for first, end, offsets, data in chunks(batch.column(2)):
                 sets, at = shingle_sets(offsets, data, shingle)
-                size = np.diff(at)
+                size, digest = np.diff(at), _digests(sets, at)
                 some = np.flatnonzero(size)
-                digest = np.zeros((2, len(size)), np.uint64)
-                low = np.full((len(size), 2 * m * rows), 0, np.uint64)
-                if len(some):
-                    starts = at[:-1][some]
-                    digest[0, some], digest[1, some] = np.add.reduceat(mix(sets ^ _U(0x51ED270B)), starts), np.add.reduceat(mix(sets + _U(0x2545F4914F6CDD1D)), starts)
-                    for j in range(2 * m * rows):
-                        low[some, j] = np.minimum.reduceat((sets ^ xor[j]) * times[j], starts)
-                half = np.zeros((len(size), 2 * m), np.uint64)
+                low = np.zeros((len(size), 2 * m * rows), np.uint64)
+                for j in range(2 * m * rows if len(some) else 0):
+                    low[some, j] = np.minimum.reduceat((sets ^ xor[j]) * times[j], at[:-1][some])
+                half = np.tile(np.arange(2 * m, dtype=np.uint64), (len(size), 1))
                 for j in range(rows):
                     half = mix(half * _U(0x9FB21C651E98DF25) + low[:, j::rows])
                 n = end - first
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, n), pa.array(size.astype(np.int64)), _signed(digest[0]), _signed(digest[1]),
+                    batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(size.astype(np.int64)), _signed(digest[0]), _signed(digest[1]),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, dtype=np.int32) * 2 * m), _signed(half.ravel())),
-                ], ["doc_id", "n_shingles", "d0", "d1", "halves"])
+                ], ["doc_id", "row", "n_shingles", "d0", "d1", "halves"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d0 bigint, d1 bigint, halves array<bigint>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, d0 bigint, d1 bigint, halves array<bigint>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles): the whole set of each document, as sorted 64-bit hashes."""
+    """(d0, d1, shingles): the whole set of each document, as sorted 64-bit hashes, and its digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, offsets, data in chunks(batch.column(1)):
+            for _, _, offsets, data in chunks(batch.column(0)):
                 sets, at = shingle_sets(offsets, data, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _signed(sets))], ["doc_id", "shingles"])
+                digest = _digests(sets, at)
+                yield pa.RecordBatch.from_arrays([_signed(digest[0]), _signed(digest[1]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _signed(sets))], ["d0", "d1", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "d0 bigint, d1 bigint, shingles array<bigint>")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
 
+def table_keys(first: str = "first", second: str = "second"):
+    """The table keys of a row: every first half with every second half. A half tells its place, so a key tells its table."""
+    return F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a, b))))
 
-def table_keys(m: int):
-    """The m*m table keys of a row, each with its table mixed in: every first half with every second half."""
-    def pairs(x):
-        i, a = x["i"], x["h"]
-        return F.transform(F.slice("halves", m + 1, m), lambda b, j: F.xxhash64(a, b, i * m + j))
 
-    return F.flatten(F.transform(F.transform(F.slice("halves", 1, m), lambda a, i: F.struct(i.alias("i"), a.alias("h"))), pairs))
+def met_halves(classes: DataFrame, m: int) -> DataFrame:
+    """(rep, first, second): the half keys of a class that other classes have too, for classes with some of either collection.
+
+    A table key is shared only where both its halves are, so 2*m rows a class go through a shuffle here in place of m*m,
+    and only the pairs of shared halves make table keys.
+    """
+    placed = classes.select("rep", F.posexplode("halves").alias("pos", "half"))
+    shared = keep(placed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
+    halves = placed.join(shared, "half").groupBy("rep").agg(*(F.collect_list(F.when(own, F.col("half"))).alias(name) for own, name in ((F.col("pos") < m, "first"), (F.col("pos") >= m, "second"))))
+    return halves.where((F.size("first") > 0) & (F.size("second") > 0))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= per_cent * union of full sets."""
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
+    """Of pairs (a, b) of classes, those with 100 * intersection >= per_cent * union of full sets."""
+    left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
     both = F.size(F.array_intersect("as", "bs"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= per_cent * (F.size("as") + F.size("bs") - both)).select("a", "b")
 
@@ -120,7 +135,7 @@ def _led(star: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 shared.append(n), linked.append(100 * n >= per_cent * (len(x) + len(y) - n)), bits.append(np.packbits(has).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(linked, pa.bool_()), pa.array(bits, pa.binary())], ["rep", "leader", "shared", "linked", "bits"])
 
-    full = star.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("own")), "rep").join(sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("lead")), "leader")
+    full = star.join(sets.withColumnRenamed("shingles", "own"), "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("lead")), "leader")
     return full.select("rep", "leader", "own", "lead").mapInArrow(run, "rep bigint, leader bigint, shared int, linked boolean, bits binary")
 
 
@@ -132,11 +147,11 @@ def _rest(tasks: DataFrame, per_cent: int) -> DataFrame:
             for at in range(batch.num_rows):
                 xs, ys = batch.column("few")[at].as_py(), batch.column("many")[at].as_py()
                 a, b = (np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (xs, ys))
-                size, of, ids, beyond = (np.array([y[k] for y in ys]) for k in ("n_shingles", "component", "doc_id", "beyond"))
+                size, of, ids, beyond = (np.array([y[k] for y in ys]) for k in ("n_shingles", "component", "rep", "beyond"))
                 for k, x in enumerate(xs):
                     most = np.bitwise_count(b & a[k]).sum(1, dtype=np.int64) + np.minimum(beyond, x["beyond"])
                     fit = (of != x["component"]) & (100 * most >= per_cent * (size + x["n_shingles"] - most))
-                    found.update((min(x["doc_id"], y), max(x["doc_id"], y)) for y in ids[fit].tolist())
+                    found.update((min(x["rep"], y), max(x["rep"], y)) for y in ids[fit].tolist())
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
 
@@ -145,40 +160,62 @@ def _rest(tasks: DataFrame, per_cent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows: int = 3, miss: float = 2e-4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id integer, text)."""
+    return grouped(docs.withColumn("row", F.lit(0).cast("bigint")), shingle, per_cent, rows, miss).drop("row", "component")
+
+
+def grouped(docs: DataFrame, shingle: int, per_cent: int, rows: int = 3, miss: float = 2e-4) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, kept, component) for every row of docs (doc_id, text, row: any number that is
+    carried along). component tells groups apart even where their smallest doc_ids are equal; null for an empty set."""
     m = half_keys(per_cent / 100, rows, miss)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("row").cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
     signed = keep(signatures(docs, shingle, m, rows))
-    classes = keep(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("halves").alias("halves")))
-    placed = classes.select(F.explode(table_keys(m)).alias("key"), "rep")
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = keep(placed.join(shared, "key").join(classes.select("rep", "copies", "n_shingles"), "rep"))
-    led = met.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("rep"))).alias("lead"))
-    members = keep(met.join(led, "key").select("key", "rep", F.col("lead.rep").alias("leader"), "n_shingles"))
-    sets = keep(full_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
+    digest = ["d0", "d1", "n_shingles"]
+    same = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
+    # written before use, so the number of a class stays what it is
+    classes = keep(same.withColumn("rep", F.monotonically_increasing_id()))
+    about = classes.drop("halves")
+
+    placed = met_halves(classes, m).join(about.select("rep", "copies", "n_shingles"), "rep").select("rep", "copies", "n_shingles", F.explode(table_keys()).alias("key"))
+    placed = keep(placed)
+    led = keep(placed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("copies"), "rep", "n_shingles")).alias("lead")).where("n > 1").select("key", F.col("lead.rep").alias("leader"), F.col("lead.n_shingles").alias("leader_size")))
+    members = keep(placed.join(led, "key").select("key", "rep", "leader", "n_shingles", "leader_size"))
+    wanted = keep(members.select("rep").distinct().join(about, "rep").select("rep", "d0", "d1", "least_id"))
+    texts = docs.join(wanted.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # a doc_id may have several texts: the digest says which of them is meant
+    sets = keep(full_sets(texts, shingle).join(wanted.select("rep", "d0", "d1"), ["d0", "d1"]).select("rep", "shingles").dropDuplicates(["rep"]))
     star = keep(_led(members.where("rep <> leader").select("rep", "leader").distinct(), sets, per_cent))
     links = star.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    rest = _beyond_leaders(members, star, sets, links, per_cent)
+    final = components(links if rest is None else links.unionByName(rest))
+
+    named = about.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = keep(named.select(*digest, "component", "least_id"))
+    least = keep(named.groupBy("component").agg(F.min("least_id").alias("component_id")))
+    out = signed.select("doc_id", "row", *digest).join(named.join(least, "component").drop("least_id"), digest, "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "component")
+
+
+def _beyond_leaders(members: DataFrame, star: DataFrame, sets: DataFrame, links: DataFrame, per_cent: int) -> DataFrame | None:
+    """Links (a, b) between members of buckets that their leaders leave in several components; None where there are none."""
     first = keep(components(links))
-    rest = links.limit(0)
-    labelled = members.where("rep <> leader").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = keep(members.where("rep <> leader").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     shares = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_keys = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.component").alias("top"), "total")
-    waiting = keep(labelled.join(open_keys, "key"))
-    if waiting.limit(1).count():
-        # shingles that one class alone has are in no intersection; with the leaders among the classes, the others beyond a leader's are known
-        there = waiting.select(F.explode(F.array("rep", "leader")).alias("doc_id")).distinct()
-        waiters = sets.join(there, "doc_id", "left_semi")
-        alone = waiters.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-        blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-        beyond = (F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.col("shared")).alias("beyond")
-        marked = star.join(alone, "rep", "left").select("rep", "leader", "shared", "bits", "alone")
-        spread = waiting.join(marked, ["rep", "leader"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-        row = F.struct(F.col("rep").alias("doc_id"), "component", "n_shingles", beyond, "bits")
-        few = spread.where("component <> top").groupBy("key", F.col("block").alias("s"), "blocks").agg(F.collect_list(row).alias("few"))
-        many = spread.groupBy("key", F.col("block").alias("t")).agg(F.collect_list(row).alias("many"))
-        tasks = few.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(many, ["key", "t"]).select("few", "many")
-        rest = confirmed(_rest(tasks, per_cent), sets, per_cent)
-    final = components(links.unionByName(rest))
-    named = classes.select("d0", "d1", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d0", "d1", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "d0", "d1").join(named, ["d0", "d1", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    split = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1")
+    split = keep(split.select("key", F.col("top.component").alias("top"), "total"))
+    waiting = keep(labelled.join(split, "key"))
+    if not waiting.limit(1).count():
+        return None
+    # shingles that one class alone has are in no intersection; with the leaders among the classes, the others beyond a leader's are known
+    there = waiting.select(F.explode(F.array("rep", "leader")).alias("rep")).distinct()
+    counted = sets.join(there, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    alone = counted.where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    a_block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(8 * BLOCK_BYTES) / F.greatest(F.col("leader_size"), F.lit(1)))))
+    beyond = (F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.col("shared")).alias("beyond")
+    marked = star.join(alone, "rep", "left").select("rep", "leader", "shared", "bits", "alone")
+    spread = waiting.join(marked, ["rep", "leader"]).withColumn("blocks", F.ceil(F.col("total") / a_block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    row = F.struct("rep", "component", "n_shingles", beyond, "bits")
+    few = spread.where("component <> top").groupBy("key", F.col("block").alias("s"), "blocks").agg(F.collect_list(row).alias("few"))
+    many = spread.groupBy("key", F.col("block").alias("t")).agg(F.collect_list(row).alias("many"))
+    tasks = few.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(many, ["key", "t"]).select("few", "many")
+    return confirmed(keep(_rest(tasks, per_cent)), sets, per_cent)

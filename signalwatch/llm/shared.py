@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and the master is local."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -21,12 +23,28 @@ def scratch(spark: SparkSession) -> str:
     return where
 
 
+_kept: list[str] = []
+
+
+def kept_since(spark: SparkSession) -> int:
+    """A mark for release()."""
+    return len(_kept)
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Deletes the tables written by keep() since the mark. Only for callers that have written what they read from them."""
+    for path in _kept[mark:]:
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+    del _kept[mark:]
+
+
 #: Bytes that go to a Python worker at once: bounds its memory, and the buffers of its executor.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def modest(spark: SparkSession) -> None:
-    """Has the session hand at most BATCH bytes to a Python worker at once; a smaller setting stays."""
+    """Has the session hand at most BATCH bytes to a Python worker at once; a smaller setting stays. Spark reads it when a result is computed, so it isn't set back."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
     if not now or not 0 < int(now[1]) <= BATCH:
@@ -34,11 +52,15 @@ def modest(spark: SparkSession) -> None:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
+    """df, written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
+
+    The table stays until release(), since what the caller builds on it is lazy.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
     modest(spark)
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

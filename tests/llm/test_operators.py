@@ -80,10 +80,25 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_table_keys_are_pairs(spark):
-    m = minhash_dedup.half_keys(0.85)
-    rows = spark.createDataFrame([(list(range(2 * m)),)], "halves array<bigint>")
-    keys = rows.select(minhash_dedup.table_keys(m)).first()[0]
-    assert len(keys) == len(set(keys)) == m * m
+    rows = spark.createDataFrame([(list(range(9)), list(range(9, 15)))], "first array<bigint>, second array<bigint>")
+    keys = rows.select(minhash_dedup.table_keys()).first()[0]
+    assert len(keys) == len(set(keys)) == 9 * 6
+
+
+def test_only_shared_halves_make_keys(spark):
+    classes = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 9, 3, 8]), (3, [7, 6, 5, 0]), (4, [1, 10, 11, 12])], "rep long, halves array<bigint>")
+    got = {r["rep"]: (set(r["first"]), set(r["second"])) for r in minhash_dedup.met_halves(classes, 2).collect()}
+    assert got == {1: ({1}, {3}), 2: ({1}, {3})}
+
+
+def test_rows_that_share_an_id(spark):
+    """Of two texts under one doc_id each links with what it is like."""
+    a, b = prose(60).split(), prose(60).split()
+    texts = [" ".join(a), " ".join(b), " ".join([*b[:-1], "other"]), " ".join(a[1:])]
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame(spark, texts, [1, 1, 5, 7]), 3, 85).collect())
+    assert [(i, c) for i, _, c in out] == [(1, 1), (1, 1), (5, 1), (7, 1)]
+    groups = {(r["doc_id"], r["row"]): r["component"] for r in minhash_dedup.grouped(frame(spark, texts, [1, 1, 5, 7]).withColumn("row", F.length("text")), 3, 85).collect()}
+    assert len(set(groups.values())) == 2 and groups[5, len(texts[2])] == groups[1, len(texts[1])]
 
 
 def test_components(spark):
@@ -137,6 +152,16 @@ def test_tokens_are_the_tokenizers(spark):
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
+def test_memory_of_words_changes_nothing(monkeypatch):
+    from signalwatch.llm import tokens
+
+    path, texts = queries.word_tokenizer(), [prose(40, random.Random(k)) + ", end." for k in range(40)]
+    whole = tokens.encode_words(texts, path)
+    monkeypatch.setattr(tokens, "MEMORY_WORDS", 30)
+    monkeypatch.setattr(tokens, "_memory", {})
+    assert [tokens.encode_words([t], path)[0] for t in texts] == whole and len(tokens._memory[path][0]) < 120
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -204,6 +229,19 @@ def test_passages(spark):
     assert set(substring_dedup.without_repeats(docs).columns) == set(docs.columns)
 
 
+def test_passages_of_repeated_rows(spark):
+    """Equal rows under one id are one document: alone they repeat nothing. Different texts under one id are cut each at its own places."""
+    r = random.Random(19)
+    passage = prose(59, r)
+    a, b, c = prose(30, r) + " " + passage, passage + " " + prose(40, r), prose(90, r)
+    once, twice = ({tuple(x) for x in substring_dedup.repeated_passages(frame(spark, t, i)).collect()} for t, i in (([a, b, c], [0, 1, 2]), ([a, a, b, b, c, c], [0, 0, 1, 1, 2, 2])))
+    assert once == twice and {x[0] for x in once} == {0, 1} and all(x[3] >= 55 for x in once)
+    left = substring_dedup.without_repeats(frame(spark, [a, a, b, b], [0, 0, 1, 1]).withColumn("__cuts0", F.lit(1)).withColumn("__row0", F.lit(2))).collect()
+    assert sorted(len(x["text"].split()) > 60 for x in left) == [False, False, True, True] and left[0]["__cuts0"] == 1
+    same_id = {x["text"] for x in substring_dedup.without_repeats(frame(spark, [a, b, c], [5, 5, 6])).collect()}
+    assert c in same_id and len(same_id & {a, b}) == 1 and sum(map(len, same_id)) < len(a) + len(b) + len(c) - 250
+
+
 def test_chance_repeats_are_no_passages(spark):
     """Every few words of a stand in another document, each beside other words: nothing of a is a passage."""
     r = random.Random(31)
