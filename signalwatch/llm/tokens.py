@@ -1,24 +1,27 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded memory of words per worker.
 
 The word-level tokenizers of `tokenizers` here part words at white space before merging, so a text's ids are its words'
-ids one after another. Words recur, so each worker keeps the ids of words it has met, up to MEMORY_WORDS; beyond that it
-starts over. Texts where a word's ids could depend on its neighbours go through the tokenizer whole. Results never
-depend on the memory.
+ids one after another. Words recur, so each worker keeps the ids of words it has met, in two generations of about
+MEMORY_WORDS: when the younger is full it becomes the older, and words met again move to the younger, so common words
+stay and rare ones go. Texts where a word's ids could depend on its neighbours go through the tokenizer whole. Results
+never depend on the memory.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
-#: Words whose ids a worker keeps: about 150 bytes each.
-MEMORY_WORDS = 400_000
+import numpy as np
+
+#: Words of a generation: about 150 bytes each.
+MEMORY_WORDS = 200_000
+#: Words that are encoded in one call.
+CALL = 1024
 
 _loaded: dict[str, object] = {}
-_memory: dict[str, dict[str, bytes]] = {}
+_memory: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 #: White space to Python's split() but not to the tokenizer.
 _ODD = "\x1c\x1d\x1e\x1f"
-_STOPS = re.compile(r"(?<=[^\W_])([.,])(?!\S)")
 
 
 def tokenizer(path: str):
@@ -30,12 +33,6 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def _bytes(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.array(ids, "<u4").tobytes()
-
-
 def _latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -46,20 +43,45 @@ def _latin(text: str) -> bool:
     return True
 
 
+def _encoded(words: list[str], model) -> dict[str, bytes]:
+    """The ids of each word: many words in one call. Of words of letters only each is one piece, so pieces tell them apart; other tokens are placed by their characters."""
+    out = {}
+    for plain in (True, False):
+        own = [w for w in words if w.isalpha() == plain]
+        for at in range(0, len(own), CALL):
+            some = own[at : at + CALL]
+            got = model.encode(" ".join(some), add_special_tokens=False)
+            if plain:
+                places, begins = np.array(got.word_ids, np.int64), np.arange(len(some) + 1)
+            else:
+                places, begins = np.array([a for a, _ in got.offsets], np.int64), np.concatenate(([0], np.cumsum([len(w) + 1 for w in some])))
+            edges = (4 * np.searchsorted(places, begins)).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            out.update((w, raw[a:b]) for w, a, b in zip(some, edges[:-1], edges[1:], strict=True))
+    return out
+
+
+def _stopped(word: str) -> bool:
+    """A comma or full stop after a letter or digit is a token of its own."""
+    return word[-1] in ".," and word[-2:-1].isalnum()
+
+
 def encode_words(texts: list[str], path: str) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit numbers, for a tokenizer that lower-cases and drops white space."""
-    model, known = tokenizer(path), _memory.setdefault(path, {})
-    if len(known) > MEMORY_WORDS:
-        known.clear()
-    split: list[list[str] | None] = []
-    for text in texts:
-        if "<|" in text or any(c in text for c in _ODD) or not _latin(text):
-            split.append(None)
-        else:
-            split.append(_STOPS.sub(r" \1", text.lower()).split())
-    new = list({w for words in split if words for w in words if w not in known})
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        known.update(zip(some, (_bytes(e.ids) for e in model.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    get = known.__getitem__
-    return [b"".join(map(get, words)) if words is not None else _bytes(model.encode(text, add_special_tokens=False).ids) for text, words in zip(texts, split, strict=True)]
+    model = tokenizer(path)
+    young, old = _memory.get(path, ({}, {}))
+    if len(young) > MEMORY_WORDS:
+        young, old = {}, young
+    _memory[path] = young, old
+    split = [None if "<|" in text or any(c in text for c in _ODD) or not _latin(text) else text.lower().split() for text in texts]
+    missing = set().union(*(words for words in split if words)).difference(young)
+    again = missing.intersection(old)
+    young.update((w, old[w]) for w in again)
+    missing -= again
+    stopped = [w for w in missing if _stopped(w)]
+    bases = {w for x in stopped for w in (x[:-1], x[-1])}.difference(young)
+    known = _encoded(list(missing.difference(stopped) | bases), model)
+    young.update(known)
+    young.update((w, young[w[:-1]] + young[w[-1]]) for w in stopped)
+    get = young.__getitem__
+    return [b"".join(map(get, words)) if words is not None else np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text, words in zip(texts, split, strict=True)]
