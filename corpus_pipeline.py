@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with their columns (doc_id, text, lang, source, n_chars),
 the last one packed pieces. Near-duplicate stages take five words and a similarity of 0.8.
-Other columns are dropped, so none can clash. Rows without a doc_id are left out by the stages that decide by it; rows that share one count as copies. Null
-or empty texts have no language and go with the first stage.
+Other columns are dropped, so none can clash. Rows without a doc_id are left out by the stages that decide by it. Rows that share a doc_id: equal texts count
+as copies, others as documents of their own, but a language or a benchmark hit found for one decides for all of them. Null or empty texts have no
+language and go with the first stage.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from signalwatch.llm.decontamination import contaminated
 from signalwatch.llm.language_id import identified
-from signalwatch.llm.minhash_dedup import near_duplicates
+from signalwatch.llm.minhash_dedup import grouped
 from signalwatch.llm.packing import packed
 from signalwatch.llm.queries import word_tokenizer
-from signalwatch.llm.shared import scratch
+from signalwatch.llm.shared import keep, kept_since, release, scratch
 from signalwatch.llm.substring_dedup import without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,10 +34,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs, shingle=5, per_cent=80).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest doc_id, of several rows with it the one whose text has the smallest hash."""
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("text"))
+    judged = grouped(docs, shingle=5, per_cent=80).where("kept")
+    kept = keep(judged.groupBy("component", "doc_id", F.when(F.col("component").isNull(), F.col("row"))).agg(F.min("row").alias("row")).select("doc_id", "row"))
+    return docs.join(kept, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
+        path, mark = f"{folder}/{k}-{name}", kept_since(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, mark)  # the stage's result is written, so its own tables can go
         docs = spark.read.parquet(path)
     return docs
