@@ -5,7 +5,7 @@ texts that share `span` words in a row thus share a fingerprint. Documents that
 their windows meet the benchmark's in an equi-join on hash and text, so a hit is exact.
 
 An item shorter than `span` words is one window of its own length; such lengths (fewer than `span` of them) are looked up
-gram by gram, for which no fingerprint is sure to be kept.
+gram by gram in the same pass, since no fingerprint is sure to be kept for them.
 
 Defined results: a null text has no words; items without words occur nowhere; repeated rows of a document count each for themselves only if
 their doc_id differs (rows of one doc_id are taken together); columns of the inputs other than id and text are ignored.
@@ -32,12 +32,20 @@ def _grams(words: Column, k: int) -> Column:
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *following(i)))
 
 
-def fingerprints(worded: DataFrame, span: int, k: int) -> DataFrame:
-    """worded (id, words) with a row for each distinct fingerprint: (id, print)."""
+def fingerprints(words: Column, span: int, k: int) -> Column:
+    """The smallest hash of each run of span - k + 1 grams of k words; none where there are fewer than `span` words."""
     width = span - k + 1
-    grams = worded.where(F.size("words") >= span).select("id", _grams(F.col("words"), k).alias("grams"))
-    least = F.transform(F.slice("grams", 1, F.size("grams") - (width - 1)), lambda x, i: F.least(x, *(F.get("grams", i + j) for j in range(1, width))))
-    return grams.select("id", F.explode(F.array_distinct(least)).alias("print"))
+
+    def least(grams: Column) -> Column:
+        return F.transform(F.slice(grams, 1, F.greatest(F.size(grams) - (width - 1), F.lit(0))), lambda x, i: F.least(x, *(F.get(grams, i + j) for j in range(1, width))))
+
+    return F.get(F.transform(F.array(_grams(words, k)), least), F.lit(0))
+
+
+def prints(worded: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
+    """(id, print) of worded (id, words): fingerprints, and all grams of the `short` lengths; each once for a row. One pass over the words."""
+    every = F.concat(fingerprints(F.col("words"), span, k), *(_grams(F.col("words"), n) for n in short))
+    return worded.select("id", F.explode(F.array_distinct(every)).alias("print"))
 
 
 def _windows(worded: DataFrame, n: int) -> DataFrame:
@@ -54,10 +62,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int =
     # at most span - 1 lengths, whatever the number of items
     short = sorted(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())
 
-    suspects = fingerprints(worded, span, k).join(fingerprints(items, span, k).select("print").distinct(), "print", "left_semi").select("id")
+    sought_prints = prints(items.where(F.size("words") >= span), span, k, [])
     for n in short:
-        own = items.where(F.size("words") == n).select(F.explode(_grams(F.col("words"), n)).alias("print")).distinct()
-        suspects = suspects.unionByName(worded.where(F.size("words") >= n).select("id", F.explode(F.array_distinct(_grams(F.col("words"), n))).alias("print")).join(own, "print", "left_semi").select("id"))
+        sought_prints = sought_prints.unionByName(items.where(F.size("words") == n).select("id", F.explode(_grams(F.col("words"), n)).alias("print")))
+    suspects = prints(worded, span, k, short).join(sought_prints.select("print").distinct(), "print", "left_semi").select("id")
     near = texts.join(suspects.distinct(), "id", "left_semi").select("id", words_of(F.col("text")).alias("words"))
 
     sought = _windows(items, span)
