@@ -41,14 +41,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     of revisions (documents with long numbers, which are masked)."""
     docs, path, version = _table(spark, sf_dir, "documents"), word_tokenizer(), "word_bpe_49k"
     table = f"{scratch(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    counts = keep(counted(docs, path, version))
+    numbers = F.coalesce(F.col("text").rlike(r"\d{6}"), F.lit(False))
+    old = F.struct(F.lit(False).alias("new"), F.col("text"))
+    new = F.struct(F.lit(True).alias("new"), F.regexp_replace("text", r"\d{6,}", "0").alias("text"))
+    both = docs.select("doc_id", "source", "lang", numbers.alias("numbers"), F.explode(F.when(numbers, F.array(old, new)).otherwise(F.array(old))).alias("t"))
+    counts = keep(counted(both.select("doc_id", "source", "lang", "numbers", "t.new", "t.text"), path, version, ("numbers", "new")))
+    stored = counts.where("not new")
     for batch in (0, 1, 2, 3, 0):
-        commit(inserts(counts.where(F.pmod(F.hash("doc_id"), F.lit(4)) == batch)), table, batch)
-    low = _table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
-    commit(deletes(counts.join(low, "doc_id", "left_semi")), table, 4)
-    masked = docs.where(F.col("text").rlike(r"\d{6}")).join(low, "doc_id", "left_anti").withColumn("text", F.regexp_replace("text", r"\d{6,}", "0"))
-    new = keep(counted(masked, path, version))
-    commit(revisions(counts.join(new.select("doc_id"), "doc_id", "left_semi"), new), table, 5)
+        commit(inserts(stored.where(F.pmod(F.hash("doc_id"), F.lit(4)) == batch)), table, batch)
+    low = _table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    commit(deletes(stored.join(low, "doc_id", "left_semi")), table, 4)
+    rest = counts.where("numbers").join(low, "doc_id", "left_anti")
+    commit(revisions(rest.where("not new"), rest.where("new")), table, 5)
     return totals(spark, table)
 
 
@@ -78,7 +82,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(scores: DataFrame, parts: int, held: int) -> DataFrame:
-    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == held
+    part = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == held, F.lit(False))
     return scores.select("doc_id", part.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -5,6 +5,9 @@ changes is added up to a few rows before it is written, under its own id, so tot
 never need the documents again. Committing an id again does nothing; a batch that died half-way has no _SUCCESS mark,
 isn't read, and is overwritten by its retry.
 
+Changes are made from rows, not from ids: an insert of a row and its later delete or revision come from the same row of the counts, so rows that share
+a doc_id or have none keep their own counts.
+
 Defined results: null text counts as empty; null source, language or doc_id are values like others; repeated rows count each for themselves;
 a group whose documents have all gone stays with zeros until compaction drops it.
 """
@@ -25,19 +28,22 @@ CHANGES = "source string, lang string, tokenizer string, docs bigint, tokens big
 GROUP = 256
 
 
-def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens) for whole texts."""
+def counted(docs: DataFrame, path: str, version: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, lang, carried columns, tokenizer, tokens) for whole texts. carry: columns that come along, such as what tells an old text from a new one."""
+    first = len(carry) + 3
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 some = batch.slice(at, GROUP)
-                n = [len(x) // 4 for x in encode_words([t or "" for t in some.column(3).to_pylist()], path)]
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([version] * len(n)), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "tokens"])
+                n = [len(x) // 4 for x in encode_words([t or "" for t in some.column(first).to_pylist()], path)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:first], pa.array([version] * len(n)), pa.array(n, pa.int64())], ["doc_id", "source", "lang", *carry, "tokenizer", "tokens"])
 
     modest(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    plain = docs.select("doc_id", *(F.col(x).cast("string").alias(x) for x in ("source", "lang", "text")))
-    return plain.mapInArrow(run, f"doc_id {kind}, source string, lang string, tokenizer string, tokens bigint")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    plain = docs.select("doc_id", *(F.col(x).cast("string").alias(x) for x in ("source", "lang")), *carry, F.col("text").cast("string").alias("text"))
+    carried = "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return plain.mapInArrow(run, f"doc_id {kinds['doc_id']}, source string, lang string{carried}, tokenizer string, tokens bigint")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
