@@ -8,10 +8,10 @@ log P(language | all) = log P(language | host) + log P(text | language) + log P(
 - host: global shares, smoothed into those of the domain (the last two labels), smoothed into those of the host.
 
 Only the trigram table (languages x CODES numbers) and the sums by language leave the executors; tables by host
-and suffix stay tables and are joined. The languages are those that at least `least_share` of declaring rows declare.
+and suffix stay tables and are joined. Every declared language is a candidate, however rare: what counts as one is a code of two or three letters.
 
-Defined results: null or empty text, declaration, suffix or host give no evidence. A row without any letter, or whose best language has less
-than `least` of the probability, is `und` and not kept. Repeated rows are judged alike.
+Defined results: null or empty text, declaration, suffix or host give no evidence, nor does a declaration of another form. A row without any letter, or whose best language has less
+than `least` of the probability, is `und` and not kept. Repeated rows are judged alike. Key columns keep their names and values, but for those named lang, confidence or kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -99,18 +99,24 @@ def _softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def identified(rows: DataFrame, least: float = 0.5, least_share: float = 0.001) -> DataFrame:
+#: Columns that identified() adds; a key column of such a name is replaced.
+RESULT = ["lang", "confidence", "kept"]
+
+
+def identified(rows: DataFrame, least: float = 0.5) -> DataFrame:
     """rows (declared, suffix, host, text and any key columns) without text, with lang, confidence, kept."""
     modest(rows.sparkSession)
-    keys = [c for c in rows.columns if c not in ("declared", "suffix", "host", "text")]
+    keys = [c for c in rows.columns if c not in ("declared", "suffix", "host", "text", *RESULT)]
+    # one struct, so that no key column can clash with what is worked out here
+    key = F.struct(*(F.col(f"`{c}`") for c in keys)) if keys else F.struct(F.lit(0).alias("none"))
+    back = [F.col(f"key.`{c}`") for c in keys]
     blank = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.lower(F.trim(F.col(c).cast("string"))))
-    rows = rows.select(*keys, F.substring_index(blank("declared"), "-", 1).alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"), F.col("text").cast("string").alias("text"))
-    shares = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
-    sums = shares.agg(F.sum("n").alias("all"))
-    # at most 1 / least_share languages
-    languages = sorted(r[0] for r in shares.join(F.broadcast(sums), F.col("n") >= F.lit(least_share) * F.col("all")).select("declared").collect())
+    code = F.substring_index(blank("declared"), "-", 1)
+    rows = rows.select(key.alias("key"), F.when(code.rlike("^[a-z]{2,3}$"), code).alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"), F.col("text").cast("string").alias("text"))
+    # codes of two or three letters only, so there are at most 18,252 of them whatever the table says
+    languages = sorted(r[0] for r in rows.where("declared is not null").select("declared").distinct().collect())
     if not languages:
-        return rows.drop("text", "declared", "suffix", "host").withColumn("lang", F.lit("und")).withColumn("confidence", F.lit(0.0)).withColumn("kept", F.lit(False))
+        return rows.select(*back, F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     k = len(languages)
     seen = keep(text_evidence(rows, trigram_counts(rows, languages)))
     posterior = seen.withColumn("post", _softmax(F.col("text_log"))).where("trigrams > 0")
@@ -143,7 +149,7 @@ def identified(rows: DataFrame, least: float = 0.5, least_share: float = 0.001)
     scored = full.withColumn("total", total).withColumn("p", _softmax(F.col("total"))).withColumn("confidence", F.array_max("p"))
     kept = (F.col("confidence") >= least) & (F.col("trigrams") > 0)
     best = F.get(F.array(*map(F.lit, languages)), (F.array_position("p", F.col("confidence")) - 1).cast("int"))
-    return scored.select(*keys, F.when(kept, best).otherwise("und").alias("lang"), "confidence", kept.alias("kept"))
+    return scored.select(*back, F.when(kept, best).otherwise("und").alias("lang"), "confidence", kept.alias("kept"))
 
 
 def page_text(html: Column) -> Column:
