@@ -6,7 +6,7 @@ the id); two numbers a text (weight of its hits, and that per length) then go th
 Whole texts are scored in one pass without any shuffle.
 
 Defined results: null and empty texts have no hits and get the score of none; unlabelled rows and null labels teach nothing; with labels of one kind
-only, every score is that kind's share; repeated rows are scored alike.
+only, every score is that kind's share, and without any label every score is 0 (nothing is known to be toxic); repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,6 @@ SAMPLE = 20_000
 #: A word or the beginning of words enters the lexicon if the log ratio of its share in toxic rows to that in others is LEAST_WEIGHT at least and, less
 #: DEVIATIONS standard errors, still positive; and so many toxic rows have it. No share of all toxic rows is asked for, so a small language's signs enter too.
 LEAST_ROWS, LEAST_WEIGHT, DEVIATIONS = 4, 2.5, 3.0
-#: Stems that the lexicon is chosen from at most: those in most toxic rows.
-LEXICON = 20_000
 #: Letters that a stem may have, and that a whole word must have.
 STEM, LEAST_WORD = range(4, 10), 2
 #: Harmless phrases known beforehand; others are learned.
@@ -127,7 +127,28 @@ class Lexicon:
                     safe.append((start, end))
             elif stem is not None or ends:
                 found.append((start, end, stem if stem is not None else whole))
-        return [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in safe)] if safe else found
+        return _outside(found, safe) if safe else found
+
+
+def _outside(found: list[tuple[int, int, float]], safe: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """Places that lie in none of the safe ones: of those that begin at or before a place, the one that ends last decides."""
+    safe = sorted(safe)
+    begins, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
+    return [x for x in found if (k := bisect_right(begins, x[0])) == 0 or reach[k - 1] < x[1]]
+
+
+def _word_before(folded: str, start: int) -> str:
+    """The word that ends one space before a place; empty without one."""
+    end = start - 1
+    if end < 1 or folded[end] != " ":
+        return ""
+    at = end
+    while at and "a" <= folded[at - 1] <= "z":
+        at -= 1
+    return folded[at:end]
+
+
+_AFTER = re.compile(r" ([a-z]+)")
 
 
 def _features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
@@ -150,8 +171,8 @@ def _contexts(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded, own = fold(text or ""), set()
                 for start, end, _ in lexicon.hits(folded):
-                    before, after = re.search(r"([a-z]+) $", folded[max(0, start - 40) : start]), re.match(r" ([a-z]+)", folded[end : end + 40])
-                    own |= {f"{before[1]} {folded[start:end]}"} if before else set()
+                    before, after = _word_before(folded, start), _AFTER.match(folded, end)
+                    own |= {f"{before} {folded[start:end]}"} if before else set()
                     own |= {f"{folded[start:end]} {after[1]}"} if after else set()
                 phrases += own
                 labels += [label] * len(own)
@@ -183,18 +204,18 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAM
 
 
 def learned(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and curve from (text, toxic 0/1); the sample is bounded, and so is what comes to the driver."""
+    """Lexicon and curve from (text, toxic 0/1); what comes to the driver is bounded by the sample: words that LEAST_ROWS of its toxic rows have, and phrases with them."""
     sample = sample.persist()
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
         sample.unpersist()
-        return Lexicon({}), np.array([0.0, 0.0, math.log((n1 + 0.5) / (n0 + 0.5))])
+        return Lexicon({}), np.array([0.0, 0.0, math.log((n1 + 0.5) / (n0 + 0.5)) if n0 + n1 else -30.0])
     weight = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     stems = _stem_counts(sample).where(F.col("n1") >= LEAST_ROWS).withColumn("weight", weight).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("weight") > DEVIATIONS * error))
-    lexicon = Lexicon(_chosen([(r["stem"], r["n1"], float(r["weight"])) for r in stems.orderBy(F.desc("n1"), "stem").limit(LEXICON).collect()]), EXCEPTIONS)
-    safe = _contexts(sample, lexicon).groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n - bad >= 3 and bad < 0.3 * n").orderBy(F.desc("n"), "phrase").limit(LEXICON)
+    lexicon = Lexicon(_chosen([(r["stem"], r["n1"], float(r["weight"])) for r in stems.collect()]), EXCEPTIONS)
+    safe = _contexts(sample, lexicon).groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n - bad >= 3 and bad < 0.3 * n")
     lexicon = Lexicon(lexicon.weights, (*EXCEPTIONS, *(r["phrase"] for r in safe.collect())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
