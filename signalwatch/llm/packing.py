@@ -29,9 +29,9 @@ def binary_lengths(n: int, most: int) -> list[int]:
 
 
 def packed(docs: DataFrame, path: str, end_id: int = 1, most: int = 2048, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, input_ids]): one row per piece.
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket[, input_ids]): one row per piece.
 
-    docs: doc_id, text. path: a word-level file of `tokenizers`. Bucket of a sequence: its length.
+    docs: doc_id, text. path: a word-level file of `tokenizers`. bucket: the power of two that a sequence's length is; see write_buckets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([end_id], "<u4").tobytes()
@@ -59,4 +59,10 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, most: int = 2048, with_i
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", input_ids array<int>" * with_ids
     pieces = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    out = pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    return out.withColumn("bucket", F.round(F.log2("length")).cast("int"))
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Writes packed pieces with a folder for each bucket, so that a trainer reads sequences of one length together. No shuffle: every task writes to the buckets it has."""
+    pieces.write.partitionBy("bucket").parquet(path)

@@ -4,10 +4,10 @@ Every token has a sparse random index vector that follows from its hash. A token
 of the tokens at most two places from it, over all documents: each task adds up its share and a grouped sum joins the shares. Tokens share
 CELLS places by hash, so the table has a fixed size whatever the vocabulary. A document is the weighted mean and
 spread of its tokens' vectors. The network is trained in numpy on at most SAMPLE labelled rows a class; a temperature,
-fitted on rows set aside, turns its output into probabilities.
+fitted on rows that neither trained it nor chose its weights, turns its output into probabilities.
 
 Defined results: null and empty texts have all-zero features and get the score of those; unlabelled rows and null labels teach nothing; with labels of
-one kind only, every score is that kind's share; repeated rows are scored alike.
+one kind only, every score is that kind's share, and without any label every score is .5 (nothing is known, so nothing is thrown out); repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -116,7 +116,9 @@ class Network:
         rng = np.random.default_rng(7)
         self.mid, self.scale = x.mean(0), x.std(0) + 1e-6
         order = rng.permutation(len(x))
-        aside, own = order[: len(x) // 5], order[len(x) // 5 :]
+        # one part chooses the weights, another the temperature, the rest trains
+        n = len(x) // 8
+        aside, last, own = order[:n], order[n : 2 * n], order[2 * n :]
         z = (x - self.mid) / self.scale
         self.w = [rng.normal(0, (2 / z.shape[1]) ** 0.5, (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, hidden), np.zeros(1)]
         first, second = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w]
@@ -137,7 +139,7 @@ class Network:
             if loss < best[0]:
                 best = (loss, [a.copy() for a in self.w])
         self.w = best[1]
-        self.heat = min(np.geomspace(0.25, 8, 61), key=lambda t: self._loss(z[aside], y[aside], t))
+        self.heat = min(np.geomspace(0.25, 8, 61), key=lambda t: self._loss(z[last], y[last], t))
 
     def _raw(self, z: np.ndarray) -> np.ndarray:
         return np.maximum(z @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
