@@ -175,7 +175,7 @@ def test_packing(spark):
         assert [x for r in own for x in r["input_ids"]] == ids
         for r in own:
             piece = ids[r["start"] : r["start"] + r["length"]]
-            assert r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and r["offset"] == 0 and r["doc_tokens"] == len(ids)
+            assert 1 << r["bucket"] == r["length"] and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and r["offset"] == 0 and r["doc_tokens"] == len(ids)
             assert r["ids_crc32"] == zlib.crc32(np.array(piece, "<u4").tobytes())
 
 
@@ -205,6 +205,21 @@ def test_language(spark):
     assert language_id.identified(spark.createDataFrame([], "doc_id long, declared string, suffix string, host string, text string")).count() == 0
 
 
+def test_rare_languages_and_clashing_columns(spark):
+    """One text of a language among 1,500 of another is still told, and key columns of any name come back as they were."""
+    r = random.Random(23)
+    word = {x: ["".join(r.choice(x) for _ in range(r.randint(2, 6))) for _ in range(60)] for x in ("abcdeq", "mnopst")}
+    rows = [(i, "en", "h", " ".join(r.choice(word["abcdeq"]) for _ in range(30)), 0.5, "keep", 7) for i in range(1500)]
+    rows.append((1500, "fi", "h", " ".join(r.choice(word["mnopst"]) for _ in range(30)), 0.5, "keep", 7))
+    rows.append((1501, "not a language", "h", rows[0][3], 0.5, "keep", 7))
+    table = spark.createDataFrame(rows, "doc_id long, declared string, host string, text string, p double, lang string, total int").withColumn("suffix", F.lit(None).cast("string"))
+    found = language_id.identified(table)
+    assert sorted(found.columns) == sorted(["doc_id", "p", "total", "lang", "confidence", "kept"])
+    out = {x["doc_id"]: x for x in found.collect()}
+    assert out[1500]["lang"] == "fi" and out[1500]["kept"] and out[1501]["lang"] == "en" and all(out[i]["lang"] == "en" for i in range(1500))
+    assert all((x["p"], x["total"]) == (0.5, 7) for x in out.values())
+
+
 def test_page_parts(spark):
     html = '<!DOCTYPE html><HTML class="a" lang="fr-FR"><script>var t="</p>";</script><!-- x --><p>Un mot</p>&amp;'
     r = spark.createDataFrame([(html,), (None,)], "h string").select(language_id.page_language(F.col("h")).alias("l"), language_id.page_text(F.col("h")).alias("t")).collect()
@@ -332,10 +347,27 @@ def test_toxicity(spark):
     assert {"moron$", "scum$"} <= set(lexicon.weights)
     out = {x["doc_id"]: x["score"] for x in toxicity.scored(docs, lexicon, curve).collect()}
     assert all((out[i] >= 0.3) == (i % 4 == 0) for i in range(400)) and out[400] == out[401] < 0.3
+    none, flat = toxicity.learned(toxicity.sampled(docs, labels.limit(0), "toxic"))
+    assert max(x["score"] for x in toxicity.scored(docs, none, flat).collect()) < 1e-9 and toxicity.scored(docs.limit(0), none, flat).count() == 0
     alone, one = toxicity.learned(toxicity.sampled(docs, labels.where("toxic = 0"), "toxic"))
     assert {x["score"] < 0.3 for x in toxicity.scored(docs, alone, one).collect()} == {True}
 
 
+def test_scan_is_substring_search():
+    """The automaton finds what looking for each word in turn finds, and safe phrases cover what lies within them."""
+    r = random.Random(29)
+    words = ["bad", "badly", "ugh", "rot", "rotten", "ab"]
+    lex = toxicity.Lexicon({"bad$": 1.0, "rott": 2.0, "ugh$": 3.0, "ab$": 0.5}, ("bad day", "ugh ugh"))
+    for _ in range(300):
+        text = "".join(r.choice([*words, "day", " ", ", ", "x"]) for _ in range(12))
+        plain = [(m.start(), m.end(), w) for p, w in ((r"bad(?![^\W\d_])", 1.0), (r"rott", 2.0), (r"ugh(?![^\W\d_])", 3.0), (r"ab(?![^\W\d_])", 0.5)) for m in re.finditer(rf"(?<![^\W\d_]){p}", text)]
+        safe = [(m.start(), m.start() + len(p)) for p in lex.exceptions for m in re.finditer(rf"(?<![^\W\d_])(?={p}(?![^\W\d_]))", text) if p in ("bad day", "ugh ugh", *toxicity.EXCEPTIONS)]
+        want = sorted(x for x in plain if not any(a <= x[0] and x[1] <= b for a, b in safe))
+        assert sorted(lex.hits(text)) == want, text
+    long = "a" * 60
+    assert toxicity._word_before(f"{long} bad", 61) == long and toxicity._word_before("bad", 0) == "" and toxicity._word_before("x, bad", 3) == ""
+
+
 def test_rare_and_short_toxic_words(spark):
     """A word in 2 % of toxic rows, as a small language's would be, and one of three letters are in the lexicon."""
     r = random.Random(18)
@@ -345,6 +377,25 @@ def test_rare_and_short_toxic_words(spark):
     assert lexicon.hits("kretyn") and lexicon.hits("zut") and not any(lexicon.hits(w) for w in VOCAB)
 
 
+def test_word_vectors_are_sums(spark):
+    """The table against loops over every token and its neighbours."""
+    texts = [prose(30, random.Random(k)) + ", end!" for k in range(12)] + [None, ""]
+    got, share = quality.word_vectors(frame(spark, texts))
+    place, sign = quality._index()
+    want, count = np.zeros((quality.CELLS, quality.WIDTH)), np.zeros(quality.CELLS)
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        cells = quality.token_cells(np.array([0, len(data)]), data)[0].tolist()
+        for i, c in enumerate(cells):
+            count[c] += 1
+            for j in range(max(0, i - quality.REACH), min(len(cells), i + quality.REACH + 1)):
+                if j != i:
+                    np.add.at(want[c], place[cells[j]], sign[cells[j]])
+    assert np.allclose(share, count / count.sum())
+    want -= want.sum(0) * share[:, None]
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-5)
+
+
 def test_quality(spark):
     r = random.Random(12)
     texts = [prose(80, r) if i % 3 else " ### ".join(prose(3, r) + "%%%" for _ in range(20)) for i in range(360)] + [None, ""]
@@ -356,6 +407,8 @@ def test_quality(spark):
     out = {x["doc_id"]: x["score"] for x in quality.scored(docs, model, vectors, share).collect()}
     right = np.mean([(out[i] >= 0.5) == (i % 3 > 0) for i in range(300, 360)])
     assert right >= 0.95 and all(0 <= v <= 1 for v in out.values()) and out[360] == out[361]
+    unknown = quality.trained(toxicity.sampled(docs, labels.limit(0), "quality"), "quality", vectors, share)
+    assert {x["score"] for x in quality.scored(docs, unknown, vectors, share).collect()} == {0.5} and quality.word_vectors(docs.limit(0))[1].sum() == 0
     single = quality.trained(toxicity.sampled(docs, labels.where("quality = 1"), "quality"), "quality", vectors, share)
     assert all(x["score"] > 0.9 for x in quality.scored(docs, single, vectors, share).collect())
 
@@ -388,6 +441,25 @@ def test_many_equal_cells(spark):
 SF = "/root/testdata/sf0.001"
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0), (None, [1.0, 0.0], 0)]
+    out = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert out == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_many_pieces(spark, monkeypatch):
+    """Slabs of several pieces, strips of several rows, guests: the same as all pairs."""
+    monkeypatch.setattr(embedding_dedup, "PIECE_BYTES", 8 * 16 * 20)
+    monkeypatch.setattr(embedding_dedup, "STRIP", 7)
+    g = np.random.default_rng(9)
+    base = g.normal(size=(6, 16))
+    x = base[np.arange(240) % 6] + g.normal(size=(240, 16)) * 0.16
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.93
+    out = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert [out[i] for i in range(240)] == (links.sum(1) - 1).tolist() and 500 < links.sum() < 20_000
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     import os
