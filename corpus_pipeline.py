@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with their columns (doc_id, text, lang, source, n_chars),
 the last one packed pieces. Near-duplicate stages take five words and a similarity of 0.8.
 Other columns are dropped, so none can clash. Rows without a doc_id are left out by the stages that decide by it. Rows that share a doc_id: equal texts count
-as copies, others as documents of their own, but a language or a benchmark hit found for one decides for all of them. Null or empty texts have no
+as copies, others as documents of their own, but a benchmark hit found for one decides for all of them. Null or empty texts have no
 language and go with the first stage.
 """
 
@@ -27,10 +27,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is sure enough; lang becomes what was identified, from text, declared lang and source."""
-    docs = docs.select(*COLUMNS)
-    known = identified(docs.select("doc_id", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), "text"))
-    known = known.where("kept").select("doc_id", F.col("lang").alias("found")).dropDuplicates(["doc_id"])
-    return docs.join(known, "doc_id").withColumn("lang", F.col("found")).select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("text"))
+    asked = docs.select("doc_id", "row", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), "text")
+    known = identified(asked).where("kept").groupBy("doc_id", "row").agg(F.max_by("lang", F.struct("confidence", "lang")).alias("found"))
+    return docs.join(known, ["doc_id", "row"]).withColumn("lang", F.col("found")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
