@@ -32,6 +32,7 @@ SCRIPTS = [("Devanagari", "hi", "Deva"), ("Tamil", "ta", "Taml"), ("Telugu", "te
 POSITIVE = ["good", "great", "better", "relief", "thanks", "helpful", "safe", "अच्छा", "बेहतर", "ठीक", "நன்றி", "మంచి", "ಚೆನ್ನಾಗಿದೆ"]
 NEGATIVE = ["bad", "worse", "pain", "vomit", "vomiting", "fever", "die", "death", "danger", "dangerous", "fake", "scared", "afraid", "harm", "harmful", "खराब", "दर्द", "मौत", "खतरा", "வலி", "నొప్పి", "ಸಾವು"]
 SUBJECTIVE = ["i ", "we ", "my ", "मेरा", "எங்கள்", "మా", "ನನ್ನ", "feel", "think", "believe"]
+NEGATION_REACH = 24
 NEGATIONS = ["no ", "not ", "without ", "denies ", "नहीं", "இல்லை", "లేదు", "ಇಲ್ಲ"]
 
 # Misinformation cues by label and confidence, the first that fits counts.
@@ -56,10 +57,18 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, state, step, lambda s: s["out"])
 
 
+#: The least that a text must have for a pattern to find anything: far cheaper than the pattern.
+_GATES = {"aadhaar": r"\p{Nd}{4}", "pan": r"[A-Z]\p{Nd}{4}[A-Z]", "mobile": r"[6-9]\p{Nd}{9}"}
+_SIGNS = {"email": "@", "username": "@", "url_handle": "://"}
+
+
 def pii_findings(text: Column) -> Column:
     """array<struct<start, stop, kind, token>> on the text: earliest first, then longest, then table order; no overlaps."""
+    none = F.array().cast("array<struct<start:int,shorter:int,ord:int,stop:int,kind:string,token:string>>")
+
     def of(i: int, kind: str, pattern: str, token: str) -> Column:
-        return F.transform(spans(text, pattern), lambda m: F.struct(m["start"].alias("start"), (m["start"] - m["stop"]).alias("shorter"), F.lit(i).alias("ord"), m["stop"].alias("stop"), F.lit(kind).alias("kind"), F.lit(token).alias("token")))
+        may = F.contains(text, F.lit(_SIGNS[kind])) if kind in _SIGNS else text.rlike(_GATES[kind])
+        return F.when(may, F.transform(spans(text, pattern), lambda m: F.struct(m["start"].alias("start"), (m["start"] - m["stop"]).alias("shorter"), F.lit(i).alias("ord"), m["stop"].alias("stop"), F.lit(kind).alias("kind"), F.lit(token).alias("token")))).when(text.isNotNull(), none)
 
     every = F.concat(*(of(i, *row) for i, row in enumerate(PII)))
     empty = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,stop:int,kind:string,token:string>>").alias("out"))
@@ -71,7 +80,7 @@ def redacted(text: Column, findings: Column) -> Column:
     """text with each finding replaced by its token."""
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda s, m: F.struct(m["stop"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), m["token"]).alias("out"))
-    return F.aggregate(findings, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(findings) == 0, text).otherwise(F.aggregate(findings, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
 
 
 def dominant_script(token: Column) -> Column:
@@ -87,31 +96,34 @@ def dominant_script(token: Column) -> Column:
 def language_segments(text: Column) -> Column:
     """array<struct<start, stop, language, script>>: runs of tokens with one dominant script.
 
-    A text without letters of other scripts is one run; only mixed texts are looked at token by token.
+    A text without letters of other scripts is one run; only mixed texts are looked at token by token, and only tokens with such
+    letters are counted. Runs are placed in one pass over their lengths.
     """
     names = F.create_map(*(F.lit(x) for n, lang, _ in SCRIPTS for x in (n, lang)))
     tags = F.create_map(*(F.lit(x) for n, _, tag in SCRIPTS for x in (n, tag)))
     row = lambda start, stop, script: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.element_at(names, script).alias("language"), F.element_at(tags, script).alias("script"))
-    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
-    parts = F.struct(
-        F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), 0), lambda t: F.struct(F.length(t).alias("n"), dominant_script(t).alias("script"))).alias("t"),
-        F.transform(F.split(text, r"\S+", -1), lambda g: F.length(g)).alias("gaps"))
+    other = "[" + "".join(rf"\p{{Is{n}}}" for n, _, _ in SCRIPTS[:-1]) + "]"
+    script = lambda t: F.when(t.rlike(other), dominant_script(t)).otherwise("Latin")
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), 0), lambda t: F.struct(F.length(t).alias("n"), script(t).alias("script")))
+    parts = F.struct(tokens.alias("t"), F.transform(F.split(text, r"\S+", -1), lambda g: F.length(g)).alias("gaps"))
+    none = F.array().cast("array<struct<start:int,stop:int,language:string,script:string>>")
 
     def runs(p: Column) -> Column:
+        """Each run's first token, one after another; `at` is where the run before ended."""
         n = F.size(p["t"])
         opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(p["t"], i)["script"] != F.get(p["t"], i - 1)["script"]))
-        before = lambda i: total(F.transform(F.slice(p["t"], 1, i), lambda t: t["n"])) + total(F.slice(p["gaps"], 1, i + 1))
+        pairs = lambda o: F.transform(o, lambda i, k: F.struct(i.alias("a"), F.coalesce(F.get(o, k + 1), n).alias("b")))
 
-        def run(o: Column) -> Column:
-            last = lambda k: F.coalesce(F.get(o, k + 1), n) - 1
-            return F.transform(o, lambda i, k: row(before(i), before(last(k)) + F.get(p["t"], last(k))["n"], F.get(p["t"], i)["script"]))
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + F.get(p["gaps"], x["a"])
+            words = F.aggregate(F.slice(p["t"], x["a"] + 1, x["b"] - x["a"]), F.lit(0), lambda m, t: m + t["n"])
+            stop = start + F.aggregate(F.slice(p["gaps"], x["a"] + 2, x["b"] - x["a"] - 1), words, lambda m, g: m + g)
+            return F.struct(stop.alias("at"), F.concat(s["out"], F.array(row(start, stop, F.get(p["t"], x["a"])["script"]))).alias("out"))
 
-        return let(opens, run)
+        return F.aggregate(let(opens, pairs), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
     plain = F.array(row(F.length(F.regexp_extract(text, r"^\s*", 0)), F.length(F.regexp_replace(text, r"\s+$", "")), F.lit("Latin")))
-    other = text.rlike("[" + "".join(rf"\p{{Is{n}}}" for n, _, _ in SCRIPTS[:-1]) + "]")
-    none = F.array().cast("array<struct<start:int,stop:int,language:string,script:string>>")
-    return F.when(~text.rlike(r"\S"), none).when(other, let(parts, runs)).otherwise(plain)
+    return F.when(~text.rlike(r"\S"), none).when(text.rlike(other), let(parts, runs)).otherwise(plain)
 
 
 def dominant_language(segments: Column) -> Column:
@@ -126,9 +138,13 @@ def needs_translation(segments: Column) -> Column:
 
 
 def cue_hits(text: Column, cues: list[str]) -> Column:
-    """ASCII cues as whole words, others as substrings, in lower-cased text."""
-    low = F.lower(text)
-    return sum((F.regexp_count(low, F.lit(f"{NOT_BEFORE}\\Q{c}\\E{NOT_AFTER}" if c.isascii() else f"\\Q{c}\\E")) for c in cues[1:]), F.regexp_count(low, F.lit(f"{NOT_BEFORE}\\Q{cues[0]}\\E{NOT_AFTER}")))
+    """ASCII cues as whole words, others as substrings, in lower-cased text. All ASCII cues are one pattern that a first letter opens; others are looked for only where there are letters of their scripts."""
+    low, plain, other = F.lower(text), [c for c in cues if c.isascii()], [c for c in cues if not c.isascii()]
+    letters = "".join(sorted({c[0] for c in plain}))
+    hits = F.regexp_count(low, F.lit(f"(?=[{letters}]){NOT_BEFORE}(?:{'|'.join(rf'\Q{c}\E' for c in plain)}){NOT_AFTER}"))
+    codes = sorted(ord(x) for c in other for x in c)
+    far = sum((F.regexp_count(low, F.lit(rf"\Q{c}\E")) for c in other[1:]), F.regexp_count(low, F.lit(rf"\Q{other[0]}\E")))
+    return hits + F.when(text.rlike(rf"[\x{{{codes[0]:x}}}-\x{{{codes[-1]:x}}}]"), far).otherwise(0)
 
 
 def sentiment(text: Column) -> Column:
@@ -151,10 +167,14 @@ def misinformation(text: Column) -> Column:
 
 def negated(text: Column, start: Column) -> Column:
     """Whether a cue stands in the 24 characters before `start` (from 0)."""
-    before = F.lower(F.substring(text, F.greatest(start - 24, F.lit(0)) + 1, F.least(start, F.lit(24))))
-    out = F.lit(False)
+    return has_cue(F.substring(text, F.greatest(start - NEGATION_REACH, F.lit(0)) + 1, F.least(start, F.lit(NEGATION_REACH))))
+
+
+def has_cue(before: Column) -> Column:
+    """Whether a negation cue stands in what is before a place."""
+    low, out = F.lower(before), F.lit(False)
     for cue in NEGATIONS:
-        out = out | before.contains(cue)
+        out = out | low.contains(cue)
     return out
 
 

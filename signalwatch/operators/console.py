@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .slices import OWN, PART, PLACE, by_rows, by_seconds
 from .telemetry import epoch_seconds
 
 # Kinds of entity, and the least confidence that each must have.
@@ -94,17 +95,20 @@ def row_intensity(counts: DataFrame, rows: str) -> DataFrame:
     return counts.withColumn("intensity", F.col("n") / F.greatest(F.max("n").over(Window.partitionBy(rows)), F.lit(1)))
 
 
-def velocity(fetches: DataFrame, key: str | None = None) -> DataFrame:
-    """fetches that succeeded with velocity (a minute, over the last 30) and anomaly: over three times the mean of up to 24 before, which is over .5."""
-    by = Window.partitionBy(key) if key else Window.partitionBy()
-    order = by.orderBy("ts", "event_id")
-    last = order.rowsBetween(-29, 0)
-    ok = fetches.where("ok")
-    n, minutes = F.count("*").over(last), (F.unix_micros(F.col("ts").cast("timestamp")) - F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(last)) / 60e6
-    rated = ok.withColumn("k", F.row_number().over(order)).withColumn("velocity", F.when(n >= 2, F.floor(n / F.when(minutes == 0, 1.0).otherwise(minutes) * 10 + 0.5) / 10))
+def velocity(fetches: DataFrame, key: str | None = None, rows: int = 100_000) -> DataFrame:
+    """fetches that succeeded with velocity (a minute, over the last 30) and anomaly: over three times the mean of up to 24 before, which is over .5.
+
+    A series is cut into runs of `rows` rows that carry what both windows need, so a source with most fetches is many tasks.
+    """
+    keys = [key] if key else []
+    ok = by_rows(fetches.where("ok"), keys, ["ts", "event_id"], F.floor(epoch_seconds(F.col("ts")) / 3600), 29 + 24, rows)
+    order = Window.partitionBy(*keys, PART).orderBy("ts", "event_id")
+    last, micros = order.rowsBetween(-29, 0), F.unix_micros(F.col("ts").cast("timestamp"))
+    n, minutes = F.count("*").over(last), (micros - F.min(micros).over(last)) / 60e6
+    rated = ok.withColumn("velocity", F.when(n >= 2, F.floor(n / F.when(minutes == 0, 1.0).otherwise(minutes) * 10 + 0.5) / 10))
     before = order.rowsBetween(-24, -1)
     mean, seen = F.avg("velocity").over(before), F.count("velocity").over(before)
-    return rated.withColumn("anomaly", F.coalesce((seen >= 4) & (mean > 0.5) & (F.col("velocity") > 3 * mean), F.lit(False)))
+    return rated.withColumn("anomaly", F.coalesce((seen >= 4) & (mean > 0.5) & (F.col("velocity") > 3 * mean), F.lit(False))).where(OWN).drop(PART, OWN).withColumnRenamed(PLACE, "k")
 
 
 def timeline(df: DataFrame, key: str, values: list[str], points: int, bucket: Column) -> DataFrame:
@@ -114,10 +118,10 @@ def timeline(df: DataFrame, key: str, values: list[str], points: int, bucket: Co
 
 
 def rate_spikes(fetches: DataFrame, key: str, within: int = 60, least: int = 5, cool: int = 120) -> DataFrame:
-    """Fetches at which `least` or more came within the last `within` seconds, none within `cool` seconds of the alert before."""
-    sec = epoch_seconds(F.col("ts"))
-    recent = F.count("*").over(Window.partitionBy(key).orderBy("sec").rangeBetween(-(within - 1), 0))
-    hot = fetches.withColumn("sec", sec).withColumn("recent", recent).where(F.col("recent") >= least)
+    """Fetches at which `least` or more came within the last `within` seconds, none within `cool` seconds of the alert before. Counted in stretches of time, so a busy source is many tasks."""
+    parts = by_seconds(fetches.withColumn("sec", epoch_seconds(F.col("ts"))), "sec", within - 1)
+    recent = F.count("*").over(Window.partitionBy(key, PART).orderBy("sec").rangeBetween(-(within - 1), 0))
+    hot = parts.withColumn("recent", recent).where(F.col(OWN) & (F.col("recent") >= least)).drop(PART, OWN)
     return cooled(hot, key, "sec", cool)
 
 
@@ -126,7 +130,8 @@ def bursts(fetches: DataFrame, key: str, least: int = 25, cool: int = 90) -> Dat
 
 
 def cooled(candidates: DataFrame, key: str, sec: str, cool: int) -> DataFrame:
-    """(key, sec): candidates in time order without those `cool` seconds or less after the last one kept. A fold per key and day-long stretch of candidates."""
+    """(key, sec): candidates in time order without those `cool` seconds or less after the last one kept. Of a key only its distinct seconds are put in order; each
+    stretch of candidates without a pause is folded on its own."""
     gap = F.col(sec) - F.lag(sec).over(Window.partitionBy(key).orderBy(sec))
     # a pause longer than `cool` starts afresh, so a fold never holds more than one such stretch
     parts = candidates.select(key, sec).distinct().withColumn("new", F.coalesce((gap > cool).cast("int"), F.lit(1)))
@@ -175,10 +180,27 @@ def map_pins(entities: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return located(folded, gazetteer, "low")
 
 
+def _cuts(text: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
+    one = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, n)))
+    return F.array_distinct(F.flatten(F.filter(F.array(*(one(n) for n in lengths)), lambda x: x.isNotNull())))
+
+
 def located(names: DataFrame, gazetteer: DataFrame, name: str) -> DataFrame:
-    """names with lat and lon of the first gazetteer entry (name, lat, lon, ord) that is equal, else contains it or is contained. Distinct names meet the gazetteer once, which must be a list of fixed size."""
-    each = names.select(name).distinct()
-    met = each.join(F.broadcast(gazetteer.withColumnRenamed("name", "g")), F.expr(f"{name} = g or contains({name}, g) or contains(g, {name})"))
+    """names with lat and lon of the first gazetteer entry (name, lat, lon, ord) that is equal, else contains it or is contained.
+
+    Equi-joins on substrings both ways: those of a name that are as long as some entry, and those of an entry that are as long as some
+    name. Both lists of lengths are bounded by the longest name. Empty names are nowhere.
+    """
+    each = names.select(name).where(F.length(name) > 0).distinct()
+    known = gazetteer.withColumnRenamed("name", "g").where("length(g) > 0")
+    lengths = lambda df, c: sorted(r[0] for r in df.select(F.length(c)).distinct().collect())
+    of_known, of_names = lengths(known, "g"), lengths(each, name)
+    if not of_known or not of_names:
+        return names.withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double")).limit(0)
+    holds = each.withColumn("g", F.explode(_cuts(F.col(name), of_known))).join(known, "g")
+    held = known.withColumn(name, F.explode(_cuts(F.col("g"), of_names))).join(each, name)
+    met = holds.select(name, "g", "lat", "lon", "ord").unionByName(held.select(name, "g", "lat", "lon", "ord"))
     best = met.groupBy(name).agg(F.min_by(F.struct("lat", "lon"), F.struct((F.col(name) != F.col("g")).alias("other"), "ord")).alias("p"))
     return names.join(best.select(name, "p.lat", "p.lon"), name)
 
@@ -217,3 +239,19 @@ def geojson(clusters: DataFrame) -> DataFrame:
     """(feature): one GeoJSON text a cluster."""
     shape = F.struct(F.lit("Point").alias("type"), F.array("centroid_lon", "centroid_lat").alias("coordinates"))
     return clusters.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct("observed", "expected").alias("properties"))).alias("feature"))
+
+
+def source_mix(fetches: DataFrame) -> DataFrame:
+    """(source, items): how much each source brought."""
+    return fetches.groupBy("source").agg(F.sum("items").alias("items"))
+
+
+def funnel(fetches: DataFrame, sure: Column) -> DataFrame:
+    """One row: fetches, those with items, of them those that succeeded, and of them those that are sure."""
+    some = F.col("items") > 0
+    return fetches.agg(F.count("*").alias("crawled"), F.count_if(some).alias("with_entities"), F.count_if(some & F.col("ok")).alias("extracted"), F.count_if(some & F.col("ok") & sure).alias("confident"))
+
+
+def top_entities(entities: DataFrame, limit: int = 10) -> DataFrame:
+    """(low, count): the most frequent values, folded by lower case; ties by name."""
+    return entities.groupBy(F.lower("value").alias("low")).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "low").limit(limit)

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.annotate import NOT_AFTER, NOT_BEFORE, W, negated
+from ..functions.annotate import NEGATION_REACH, NOT_AFTER, NOT_BEFORE, W, has_cue
 
 #: Runs of word characters: the tokens of texts and surfaces alike.
 TOKEN = W + "+"
+_TOKEN = re.compile(r"\w+")
+#: First words of surfaces that tasks are given to leave out n-grams that can't match; a vocabulary with more is joined without that help.
+FIRST_WORDS = 200_000
+#: n-grams that a task holds at once.
+GRAMS = 50_000
 
 
 def vocabulary_rows(sections: DataFrame) -> DataFrame:
@@ -19,30 +28,57 @@ def vocabulary_rows(sections: DataFrame) -> DataFrame:
     return names.where("trim(surface) <> ''").select("kind", "surface", "code_system", "code", (F.col("i") * 1000 + F.col("j")).alias("ord"))
 
 
+def placed_grams(mentions: DataFrame, longest: int, firsts: frozenset[str] | None) -> DataFrame:
+    """(mention_id, key, start, stop, surface, before) of the word n-grams of whole texts, up to `longest` words, that begin with one of `firsts` (all for None).
+
+    Places can't be had from built-in functions without going through a text again for each match, so each text is gone through once here.
+    """
+    names = ["mention_id", "key", "start", "stop", "surface", "before"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], [[] for _ in names[1:]]
+
+            def batched() -> pa.RecordBatch:
+                made = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names)
+                rows.clear()
+                for x in out:
+                    x.clear()
+                return made
+
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                spans = [m.span() for m in _TOKEN.finditer(text)]
+                words = [text[a:b].lower() for a, b in spans]
+                for i, word in enumerate(words):
+                    if firsts is not None and word not in firsts:
+                        continue
+                    start = spans[i][0]
+                    for n in range(1, min(longest, len(words) - i) + 1):
+                        stop = spans[i + n - 1][1]
+                        rows.append(row)
+                        for x, v in zip(out, (" ".join(words[i : i + n]), start, stop, text[start:stop], text[max(0, start - NEGATION_REACH) : start]), strict=True):
+                            x.append(v)
+                    if len(rows) > GRAMS:
+                        yield batched()
+            yield batched()
+
+    kind = mentions.schema["mention_id"].dataType.simpleString()
+    return mentions.where("text is not null").select("mention_id", "text").mapInArrow(run, f"mention_id {kind}, key string, start int, stop int, surface string, before string")
+
+
 def dictionary_entities(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(mention_id, kind, code, surface, start, stop, confidence, negated): whole-word, case-insensitive matches of vocabulary (kind, surface, code, ord).
 
-    Texts become word n-grams with offsets, as long as the longest surface; they meet the surfaces' n-grams in an equi-join, and the
-    original substring is compared. Of matches with one (kind, code, place) the first in vocabulary order stays.
+    Texts become word n-grams with their places, as long as the longest surface; they meet the surfaces' n-grams in an equi-join, and the
+    original substring is compared. Of matches with one (kind, code, place) the first in vocabulary order stays. Texts are read once and
+    never shuffled.
     """
-    terms = vocabulary.withColumn("key", F.array_join(F.regexp_extract_all(F.lower("surface"), F.lit(TOKEN), 0), " ")).withColumn("n", F.size(F.regexp_extract_all(F.lower("surface"), F.lit(TOKEN), 0))).where("n > 0")
-    longest = terms.agg(F.max("n")).first()[0] or 1  # one number
-    words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0)
-    tokens = mentions.where("text is not null").select("mention_id", words.alias("words"))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.struct(F.array_join(F.slice("words", i, n), " ").alias("key"), i.alias("i")))
-    placed = None
-    for n in range(1, longest + 1):
-        own = tokens.where(F.size("words") >= n).select("mention_id", F.explode(grams(n)).alias("g")).select("mention_id", "g.key", "g.i", F.lit(n).alias("n"))
-        own = own.join(terms.where(F.col("n") == n).select("key", "kind", "code", "ord", F.col("surface").alias("term")), "key")
-        placed = own if placed is None else placed.unionByName(own)
-    # places are worked out for hits only: lengths of what stands before
-    texts = mentions.select("mention_id", "text", F.transform(F.regexp_extract_all("text", F.lit(TOKEN), 0), lambda t: F.length(t)).alias("tl"), F.transform(F.split("text", TOKEN, -1), lambda t: F.length(t)).alias("gl"))
-    total = lambda c, first, n: F.aggregate(F.slice(c, first, n), F.lit(0), lambda a, x: a + x)
-    met = placed.join(texts, "mention_id")
-    met = met.withColumn("start", total("tl", F.lit(1), F.col("i") - 1) + total("gl", F.lit(1), F.col("i")))
-    met = met.withColumn("stop", F.col("start") + total("tl", F.col("i"), F.col("n")) + total("gl", F.col("i") + 1, F.col("n") - 1)).drop("tl", "gl")
-    met = met.withColumn("surface", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start"))).where(F.lower("surface") == F.lower("term"))
-    met = met.withColumn("negated", negated(F.col("text"), F.col("start")))
+    words = F.regexp_extract_all(F.lower("surface"), F.lit(TOKEN), 0)
+    terms = vocabulary.select(F.array_join(words, " ").alias("key"), words.alias("words"), "kind", "code", "ord", F.col("surface").alias("term")).where(F.size("words") > 0)
+    longest = terms.agg(F.max(F.size("words"))).first()[0] or 1  # one number
+    firsts = [r[0] for r in terms.select(F.get("words", F.lit(0))).distinct().limit(FIRST_WORDS + 1).collect()]
+    placed = placed_grams(mentions, longest, frozenset(firsts) if len(firsts) <= FIRST_WORDS else None)
+    met = placed.join(terms.drop("words"), "key").where(F.lower("surface") == F.lower("term")).withColumn("negated", has_cue(F.col("before")))
     first = F.row_number().over(Window.partitionBy("mention_id", "kind", "code", "start", "stop").orderBy("ord", "term"))
     return met.withColumn("k", first).where("k = 1").select("mention_id", "kind", "code", "surface", "start", "stop", F.lit(0.7).alias("confidence"), "negated")
 

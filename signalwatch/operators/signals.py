@@ -150,3 +150,16 @@ def cluster_signals(cells: DataFrame) -> DataFrame:
 def codes_by_system(codes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, system, codes): distinct codes of each system in order. codes: keys, system, code."""
     return codes.where("system is not null and code is not null").groupBy(*keys, "system").agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"))
+
+
+def located_only(obs: DataFrame) -> DataFrame:
+    """Observations whose lat and lon, numbers or text, are a place on Earth; both come out as doubles."""
+    number = lambda c: F.col(c).cast("string").try_cast("double").alias(c)
+    rest = [c for c in obs.columns if c not in ("lat", "lon")]
+    return obs.select(*rest, number("lat"), number("lon")).where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+
+
+def prior_points(counts: DataFrame, window: int = 14) -> DataFrame:
+    """(keyword, district, day, prior): how many points a series has before each, `window` at most."""
+    before = F.row_number().over(Window.partitionBy("keyword", "district").orderBy("day")) - 1
+    return counts.select("keyword", "district", "day").distinct().withColumn("prior", F.least(F.lit(window), before))

@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .slices import OWN, PART, PLACE, by_rows
+
 
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a timestamp without time zone."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
-def rolling_mean(df: DataFrame, groups: list[str], n: int, ts: str = "ts", tie: str = "event_id", value: str = "value") -> DataFrame:
+def rolling_mean(df: DataFrame, groups: list[str], n: int, ts: str = "ts", tie: str = "event_id", value: str = "value", rows: int = 100_000) -> DataFrame:
     """df with moving_avg: mean of the last n rows of the group, fewer at its start. Filters come before it.
 
-    Without groups the series is one: rows are put into one partition, so give groups wherever data is large.
+    A group is cut into runs of `rows` rows that carry the n - 1 before them, so neither a large group nor a table without groups is one task.
     """
-    window = Window.partitionBy(*groups).orderBy(ts, tie).rowsBetween(-(n - 1), 0)
-    return df.withColumn("moving_avg", F.avg(value).over(window))
+    parts = by_rows(df, groups, [ts, tie], F.floor(epoch_seconds(F.col(ts)) / 3600), n - 1, rows)
+    window = Window.partitionBy(*groups, PART).orderBy(ts, tie).rowsBetween(-(n - 1), 0)
+    return parts.withColumn("moving_avg", F.avg(value).over(window)).where(OWN).drop(PART, OWN, PLACE)
 
 
 def bucketed(df: DataFrame, groups: list[str], seconds: int, ts: str = "ts", tie: str = "event_id", value: str = "value") -> DataFrame:

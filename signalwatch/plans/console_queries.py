@@ -44,10 +44,10 @@ def a13u(spark: SparkSession, sf: str) -> DataFrame:
 _S = "coalesce(sum(count) FILTER (kind = '{}'), 0)"
 
 
-@query("a14_threat_level", f"""WITH l AS (SELECT source % 3 AS grp, CAST(least(100, floor((10 * {_S.format('CVE')} + 5 * {_S.format('IP')} + 8 * {_S.format('HASH')} + 2 * {_S.format('EMAIL')}) / 2.0 + 0.5)) AS INTEGER) AS level FROM v_found WHERE batch % 100 = 0 GROUP BY 1)
+@query("a14_threat_level", f"""WITH l AS (SELECT batch AS grp, CAST(least(100, floor((10 * {_S.format('CVE')} + 5 * {_S.format('IP')} + 8 * {_S.format('HASH')} + 2 * {_S.format('EMAIL')}) / 2.0 + 0.5)) AS INTEGER) AS level FROM v_found GROUP BY 1)
     SELECT grp, level, CASE WHEN level < 25 THEN 'low' WHEN level < 50 THEN 'guarded' WHEN level < 75 THEN 'elevated' ELSE 'severe' END AS band FROM l""")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
-    return c.threat_level(view(spark, sf, "v_found").where("batch % 100 = 0").withColumn("grp", F.col("source") % 3), ["grp"])
+    return c.threat_level(view(spark, sf, "v_found").withColumn("grp", F.col("batch")), ["grp"])
 
 
 @query("a15_threat_profile", f"""WITH s AS (SELECT 4 * {_S.format('CVE')} + 3 * {_S.format('IP')} + 5 * {_S.format('HASH')} AS a, 2 * {_S.format('PERSON')} + 3 * {_S.format('EMAIL')} AS b, 3 * {_S.format('GEO')} AS c, 2 * {_S.format('ORG')} + {_S.format('DATE')} + 2 * {_S.format('MONEY')} AS d, 4 * {_S.format('EVENT')} AS e, 2 * {_S.format('URL')} AS f FROM v_found),
@@ -63,7 +63,7 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a17_source_mix", "SELECT source, CAST(sum(items) AS BIGINT) AS items FROM v_fetch GROUP BY 1")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_fetch").groupBy("source").agg(F.sum("items").alias("items"))
+    return c.source_mix(view(spark, sf, "v_fetch"))
 
 
 @query("a18_source_health", "WITH s AS (SELECT source, avg(latency) AS l, arg_max(ok, (ts, event_id)) AS ok FROM v_fetch GROUP BY 1) SELECT source, round(l, 6) AS latency, ok, CASE WHEN l < 300 THEN 'live' WHEN l < 900 THEN 'slow' ELSE 'degraded' END AS band FROM s")
@@ -78,16 +78,15 @@ def a19(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a20_funnel", "SELECT count(*) AS crawled, count(*) FILTER (items > 0) AS with_entities, count(*) FILTER (items > 0 AND ok) AS extracted, count(*) FILTER (items > 0 AND ok AND latency >= 7) AS confident FROM v_fetch")
 def a20(spark: SparkSession, sf: str) -> DataFrame:
-    some = F.col("items") > 0
-    return view(spark, sf, "v_fetch").agg(F.count("*").alias("crawled"), F.count_if(some).alias("with_entities"), F.count_if(some & F.col("ok")).alias("extracted"), F.count_if(some & F.col("ok") & (F.col("latency") >= 7)).alias("confident"))
+    return c.funnel(view(spark, sf, "v_fetch"), F.col("latency") >= 7)
 
 
 _KINDS = ", ".join(f"'{k}'" for k in c.KINDS)
 
 
-@query("j12_dense_grid", f"WITH n AS (SELECT source, kind, count(*) AS n FROM v_found WHERE batch % 50 = 0 GROUP BY 1, 2), g AS (SELECT DISTINCT source FROM n) SELECT g.source, k AS kind, coalesce(n, 0) AS n FROM g CROSS JOIN (SELECT unnest([{_KINDS}]) AS k) LEFT JOIN n ON n.source = g.source AND n.kind = k")
+@query("j12_dense_grid", f"WITH n AS (SELECT source, kind, count(*) AS n FROM v_found GROUP BY 1, 2), g AS (SELECT DISTINCT source FROM n) SELECT g.source, k AS kind, coalesce(n, 0) AS n FROM g CROSS JOIN (SELECT unnest([{_KINDS}]) AS k) LEFT JOIN n ON n.source = g.source AND n.kind = k")
 def j12(spark: SparkSession, sf: str) -> DataFrame:
-    return c.dense_grid(view(spark, sf, "v_found").where("batch % 50 = 0"), "source", "kind", c.KINDS)
+    return c.dense_grid(view(spark, sf, "v_found"), "source", "kind", c.KINDS)
 
 
 @query("a21_source_kind_intensity", "WITH n AS (SELECT source, kind, count(*) AS n FROM v_found GROUP BY 1, 2) SELECT *, round(CAST(n AS DOUBLE) / greatest(max(n) OVER (PARTITION BY source), 1), 6) AS intensity FROM n")
@@ -97,12 +96,13 @@ def a21(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a23_fusion", """WITH s AS (SELECT o_custkey AS k, count(DISTINCT o_orderpriority) AS sources, count(*) * 5 AS items, count(*) AS entities, count(*) FILTER (o_orderstatus = 'P') AS leads, count(*) % 4 AS places, count(*) % 3 AS arcs, count(*) FILTER (o_totalprice > 499000) AS urgent, CASE o_custkey % 3 WHEN 0 THEN 'TITAN' WHEN 1 THEN 'Finance' ELSE 'Maritime' END AS posture FROM orders GROUP BY 1),
     r AS (SELECT *, CAST(floor(least(94, round(38 + 20 * least(1, sources / 3.0) + 14 * least(1, items / 45.0) + 10 * least(1, entities / 18.0) + 8 * least(1, leads / 4.0) + 10 * least(1, (places + arcs) / 14.0) + 100 * (least(0.08, 0.04 * urgent) + CASE WHEN posture = 'TITAN' AND least(1, (places + arcs) / 14.0) > 0.5 THEN 0.04 WHEN posture = 'Finance' AND leads > 0 THEN 0.03 ELSE 0 END), 9)) + 0.5) AS INTEGER) AS confidence FROM s)
-    SELECT k, confidence, CASE WHEN confidence >= 78 OR urgent > 0 THEN 'escalate' WHEN confidence >= 60 THEN 'triage' ELSE 'watch' END AS band, CASE WHEN sources >= 3 THEN 'satisfied' WHEN sources >= 2 THEN 'partial' ELSE 'open' END AS corroboration FROM r""")
+    SELECT k, confidence, CASE WHEN confidence >= 78 OR urgent > 0 THEN 'escalate' WHEN confidence >= 60 THEN 'triage' ELSE 'watch' END AS band, CASE WHEN sources >= 3 THEN 'satisfied' WHEN sources >= 2 THEN 'partial' ELSE 'open' END AS corroboration,
+      CASE WHEN entities > 0 OR leads > 0 THEN 'satisfied' ELSE 'partial' END AS continuity, CASE WHEN places > 0 THEN 'satisfied' ELSE 'open' END AS anchoring, CASE WHEN leads > 0 THEN 'partial' ELSE 'open' END AS provenance FROM r""")
 def a23(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count("*")
     o = view(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.countDistinct("o_orderpriority").alias("sources"), (n * 5).alias("items"), n.alias("entities"), F.count_if(F.col("o_orderstatus") == "P").alias("leads"), (n % 4).alias("places"), (n % 3).alias("arcs"), F.count_if(F.col("o_totalprice") > 499000).alias("urgent"))
     posture = F.when(F.col("k") % 3 == 0, "TITAN").when(F.col("k") % 3 == 1, "Finance").otherwise("Maritime")
-    return c.fusion(o.withColumn("posture", posture)).select("k", "confidence", "band", "corroboration")
+    return c.fusion(o.withColumn("posture", posture)).select("k", "confidence", "band", "corroboration", "continuity", "anchoring", "provenance")
 
 
 _GAZ = [("name 1", 10.0, 20.0, 0), ("name 12", 11.0, 21.0, 1), ("me 3", 12.0, 22.0, 2)]
@@ -192,7 +192,7 @@ def t9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t7_top_entities", "SELECT lower(value) AS low, CAST(sum(count) AS BIGINT) AS count FROM v_found GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def t7(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_found").groupBy(F.lower("value").alias("low")).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "low").limit(10)
+    return c.top_entities(view(spark, sf, "v_found"))
 
 
 @query("u1_merged_feeds", """WITH k AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1)), '/$', '') AS key FROM v_feed)
@@ -236,9 +236,14 @@ def f14(spark: SparkSession, sf: str) -> DataFrame:
     return _items(spark, sf).select("item_id", r["score"].alias("score"), r["relevant"].alias("relevant"))
 
 
-@query("t6_ranked_feed", f"{_REL} SELECT item_id, score FROM s WHERE relevant ORDER BY score DESC, published DESC, item_id LIMIT 20")
+_EITHER = f"""WITH t AS (SELECT *, {_PL.format('title')} AS t, {_PL.format('url')} AS u, {_PL.format("source || ' Thein news'")} AS g FROM v_feed),
+    m AS (SELECT *, list_filter(['example', 'erthe', 'org'], lambda x: contains(t || ' ' || u || ' ' || g, x)) AS m, list_filter(['example', 'erthe', 'org'], lambda x: contains(t, x)) AS mt, list_filter(['example', 'erthe', 'org'], lambda x: contains(g, x)) AS mg FROM t),
+    s AS (SELECT item_id, published, CAST(CASE WHEN contains(t, 'example erthe org') THEN 12 ELSE 0 END + 5 * len(mt) + 3 * len(mg) + 2 * len(m) + CASE WHEN len(m) = 3 THEN 4 ELSE 0 END + least(4, round(log10(greatest(1, length(u))))) AS INTEGER) AS score, contains(t, 'example erthe org') OR len(m) > 0 AS relevant FROM m)"""
+
+
+@query("t6_ranked_feed", f"{_EITHER} SELECT item_id, score FROM s WHERE relevant ORDER BY score DESC, published DESC, item_id LIMIT 20")
 def t6(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.ranked(_items(spark, sf), "the onthe AND thein example", 20).select("item_id", "score")
+    return feeds.ranked(_items(spark, sf), "example OR erthe OR org", 20).select("item_id", "score")
 
 
 @query("f13_query_terms", f"SELECT item_id, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT item_id, list_sort(list_distinct(list_filter(string_split({_PL.format('title')}, ' '), lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(x) for x in w.QUERY_PLAIN)}, 'not')))) AS list_distinct_ordered FROM v_feed)")
@@ -246,9 +251,16 @@ def f13(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "v_feed").select("item_id", F.array_join(F.array_sort(w.query_terms(F.col("title"))), " ").alias("terms"))
 
 
-@query("f30_query_domain", r"SELECT item_id, CASE WHEN regexp_matches(lower(title), '\b(who|virus)\b') THEN 'disease' WHEN regexp_matches(lower(title), '\b(port|sea)\b') THEN 'maritime' ELSE 'geopolitical' END AS domain FROM v_feed")
+_DOMAIN = "CASE " + " ".join("WHEN regexp_matches(lower(q), '\\b(" + words + ")\\b') THEN '" + name + "'" for name, words in w.DOMAINS) + " ELSE 'geopolitical' END"
+#: Titles as queries, with a word of some domain at the end of most.
+_QUERY_WORDS = ["virus outbreak", "tanker piracy", "ransomware", "interest rate", "the sea ", "nothing else"]
+_QUERY_SQL = "CASE item_id % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_QUERY_WORDS)) + " END"
+
+
+@query("f30_query_domain", f"SELECT item_id, {_DOMAIN} AS domain FROM (SELECT item_id, title || ' ' || {_QUERY_SQL} AS q FROM v_feed)")
 def f30(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_feed").select("item_id", w.query_domain(F.col("title")).alias("domain"))
+    last = F.get(F.array(*map(F.lit, _QUERY_WORDS)), (F.col("item_id") % 6).cast("int"))
+    return view(spark, sf, "v_feed").select("item_id", w.query_domain(F.concat_ws(" ", "title", last)).alias("domain"))
 
 
 @query("f31_title_fits", "SELECT item_id, list_contains(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), 'the') AS fits FROM v_feed")

@@ -72,7 +72,7 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t4_top_locations", "SELECT id, updated FROM v_entities WHERE entity_type = 'GEO' ORDER BY updated DESC, id LIMIT 10")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_entities").where("entity_type = 'GEO'").orderBy(F.desc("updated"), "id").limit(10).select("id", "updated")
+    return g.top_locations(view(spark, sf, "v_entities"), 10).select("id", "updated")
 
 
 _HOPS = """WITH ends AS (SELECT src AS id, dst AS t FROM v_edges UNION SELECT dst, src FROM v_edges), s AS (SELECT 'ORG-1' AS id), h1 AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT DISTINCT t, 1 FROM ends WHERE id IN (SELECT id FROM s)),
@@ -110,6 +110,23 @@ def t5(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(v.top_k(rows, target[0] if target else [1.0] * 64, 5).select("vec_id", "cosine"))
 
 
+_UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(x AS DOUBLE))"
+
+
+@query("t5_nearest_to_many", f"""WITH u AS (SELECT vec_id, {_UNIT} AS e FROM v_vec), s AS (SELECT q.vec_id AS question, u.vec_id, round(list_cosine_similarity(q.e, u.e), 9) AS c FROM u q JOIN u ON true WHERE q.vec_id % 20 = 0)
+    SELECT question, vec_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY c DESC, vec_id) AS k FROM s) WHERE k <= 5""")
+def t5_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 20, against all."""
+    rows = view(spark, sf, "v_vec")
+    return rounded(v.nearest(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), "embedding"), rows, 5))
+
+
+@query("j9_unresolved", """WITH p AS (SELECT id FROM v_entities WHERE entity_type IN ('GEO', 'ORG')) SELECT count(*) AS arcs, count(*) FILTER (src NOT IN (SELECT id FROM p) OR dst NOT IN (SELECT id FROM p)) AS unresolved FROM v_edges""")
+def j9_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    points = view(spark, sf, "v_entities").where("entity_type in ('GEO', 'ORG')").select("id", F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon"))
+    return g.unresolved(g.plotted_arcs(view(spark, sf, "v_edges"), points))
+
+
 @query("j9_plotted_arcs", """WITH p AS (SELECT id, CAST(updated AS DOUBLE) AS lat, -CAST(updated AS DOUBLE) AS lon FROM v_entities WHERE entity_type IN ('GEO', 'ORG'))
     SELECT src, dst, a.lat AS from_lat, b.lon AS to_lon, a.lat IS NOT NULL AND b.lat IS NOT NULL AS resolved FROM (SELECT src, dst FROM v_edges WHERE evidence LIKE '%in%') LEFT JOIN p a ON a.id = src LEFT JOIN p b ON b.id = dst""")
 def j9(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,17 +142,54 @@ def f7(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "v_entities").select("id", normalized_name(F.concat("name", F.lit(" Co."))).alias("norm"))
 
 
-@query("f8_name_grams", f"""WITH n AS (SELECT id, ' ' || {_NORM.format('name')} || ' ' AS p FROM v_entities WHERE entity_type = 'PERSON')
+@query("f8_name_grams", f"""WITH n AS (SELECT id, ' ' || {_NORM.format('name')} || ' ' AS p FROM v_entities)
     SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, CAST(i AS INTEGER), 3))) AS g FROM n) GROUP BY 1, 2""")
 def f8(spark: SparkSession, sf: str) -> DataFrame:
-    e = view(spark, sf, "v_entities").where("entity_type = 'PERSON'")
-    return e.select("id", F.explode(grams(normalized_name(F.col("name")), 3, 3)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+    return view(spark, sf, "v_entities").select("id", F.explode(grams(normalized_name(F.col("name")), 3, 3)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+
+
+def _hashed(key: str) -> str:
+    """(key, b, w) from f (key, g): signed feature hashing to unit length."""
+    return f"""h AS (SELECT {key}, CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT) % 192 AS b, CASE WHEN CAST(('0x' || substr(md5(g), 9, 1)) AS BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END AS s FROM f),
+    c AS (SELECT {key}, CAST(b AS INTEGER) AS b, CAST(sum(s) AS DOUBLE) AS w FROM h GROUP BY 1, 2), v AS (SELECT {key}, b, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM c WHERE w <> 0)"""
+
+
+_GRAMS = f"""WITH n AS (SELECT id, ' ' || {_NORM.format('name')} || ' ' AS p FROM v_entities), f AS (SELECT id, unnest(flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, length(p) - k + 2), lambda i: substr(p, CAST(i AS INTEGER), CAST(k AS INTEGER)))))) AS g FROM n), {_hashed('id')}"""
+_FEATURES = "unnest(string_split({0}, ' ') || list_transform(range(1, length({0}) - 2), lambda i: substr({0}, CAST(i AS INTEGER), 4)))"
+
 
+@query("f8_name_vectors", f"{_GRAMS} SELECT id, b, round(w, 6) AS w FROM v")
+def f8v(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse signed feature hashing of all names."""
+    return r.named(view(spark, sf, "v_entities")).select("id", F.explode("vec").alias("x")).select("id", "x.b", F.round("x.w", 6).alias("w"))
 
-@query("f9_hashed_vectors")
+
+@query("f9_hashed_vectors", f"WITH d AS (SELECT DISTINCT evidence, lower(evidence) AS p FROM v_edges), f AS (SELECT evidence, {_FEATURES.format('p')} AS g FROM d), {_hashed('evidence')} SELECT evidence, b, round(w, 6) AS w FROM v")
 def f9(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse signed feature hashing of names; tests hold it against plain Python."""
-    return r.named(view(spark, sf, "v_entities").where("entity_type in ('ORG', 'GEO')")).select("id", F.explode("vec").alias("x")).select("id", "x.b", F.round("x.w", 6).alias("w"))
+    """Evidence of all edges: words and 4-character runs, hashed as a question is."""
+    return g.embedded_evidence(view(spark, sf, "v_edges")).select("evidence", F.explode("vec").alias("x")).select("evidence", "x.b", F.round("x.w", 6).alias("w"))
+
+
+_QUESTION = "who lives in 7 and who placed 1-urgent"
+_NEAR = f"""d AS (SELECT evidence, lower(evidence) AS p FROM (SELECT DISTINCT evidence FROM v_edges) UNION ALL SELECT '?', '{_QUESTION}'), f AS (SELECT evidence, {_FEATURES.format('p')} AS g FROM d), {_hashed('evidence')},
+    cos AS (SELECT x.evidence, round(sum(x.w * y.w), 9) AS cosine FROM v x JOIN v y ON y.evidence = '?' AND x.b = y.b WHERE x.evidence <> '?' GROUP BY 1),
+    near AS (SELECT e.*, {_UID} AS uid FROM v_edges e LEFT JOIN cos USING (evidence) ORDER BY coalesce(cosine, 0) DESC, uid LIMIT 5)"""
+_REACH = """ends AS (SELECT src AS id, dst AS t FROM v_edges UNION SELECT dst, src FROM v_edges), h0 AS (SELECT src AS id FROM near UNION SELECT dst FROM near), h1 AS (SELECT id FROM h0 UNION SELECT t FROM ends WHERE id IN (SELECT id FROM h0)),
+    h2 AS (SELECT id FROM h1 UNION SELECT t FROM ends WHERE id IN (SELECT id FROM h1)), h3 AS (SELECT id FROM h2 UNION SELECT t FROM ends WHERE id IN (SELECT id FROM h2))"""
+
+
+@query("t5_nearest_edges", f"WITH {_NEAR} SELECT uid, src, dst, evidence FROM near")
+def t5_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return g.nearest_edges(edges(spark, sf), _QUESTION).select("uid", "src", "dst", "evidence")
+
+
+@query("graph_question", f"""WITH {_NEAR}, {_REACH} SELECT 'edge' AS part, src AS id, dst AS label FROM v_edges WHERE src IN (SELECT id FROM h3) AND dst IN (SELECT id FROM h3)
+    UNION ALL SELECT 'node', id, name FROM v_entities WHERE entity_type IN ('ORG', 'PERSON', 'GEO') AND trim(name) <> '' AND id IN (SELECT id FROM h3)""")
+def graph_question(spark: SparkSession, sf: str) -> DataFrame:
+    """From a question in words to the graph around the evidence nearest to it."""
+    nodes, between = g.answered(edges(spark, sf), view(spark, sf, "v_entities"), _QUESTION)
+    part = lambda name, df, i, label: df.select(F.lit(name).alias("part"), F.col(i).alias("id"), F.col(label).alias("label"))
+    return part("edge", between, "src", "dst").unionByName(part("node", nodes, "id", "name"))
 
 
 @query("f10_name_distances", f"""WITH a AS (SELECT n_nationkey AS k, lower(n_name) AS x, lower(r_name) AS y FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT k, round(CASE WHEN x = y THEN 0 ELSE levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE) END, 6) AS d FROM a""")
@@ -144,12 +198,23 @@ def f10(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(F.col("n_nationkey").alias("k"), F.round(lexical_distance(F.lower("n_name"), F.lower("r_name")), 6).alias("d"))
 
 
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    """New names: those stored in lower case, with a legal form added, or with a letter missing."""
+    e = view(spark, sf, "v_entities").select("id", "entity_type", "name", "updated")
+    changed = F.when(F.col("updated") % 3 == 0, F.concat(F.lower("name"), F.lit(" ltd"))).when(F.col("updated") % 3 == 1, F.lower("name")).otherwise(F.regexp_replace("name", "[er]", ""))
+    return e.select(F.concat(F.lit("new-"), "id").alias("id"), "entity_type", changed.alias("name"))
+
+
 @query("j6_entity_matches")
 def j6(spark: SparkSession, sf: str) -> DataFrame:
-    """New suppliers' and nations' names against stored ones; tests hold it against brute force."""
-    e = view(spark, sf, "v_entities").where("entity_type in ('ORG', 'GEO')").select("id", "entity_type", "name")
-    new = e.select(F.concat(F.lit("new-"), "id").alias("id"), "entity_type", F.concat(F.lower("name"), F.lit(" ltd")).alias("name"))
-    return rounded(r.matches(new, e))
+    """Variants of all names against the names stored; tests hold it against brute force."""
+    return rounded(r.matches(_variants(spark, sf), view(spark, sf, "v_entities").select("id", "entity_type", "name")))
+
+
+@query("j6_merged_new")
+def j6_new(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants and names among themselves; tests hold it against brute force."""
+    return r.merged_new(_variants(spark, sf).unionByName(view(spark, sf, "v_entities").select("id", "entity_type", "name")))
 
 
 @query("a9_merge_fold", "SELECT n_regionkey AS region, round(max(s_acctbal), 6) AS confidence, count(*) AS source_count, max(s_suppkey) AS updated FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")

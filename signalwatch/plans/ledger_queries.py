@@ -56,7 +56,7 @@ def t1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t2_triage_history", "SELECT seq, decided, actor, decision, tie FROM v_triage WHERE signal_id = 'sig-7'")
 def t2(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_triage").where("signal_id = 'sig-7'").orderBy("decided", "seq", "tie").select("seq", "decided", "actor", "decision", "tie")
+    return g.history(view(spark, sf, "v_triage"), "sig-7", ["decided", "seq", "tie"]).select("seq", "decided", "actor", "decision", "tie")
 
 
 @query("f28_triage_status", """WITH l AS (SELECT signal_id AS id, arg_max((actor, decision), (decided, seq, tie, actor, decision)) AS d FROM v_triage GROUP BY 1)
@@ -67,7 +67,7 @@ def f28(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a22_signals_by_status", "SELECT status, count(*) AS n FROM v_signals GROUP BY 1")
 def a22(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_signals").groupBy("status").agg(F.count("*").alias("n"))
+    return g.by_status(view(spark, sf, "v_signals"))
 
 
 @query("a31_project_rollup", """WITH s AS (SELECT 'p' || (c_custkey % 6) AS project_id, count(*) AS sources, count(*) FILTER (c_acctbal > 0) AS sources_enabled FROM customer GROUP BY 1),
@@ -80,23 +80,69 @@ def a31(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _projects(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "region").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("project_id"), F.col("r_name").alias("name"))
+    return view(spark, sf, "region").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("id"), F.lower("r_name").alias("slug"), F.col("r_name").alias("name"), F.lit("desk").alias("owner"))
 
 
-@query("j11_signal_projects", "SELECT id, coalesce(r_name, '') AS project FROM v_signals LEFT JOIN region ON project_id = 'p' || r_regionkey WHERE kind IN ('trend', 'cluster')")
+def _full_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals with a statistic of their kind (every tenth has none), codes of two systems and evidence."""
+    n, day = F.col("n"), F.timestamp_seconds(F.col("detected") * 86400).cast("timestamp_ntz")
+    has = lambda kind, *fields: F.when((F.col("kind") == kind) & (n % 10 != 0), F.struct(*fields, day.alias("window_start"), day.alias("window_end")))
+    d = lambda c, name: c.cast("double").alias(name)
+    adr = has("adr", F.concat(F.lit("drug"), (n % 5).cast("string")).alias("drug"), F.lit("fever").alias("event"), (n % 9).alias("observed"), d(n % 4, "expected"), d(n % 3, "prr"), d(n % 6, "ror"), d(n % 2, "ic"), d(n % 7, "ic_lower"), d(n % 8, "chi_squared"))
+    trend = has("trend", F.lit("fever").alias("keyword"), F.when(n % 2 == 0, F.lit("north")).alias("district"), d(n % 5, "z_score"), d(n % 6, "baseline"), d(n % 11, "current"))
+    cluster = has("cluster", d(n % 80, "centroid_lat"), d(n % 170, "centroid_lon"), F.lit(0.5).alias("radius_deg"), (n % 13).alias("population"), (n % 9).alias("observed"), d(n % 4, "expected"), d(n % 6, "log_likelihood"), F.lit(0.25).alias("p_value"))
+    code = lambda system, code: F.struct(F.lit(system).alias("code_system"), code.alias("code"), F.lit("word").alias("surface"), F.when(n % 2 == 0, F.lit("Word")).alias("display_name"))
+    codes = F.array(code("MedDRA", F.concat(F.lit("M"), (n % 3).cast("string"))), code("RxNorm", F.concat(F.lit("R"), (n % 4).cast("string"))), code("MedDRA", F.lit("M9")))
+    return view(spark, sf, "v_signals").select(
+        "id", "project_id", "kind", "score", "status", F.concat(F.lit("Signal "), n.cast("string")).alias("title"), F.lit("why").alias("explanation"), F.when(n % 3 == 0, F.lit("north")).alias("district"), day.alias("started_at"), day.alias("detected_at"),
+        F.lit(None).cast("string").alias("audit_chain_head"), codes.alias("codes"), F.array(F.concat(F.lit("m"), n.cast("string"))).alias("evidence_mention_ids"), adr.alias("adr_stat"), trend.alias("trend_stat"), cluster.alias("cluster_stat"))
+
+
+_NOW = "2024-06-01T00:00:00+00:00"
+
+
+def _outbreaks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return g.outbreak_forms(_full_signals(spark, sf), _projects(spark, sf), _NOW)
+
+
+def _fields(rows: DataFrame, **paths: str) -> list:
+    return [F.get_json_object("payload", p).alias(n) for n, p in paths.items()]
+
+
+@query("j11_signal_projects", "SELECT id, r_name AS project, lower(r_name) AS slug FROM v_signals LEFT JOIN region ON project_id = 'p' || r_regionkey WHERE kind IN ('trend', 'cluster') AND n % 10 <> 0")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = g.outbreak_rows(view(spark, sf, "v_signals"), _projects(spark, sf))
-    return rows.select("id", F.get_json_object("payload", "$.project").alias("project"))
+    rows, _ = _outbreaks(spark, sf)
+    return rows.select("id", *_fields(rows, project="$.header.project_name", slug="$.header.project_slug"))
+
 
+_DAY = "strftime(DATE '1970-01-01' + CAST(detected AS INTEGER), '%Y-%m-%d') || 'T00:00:00+00:00'"
+_CODES = """'{"MedDRA":[{"code":"M' || n % 3 || '","surface":"word"' || d || '},{"code":"M9","surface":"word"' || d || '}],"RxNorm":[{"code":"R' || n % 4 || '","surface":"word"' || d || '}]}'"""
 
-@query("f26_outbreak_forms", """SELECT id, '{"form":"P","signal":"' || id || '","project":"' || coalesce(r_name, '') || '","basis":"' || kind || '","status":"' || status || '"}' AS payload FROM v_signals LEFT JOIN region ON project_id = 'p' || r_regionkey WHERE kind IN ('trend', 'cluster')""")
+
+@query("f26_outbreak_forms", f"""WITH s AS (SELECT *, CASE WHEN n % 2 = 0 THEN ',"display":"Word"' ELSE '' END AS d FROM v_signals) SELECT id, kind, 'IDSP-P' AS form, CASE WHEN n % 3 = 0 THEN 'north' END AS district, CAST(CASE kind WHEN 'cluster' THEN n % 9 ELSE n % 11 END AS VARCHAR) AS cases, {_DAY} AS started_at,
+    CASE kind WHEN 'cluster' THEN CAST(n % 80 AS VARCHAR) || '.0' END AS lat, CASE kind WHEN 'trend' THEN CAST(n % 5 AS VARCHAR) || '.0' END AS z_score, CASE WHEN kind = 'trend' AND n % 2 = 0 THEN 'north' END AS trend_district, CASE kind WHEN 'cluster' THEN {_DAY} END AS cluster_end, {_CODES} AS codes, '1' AS evidence
+    FROM s WHERE kind IN ('trend', 'cluster') AND n % 10 <> 0""")
 def f26(spark: SparkSession, sf: str) -> DataFrame:
-    return g.outbreak_rows(view(spark, sf, "v_signals"), _projects(spark, sf))[0].select("id", "payload")
+    rows, _ = _outbreaks(spark, sf)
+    return rows.select("id", *_fields(rows, kind="$.header.signal_kind", form="$.form_type", district="$.outbreak.district", cases="$.outbreak.presumptive_case_count", started_at="$.outbreak.started_at", lat="$.statistics.cluster.centroid_lat",
+        z_score="$.statistics.trend.z_score", trend_district="$.statistics.trend.district", cluster_end="$.statistics.cluster.window_end", codes="$.codes", evidence="$.evidence_mention_count"))
+
+
+@query("f26_rejects", "SELECT id, 'needs a cluster or trend statistic' AS reason FROM v_signals WHERE kind = 'adr' OR n % 10 = 0")
+def f26r(spark: SparkSession, sf: str) -> DataFrame:
+    return _outbreaks(spark, sf)[1]
 
 
-@query("f27_case_reports", """SELECT id, score >= 0.7 AS serious, '{"form":"ICSR","signal":"' || id || '","status":"' || status || '"}' AS payload FROM v_signals WHERE kind = 'adr'""")
+@query("f27_case_reports", """SELECT id, score >= 0.7 AS serious, CASE WHEN score >= 0.7 THEN '1' ELSE '2' END AS serious_code, 'SETU-' || id AS report, 'drug' || n % 5 AS drug, '[{"system":"RxNorm","code":"R' || n % 4 || '","surface":"word"}]' AS drugs,
+    '[{"system":"MedDRA","code":"M' || n % 3 || '","surface":"word"},{"system":"MedDRA","code":"M9","surface":"word"}]' AS reactions, CAST(n % 3 AS VARCHAR) || '.0' AS prr, 'setu-aggregate-' || id AS patient, '["m' || n || '"]' AS evidence FROM v_signals WHERE kind = 'adr' AND n % 10 <> 0""")
 def f27(spark: SparkSession, sf: str) -> DataFrame:
-    return g.case_rows(view(spark, sf, "v_signals"))[0].select("id", "serious", "payload")
+    rows, _ = g.case_forms(_full_signals(spark, sf), _projects(spark, sf), _NOW)
+    return rows.select("id", "serious", *_fields(rows, serious_code="$.serious", report="$.safetyreportid", drug="$.drugs[0].medicinalproduct", drugs="$.drugs[0].drugcoding", reactions="$.reactions[0].reactioncoding", prr="$.statistics.prr", patient="$.patient.patientidentifier", evidence="$.evidence_mention_ids"))
+
+
+@query("f27_rejects", "SELECT id, CASE WHEN kind <> 'adr' THEN 'needs an adr signal' ELSE 'needs an adverse event statistic' END AS reason FROM v_signals WHERE kind <> 'adr' OR n % 10 = 0")
+def f27r(spark: SparkSession, sf: str) -> DataFrame:
+    return g.case_forms(_full_signals(spark, sf), _projects(spark, sf), _NOW)[1]
 
 
 @query("a26_keyword_versions", "SELECT o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS version FROM orders")
@@ -108,7 +154,7 @@ def a26(spark: SparkSession, sf: str) -> DataFrame:
 @query("a29_noisy_counts")
 def a29(spark: SparkSession, sf: str) -> DataFrame:
     counts = view(spark, sf, "v_signals").groupBy("project_id", "kind").agg(F.count("*").cast("double").alias("n"))
-    return g.noisy(counts.repartition(1, "project_id").sortWithinPartitions("project_id", "kind"), "n", 1.0, 0.5, 11)
+    return g.noisy(counts, ["project_id", "kind"], "n", 1.0, 0.5, 11)
 
 
 @query("a30_budget_ledger", """WITH RECURSIVE q AS (SELECT o_custkey AS key, o_orderkey AS seq, round(o_totalprice / 1000000, 3) AS epsilon, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
@@ -139,6 +185,23 @@ def p1(spark: SparkSession, sf: str) -> DataFrame:
     return g.validated(view(spark, sf, "customer"), rules).select("c_custkey", F.array_join("reasons", ",").alias("reasons"))
 
 
+_UUID = "substr(md5({0}), 1, 8) || '-' || substr(md5({0}), 9, 4) || '-' || substr(md5({0}), 13, 4) || '-' || substr(md5({0}), 17, 4) || '-' || substr(md5({0}), 21, 12)"
+
+
+@query("p1_signal_records", f"""WITH s AS (SELECT n, CASE WHEN n % 7 = 0 THEN id ELSE {_UUID.format('id')} END AS id, CASE WHEN n % 11 <> 0 THEN {_UUID.format('project_id')} END AS project_id, CASE WHEN n % 13 = 0 THEN 'rumour' ELSE kind END AS kind, CASE WHEN n % 17 = 0 THEN score + 1.5 ELSE score END AS score FROM v_signals)
+    SELECT n, array_to_string(list_filter([CASE WHEN n % 7 = 0 THEN 'id:pattern' END, CASE WHEN n % 11 = 0 THEN 'project_id:missing' END, CASE WHEN n % 13 = 0 THEN 'kind:enum' END, CASE WHEN NOT score BETWEEN 0 AND 1 THEN 'score:range' END, CASE WHEN n % 19 = 0 THEN 'title:length' END,
+      CASE WHEN n % 23 = 0 THEN 'audit_chain_head:pattern' END, 'guess:unknown'], lambda x: x IS NOT NULL), ',') AS reasons FROM s""")
+def p1_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals as records: some ids are no UUID, some fields are missing or out of range, and one column isn't declared."""
+    n = F.col("n")
+    uuid = lambda c: F.regexp_replace(F.md5(F.col(c)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    day = F.timestamp_seconds(F.col("detected") * 86400)
+    rows = view(spark, sf, "v_signals").select(
+        "n", F.when(n % 7 == 0, F.col("id")).otherwise(uuid("id")).alias("id"), F.when(n % 11 != 0, uuid("project_id")).alias("project_id"), F.when(n % 13 == 0, "rumour").otherwise(F.col("kind")).alias("kind"), F.when(n % 17 == 0, F.col("score") + 1.5).otherwise(F.col("score")).alias("score"),
+        F.when(n % 19 == 0, " ").otherwise("Signal").alias("title"), F.lit("why").alias("explanation"), F.lit(None).cast("string").alias("district"), day.alias("started_at"), day.alias("detected_at"), "status", F.when(n % 23 == 0, "xyz").alias("audit_chain_head"), F.lit(1).alias("guess"))
+    return g.validated_record(rows, "signal", ["n"]).select("n", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("p2_forbidden_terms", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(stupid|moron|license)([^\p{L}\p{N}_]|$)')")
 def p2(spark: SparkSession, sf: str) -> DataFrame:
     d = view(spark, sf, "documents").select("doc_id", F.struct("source", F.array("text").alias("texts")).alias("body"))
@@ -163,10 +226,11 @@ def f18(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "events").select("event_id", g.salvaged_json(text).alias("found"), g.salvage_outcome(text, F.col("event_id") % 5).alias("outcome"))
 
 
-@query("f20_canonical_json", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS sha FROM nation""")
+@query("f20_canonical_json", """SELECT o_orderkey, sha256('{"deep":{"custkey":' || o_custkey || ',"list":["' || o_orderstatus || '"]},"o_orderkey":' || o_orderkey || ',"o_orderpriority":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderpriority || '"' END || '}') AS sha FROM orders""")
 def f20(spark: SparkSession, sf: str) -> DataFrame:
-    n = view(spark, sf, "nation")
-    return n.select("n_nationkey", F.sha2(g.canonical_json(n, ["n_regionkey", "n_name"]), 256).alias("sha"))
+    """Nested values and nulls; columns come in another order than the text has them."""
+    o = view(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority"), "o_orderkey", F.struct(F.col("o_custkey").alias("custkey"), F.array("o_orderstatus").alias("list")).alias("deep"))
+    return o.select("o_orderkey", F.sha2(g.canonical_json(o, ["o_orderpriority", "o_orderkey", "deep"]), 256).alias("sha"))
 
 
 @query("f32_geojson", None)

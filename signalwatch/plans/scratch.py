@@ -1,17 +1,5 @@
 """Folders for what a query writes on the way."""
 
-from __future__ import annotations
+from ..sources.scratch import folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new name in the folder that the cluster shares, or in a local one where none is set (local runs)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["folder"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import signals as s
 from ..operators import telemetry as t
@@ -83,8 +82,7 @@ def w2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w3_prior_points", "WITH c AS (SELECT DISTINCT keyword, district, CAST(day AS INTEGER) AS day FROM v_daily) SELECT *, CAST(least(14, row_number() OVER (PARTITION BY keyword, district ORDER BY day) - 1) AS INTEGER) AS prior FROM c")
 def w3(spark: SparkSession, sf: str) -> DataFrame:
-    days = view(spark, sf, "v_daily").select("keyword", "district", "day").distinct()
-    return days.withColumn("prior", F.least(F.lit(14), F.row_number().over(Window.partitionBy("keyword", "district").orderBy("day")) - 1))
+    return s.prior_points(view(spark, sf, "v_daily"))
 
 
 _NOW = "2024-01-15 00:00:00"
@@ -107,17 +105,18 @@ def f21(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f25_adr_signals", f"""WITH {_TABLES}, r AS (SELECT *, {_SCORES} FROM q)
-    SELECT substr(sha256('adr|' || drug || '|' || event), 1, 32) AS id, 'adr' AS kind, round(least(greatest(prr0 / 10, 0), 1), 6) AS score, 'Possible ADR: ' || drug || ' ↔ ' || event AS title
-    FROM r WHERE a >= 3 AND prr0 >= 1.02 AND chi0 >= 1.0""")
+    SELECT substr(sha256('adr|' || drug || '|' || event), 1, 32) AS id, 'adr' AS kind, round(least(greatest(prr0 / 10, 0), 1), 6) AS score, 'Possible ADR: ' || drug || ' ↔ ' || event AS title,
+      printf('PRR=%.2f, ROR=%.2f, observed=%d', greatest(prr0, 0.5), greatest((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)), 0.5), a) AS facts FROM r WHERE a >= 3 AND prr0 >= 1.02 AND chi0 >= 1.0""")
 def f25_adr(spark: SparkSession, sf: str) -> DataFrame:
     scored = s.disproportionality(s.contingency(s.pair_counts(view(spark, sf, "v_pairs"))), prr=1.02, chi=1.0)
-    return rounded(s.adr_signals(scored).drop("explanation"))
+    facts = F.concat_ws(", ", F.regexp_extract("explanation", "PRR=[0-9.]+", 0), F.regexp_extract("explanation", "ROR=[0-9.]+", 0), F.regexp_extract("explanation", "observed=[0-9]+", 0))
+    return rounded(s.adr_signals(scored).withColumn("facts", facts).drop("explanation"))
 
 
-@query("f25_trend_signals", f"""{_EWMA} SELECT substr(sha256('trend|' || keyword || '|' || district || '|' || day), 1, 32) AS id, 'trend' AS kind, round(least(greatest(z / 10, 0), 1), 6) AS score, 'Volume spike: ' || keyword || ' in ' || district AS title
-    FROM f WHERE i > 5 AND z >= 1.5 AND n >= greatest(base * 1.5, 3)""")
+@query("f25_trend_signals", f"""{_EWMA} SELECT substr(sha256('trend|' || keyword || '|' || district || '|' || day), 1, 32) AS id, 'trend' AS kind, round(least(greatest(z / 10, 0), 1), 6) AS score, 'Volume spike: ' || keyword || ' in ' || district AS title,
+      printf('z=%.2f, current=%.1f, baseline=%.1f.', z, CAST(n AS DOUBLE), base) AS explanation FROM f WHERE i > 5 AND z >= 1.5 AND n >= greatest(base * 1.5, 3)""")
 def f25_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(s.trend_signals(s.ewma_spikes(s.bucket_counts(view(spark, sf, "v_daily")), least_z=1.5)).drop("explanation"))
+    return rounded(s.trend_signals(s.ewma_spikes(s.bucket_counts(view(spark, sf, "v_daily")), least_z=1.5)))
 
 
 @query("f25_cluster_signals", f"""WITH {_CELLS} SELECT 'cluster' AS kind, round(least(greatest(llr / 20, 0), 1), 6) AS score, printf('Spatial cluster (%d reports near %.1f,%.1f)', CAST(w AS BIGINT), (cy + 0.5) * 5, (cx + 0.5) * 5) AS title FROM l WHERE w >= 3 AND w > e AND llr >= 0.5""")
@@ -142,7 +141,8 @@ def p9(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.select("report_id", text("drugs").alias("drugs"), text("events").alias("events"))
 
 
-@query("p12_geo_presence", "SELECT event_id, CASE WHEN lat BETWEEN -60 AND 60 THEN lat END AS lat FROM (SELECT event_id, lat FROM v_obs WHERE lon BETWEEN -180 AND 180) WHERE lat BETWEEN -90 AND 90")
+@query("p12_geo_presence", "SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 7 = 0 THEN lat * 3 ELSE lat END AS lat, lon FROM v_obs) WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180")
 def p12(spark: SparkSession, sf: str) -> DataFrame:
-    obs = view(spark, sf, "v_obs").select("event_id", F.expr("try_cast(cast(lat as string) as double)").alias("lat"), F.expr("try_cast(cast(lon as string) as double)").alias("lon"))
-    return obs.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).select("event_id", F.when(F.col("lat").between(-60, 60), F.col("lat")).alias("lat"))
+    """Some latitudes aren't numbers, some are out of range."""
+    lat = F.when(F.col("event_id") % 9 == 0, "north").when(F.col("event_id") % 7 == 0, (F.col("lat") * 3).cast("string")).otherwise(F.col("lat").cast("string"))
+    return rounded(s.located_only(view(spark, sf, "v_obs").select("event_id", lat.alias("lat"), "lon")))

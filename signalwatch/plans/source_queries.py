@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,23 @@ from ..streaming import jobs
 from .ledger_queries import BREAKER as _BREAKER
 from .registry import registry, rounded
 from .scratch import folder
+from .graph_queries import _UID
 from .signal_queries import _EWMA
+from .signal_queries import ORACLES as ORACLES_OF_SIGNALS
+from .text_queries import _PLACES, _label_sql, vocabulary
 from .views import view
 
 QUERIES, ORACLES, query = registry()
 
 
+#: Rows that a landed file of one value holds: files grow in number with a table, not in size.
+PER_FILE = 5_000
+
+
+def _file(key: str):
+    return F.floor(F.col(key) / PER_FILE).alias("file")
+
+
 def _one_a_file(rows: DataFrame, path: str) -> None:
     """Each (file, value) as a text file of its own."""
     rows.repartition("file").write.partitionBy("file").text(path)
@@ -38,7 +51,7 @@ def s2(spark: SparkSession, sf: str) -> DataFrame:
 @query("s3_json_array_scan", "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, round(value, 6) AS value FROM events)")
 def s3(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark, "array")
-    rows = view(spark, sf, "events").groupBy(F.pmod(F.hash("event_id"), F.lit(8)).alias("file")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("user_id", "event_id", "value")).alias("rows")).alias("data"))).alias("value"))
+    rows = view(spark, sf, "events").groupBy(_file("event_id")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("user_id", "event_id", "value")).alias("rows")).alias("data"))).alias("value"))
     _one_a_file(rows, path)
     return rounded(l.json_array(spark, path, "data.rows", "data struct<rows:array<struct<user_id:bigint,event_id:bigint,value:double>>>"))
 
@@ -48,31 +61,80 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark, "replay")
     posts = view(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id"), "text", F.col("role").alias("author"), F.lit("2024-01-01").alias("created_at"), F.lit("en").alias("lang"))
     whole = F.to_json(F.struct(F.collect_list(F.struct(*posts.columns)).alias("tweets")))
-    _one_a_file(posts.withColumn("file", F.pmod(F.hash("id"), F.lit(8))).groupBy("file").agg(whole.alias("value")), path)
+    _one_a_file(posts.groupBy(F.floor(F.col("id").cast("bigint") / (PER_FILE * 100)).alias("file")).agg(whole.alias("value")), path)
     return l.replay_posts(spark, path).select("id", F.sha2("text", 256).alias("sha"))
 
 
-@query("s5_feed_items", "SELECT url, count(*) AS n FROM pages WHERE page_id % 2 = 0 GROUP BY 1 UNION ALL SELECT url || '#atom', count(*) FROM pages WHERE page_id % 2 = 1 GROUP BY 1")
+@query("s5_feed_items", """SELECT CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '#atom' WHEN 2 THEN 'http://guid.org/' || page_id ELSE 'http://id.org/' || page_id END AS url, CASE WHEN page_id % 4 < 2 THEN 'Title ' || page_id END AS title,
+    CASE page_id % 4 WHEN 0 THEN 'p' || page_id WHEN 1 THEN 'p' || page_id WHEN 3 THEN 'u' || page_id END AS published, CASE page_id % 4 WHEN 0 THEN 'd' || page_id WHEN 1 THEN 's' || page_id WHEN 3 THEN 'c' || page_id END AS description, CASE page_id % 4 WHEN 0 THEN 'a' || page_id WHEN 1 THEN 'n' || page_id END AS author FROM pages""")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
+    """RSS items and Atom entries, with and without the fields that others stand in for."""
     path = folder(spark, "xml")
-    safe = F.regexp_replace("url", "&", "&amp;")
-    item = F.concat(F.lit("<item><title>t</title><link>"), safe, F.lit("</link><pubDate>x</pubDate></item>"))
-    entry = F.concat(F.lit("<entry><title>t</title><link href=\""), safe, F.lit("#atom\"/><updated>y</updated></entry>"))
-    each = view(spark, sf, "pages").select(F.pmod(F.hash("page_id"), F.lit(8)).alias("file"), F.when(F.col("page_id") % 2 == 0, item).otherwise(entry).alias("x"))
+    safe, n, k = F.regexp_replace("url", "&", "&amp;"), F.col("page_id").cast("string"), F.col("page_id") % 4
+    x = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    item = x("<item><title>Title ", n, "</title><link>", safe, "</link><pubDate>p", n, "</pubDate><description>d", n, "</description><author>a", n, "</author></item>")
+    bare = x("<item><guid>http://guid.org/", n, "</guid></item>")
+    entry = x("<entry><title>Title ", n, '</title><link href="', safe, '#atom"/><published>p', n, "</published><updated>u", n, "</updated><summary>s", n, "</summary><content>c", n, "</content><author><name>n", n, "</name></author></entry>")
+    less = x("<entry><id>http://id.org/", n, "</id><updated>u", n, "</updated><content>c", n, "</content></entry>")
+    each = view(spark, sf, "pages").select(_file("page_id"), F.when(k == 0, item).when(k == 1, entry).when(k == 2, bare).otherwise(less).alias("x"))
     _one_a_file(each.groupBy("file").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("x"), "\n"), F.lit("</channel></rss>")).alias("value")), path)
-    return l.feed_items(spark, path).groupBy("url").agg(F.count("*").alias("n"))
+    return l.feed_items(spark, path).select("url", "title", "published", "description", "author")
 
 
-@query("s6_health_mentions", "SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS source_id, substr(sha256('s::' || role), 1, 16) AS author_hash, sha256(substr(trim(text), 1, 4000)) AS sha FROM conversations WHERE trim(text) <> ''")
-def s6(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("comment_id"), "text", F.upper("role").alias("author"), F.lit(0).alias("published_at"), "conv_id")
-    return l.health_mentions(rows, "comments", "p", "s").select("source_id", "author_hash", F.sha2("original_text", 256).alias("sha"))
+#: Connector: whether its text has a title, and how many characters it keeps.
+_CONNECTED = {name: (c[1] is not None, c[5]) for name, c in l.CONNECTORS.items()}
+_MENTIONS = " UNION ALL ".join(
+    f"SELECT '{name}' AS connector, CAST(conv_id * 1000 + turn AS VARCHAR) AS source_id, substr(sha256('s::' || role), 1, 16) AS author_hash, sha256(substr({'role || chr(10) || chr(10) || ' if titled else ''}trim(text, ' '), 1, {most})) AS sha FROM conversations" + ("" if titled else " WHERE trim(text, ' ') <> ''")
+    for name, (titled, most) in _CONNECTED.items())
+_MENTIONS = _MENTIONS.replace("sha256(substr(role || chr(10) || chr(10) || trim(text, ' '),", "sha256(substr(CASE WHEN trim(text, ' ') = '' THEN role ELSE role || chr(10) || chr(10) || trim(text, ' ') END,")
 
 
-@query("s7_feed_rows", "SELECT 'hn-' || page_id AS id, CASE WHEN page_id % 5 = 0 THEN 'Untitled' ELSE url END AS title, page_id * 2 AS score FROM pages")
+@query("s6_health_mentions", _MENTIONS)
+def s6(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every connector, in its own columns."""
+    out = None
+    for name, (key, title, body, author, at, _, _) in l.CONNECTORS.items():
+        own = {key: (F.col("conv_id") * 1000 + F.col("turn")), body: F.col("text"), author: F.upper("role"), at: F.lit(0)} | ({title: F.col("role")} if title else {})
+        rows = view(spark, sf, "conversations").select(*(v.alias(c) for c, v in own.items()))
+        found = l.health_mentions(rows, name, "p", "s").select(F.col("connector_type").alias("connector"), "source_id", "author_hash", F.sha2("original_text", 256).alias("sha"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("s7_feed_rows", """SELECT 'hn-' || page_id AS id, 'hackernews' AS source, CASE WHEN page_id % 5 = 0 THEN 'Untitled' ELSE url END AS title, url, page_id * 2 AS score FROM pages UNION ALL SELECT 'reddit-' || page_id, 'forum', url, url, page_id * 2 FROM pages WHERE page_id % 3 <> 0
+    UNION ALL SELECT 'gdelt-' || url, 'news', url, url, NULL FROM pages UNION ALL SELECT 'pubmed-' || page_id, 'papers', url, CASE WHEN page_id % 2 = 0 THEN 'https://doi.org/10.1/' || page_id ELSE 'https://pubmed.ncbi.nlm.nih.gov/' || page_id || '/' END, NULL FROM pages""")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "pages").select(F.col("page_id").alias("objectID"), F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("title"), "url", F.lit("a").alias("author"), F.lit("x").alias("created_at"), (F.col("page_id") * 2).alias("points"), F.lit(1).alias("num_comments"))
-    return l.feed_rows(p, "hackernews").select("id", "title", "score")
+    """Payloads of every source, in its own columns; some without a title, adult or without a DOI."""
+    p, n = view(spark, sf, "pages"), F.col("page_id")
+    title = F.when(n % 5 != 0, F.col("url")).alias("title")
+    rows = {
+        "hackernews": p.select(n.alias("objectID"), title, "url", F.lit("a").alias("author"), F.lit("x").alias("created_at"), (n * 2).alias("points"), F.lit(1).alias("num_comments")),
+        "forum": p.select(n.alias("id"), F.col("url").alias("title"), "url", F.lit("a").alias("author"), F.lit("x").alias("created_utc"), (n * 2).alias("score"), F.lit(1).alias("num_comments"), (n % 3 == 0).alias("over_18")),
+        "news": p.select("url", F.col("url").alias("title"), F.lit("d").alias("domain"), F.lit("x").alias("seendate")),
+        "papers": p.select(n.alias("uid"), F.col("url").alias("title"), F.when(n % 2 == 0, F.concat(F.lit("10.1/"), n.cast("string"))).alias("doi"), F.lit("a").alias("author"), F.lit("x").alias("pubdate")),
+    }
+    out = None
+    for source, landed in rows.items():
+        found = l.feed_rows(landed, source).select("id", "source", "title", "url", "score")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("x3_landed_readers", "SELECT 'csv' AS reader, count(*) AS n FROM events UNION ALL SELECT 'ndjson', count(*) FROM events UNION ALL SELECT 'json', count(*) FROM events UNION ALL SELECT 'xml', count(*) FROM pages UNION ALL SELECT 'comments', count(*) FROM conversations WHERE trim(text, ' ') <> ''")
+def x3(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of each kind, found by the end of their folder's name or by a hint."""
+    e = view(spark, sf, "events").select("event_id", "event_type")
+    root, counts = folder(spark, "landed"), []
+    e.write.option("header", True).csv(f"{root}/a.csv")
+    l.write_events(e, f"{root}/b.ndjson")
+    _one_a_file(e.groupBy(_file("event_id")).agg(F.to_json(F.collect_list(F.struct("event_id", "event_type"))).alias("value")), f"{root}/c.json")
+    items = view(spark, sf, "pages").groupBy(_file("page_id")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(F.concat(F.lit("<item><title>"), F.col("page_id").cast("string"), F.lit("</title></item>"))), ""), F.lit("</channel></rss>")).alias("value"))
+    _one_a_file(items, f"{root}/d.xml")
+    l.write_events(view(spark, sf, "conversations").select(F.col("conv_id").alias("comment_id"), "text", F.col("role").alias("author"), F.lit(0).alias("published_at")), f"{root}/posted")
+    for name in ("a.csv", "b.ndjson", "c.json", "d.xml"):
+        counts.append(l.read_landed(spark, f"{root}/{name}").agg(F.count("*").alias("n")).select(F.lit(name.split(".")[1]).alias("reader"), "n"))
+    counts.append(l.read_mentions(spark, f"{root}/posted", "comments", "p", "s", hint="ndjson").agg(F.count("*").alias("n")).select(F.lit("comments").alias("reader"), "n"))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3]).unionByName(counts[4])
 
 
 @query("s10_routed_signals", "SELECT 'signals.' || kind AS topic, count(*) AS n FROM v_signals GROUP BY 1 UNION ALL SELECT 'signals.all', count(*) FROM v_signals")
@@ -113,9 +175,14 @@ def f24(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, df: DataFrame, parts: int = 4) -> tuple[str, str]:
-    """df as files of a stream, in an order that its time column has; (path, schema)."""
+    """df as files of a stream that land in the order of its time column; (path, schema). Files are written in parallel and then given times that rise, since a stream takes them by time."""
     path = folder(spark, "stream")
     df.repartitionByRange(parts, "ts").write.parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((x.getPath() for x in files.listStatus(root) if x.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for k, name in enumerate(names):
+        files.setTimes(name, int(time.time() * 1000) - 1000 * (len(names) - k), -1)
     return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
@@ -125,47 +192,67 @@ def _all(spark: SparkSession, writer, table: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{table}/batch=*")
 
 
-@query("st1_annotation_stream", "SELECT doc_id AS mention_id, 'clean' AS label FROM documents WHERE length(text) < 500 AND NOT regexp_matches(text, '(?i)/s\\b|\\bboycott|\\bplandemic')")
+@query("st1_annotation_stream", f"WITH n AS (SELECT mention_id, count(*) AS n FROM ({_PLACES}) GROUP BY 1) SELECT m.mention_id, {_label_sql('text')} AS label, 'en' AS language, coalesce(n, 0) AS entities FROM v_mentions m LEFT JOIN n USING (mention_id)")
 def st1(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "v_mentions").where("length(text) < 500").withColumn("ts", F.col("mention_id"))
-    path, schema = _landed(spark, rows)
+    path, schema = _landed(spark, view(spark, sf, "v_mentions").withColumn("ts", F.col("mention_id")))
     a, b = folder(spark, "normalized"), folder(spark, "annotations")
-    writer = jobs.annotate_stream(jobs.read_stream(spark, path, schema, 2), a, b, folder(spark, "checkpoint"))
-    out = _all(spark, writer, b, "mention_id bigint, misinformation struct<label:string,confidence:double>")
-    return out.select("mention_id", F.col("misinformation.label").alias("label")).where("label = 'clean'")
+    writer = jobs.annotate_stream(jobs.read_stream(spark, path, schema, 2), a, b, folder(spark, "checkpoint"), vocabulary(spark))
+    out = _all(spark, writer, b, "mention_id bigint, language string, misinformation struct<label:string,confidence:double>, entities array<struct<start:int>>")
+    return out.select("mention_id", F.col("misinformation.label").alias("label"), "language", F.coalesce(F.size("entities"), F.lit(0)).cast("bigint").alias("entities"))
 
 
-@query("st2_spike_stream", f"{_EWMA} SELECT keyword, district, day, n, round(base, 6) AS baseline, round(z, 6) AS z FROM f WHERE day <= (SELECT max(day) - 2 FROM v_daily)")
+@query("st2_spike_stream", f"{_EWMA} SELECT keyword, district, day, n, round(base, 6) AS baseline, round(z, 6) AS z, CAST(least(i - 1, 14) AS INTEGER) AS prior FROM f")
 def st2(spark: SparkSession, sf: str) -> DataFrame:
+    """All days: those closed while the stream ran and those flushed at its end."""
     rows = view(spark, sf, "events").select(F.col("event_type").alias("keyword"), (F.col("user_id") % 10).cast("string").alias("district"), F.col("ts").cast("timestamp").alias("ts"))
     path, schema = _landed(spark, rows)
-    counts, table = folder(spark, "counts"), folder(spark, "spikes")
-    out = _all(spark, jobs.spike_stream(jobs.read_stream(spark, path, schema, 1), counts, table, folder(spark, "checkpoint")), table, jobs.SPIKES)
-    return rounded(out.where(F.col("day") <= view(spark, sf, "v_daily").agg(F.max("day")).first()[0] - 2).select("keyword", "district", "day", "n", "baseline", "z"))
+    tables = jobs.SpikeTables(folder(spark, "spikes"))
+    jobs.spike_stream(jobs.read_stream(spark, path, schema, 1), tables, folder(spark, "checkpoint")).start().awaitTermination()
+    jobs.flush(spark, tables)
+    return rounded(jobs.stored(spark, tables.spikes, jobs.SPIKES).select("keyword", "district", "day", "n", "baseline", "z", "prior"))
 
 
-@query("st3_pair_stream", "SELECT drug, event, count(*) AS a FROM v_pairs GROUP BY 1, 2")
+@query("st3_pair_stream")
 def st3(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores on the counts of all micro-batches, compacted once on the way."""
     path, schema = _landed(spark, view(spark, sf, "v_pairs").withColumnRenamed("day", "ts"))
-    table = folder(spark, "pairs")
+    table, less = folder(spark, "pairs"), folder(spark, "pairs-compact")
     jobs.pair_count_stream(jobs.read_stream(spark, path, schema, 1), table, folder(spark, "checkpoint")).start().awaitTermination()
-    return jobs.total_pairs(spark, table).select("drug", "event", "a")
+    jobs.compact_pairs(spark, table, less)
+    return rounded(jobs.total_pairs(spark, less).select("drug", "event", "a", "b", "c", "d", "expected", "prr", "ror", "ic", "ic_lower", "chi_squared", "is_signal"))
+
+
+ORACLES["st3_pair_stream"] = ORACLES_OF_SIGNALS["a4_disproportionality"].replace("prr0 >= 1.02", "prr0 >= 2").replace("chi0 >= 1.0", "chi0 >= 4")
 
 
-@query("st4_cluster_stream")
+@query("st4_cluster_stream", """WITH d AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM v_obs), w AS (SELECT unnest(range(day + 1, day + 8)) AS until, floor(lat / 5) AS cy, floor(lon / 5) AS cx, weight FROM d),
+    c AS (SELECT until, cy, cx, sum(weight) AS weight FROM w GROUP BY 1, 2, 3), r AS (SELECT *, avg(weight) OVER (PARTITION BY until) AS rate FROM c)
+    SELECT until, CAST(cy AS BIGINT) AS cy, CAST(cx AS BIGINT) AS cx, round(weight, 6) AS weight, round(rate, 6) AS rate, round(CASE WHEN weight <= rate THEN 0 ELSE weight * ln(weight / rate) - (weight - rate) END, 6) AS llr
+    FROM r WHERE until * 86400 <= (SELECT max(epoch(ts)) FROM v_obs) - 86400""")
 def st4(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that were over a day before the last row came."""
     path, schema = _landed(spark, view(spark, sf, "v_obs").select("lat", "lon", F.col("ts").cast("timestamp").alias("ts"), "weight"))
     table = folder(spark, "clusters")
     writer = jobs.cluster_stream(jobs.read_stream(spark, path, schema, 1), table, folder(spark, "checkpoint"), degrees=5.0)
-    return rounded(_all(spark, writer, table, "until timestamp, cy bigint, cx bigint, weight double, rate double, llr double"))
+    out = _all(spark, writer, table, "until timestamp, cy bigint, cx bigint, weight double, rate double, llr double")
+    return rounded(out.withColumn("until", F.floor(F.unix_seconds("until") / 86400)))
 
 
-@query("st5_graph_stream", "SELECT id, round(confidence, 6) AS confidence FROM v_entities WHERE entity_type = 'EVENT' AND confidence > 0.85")
+@query("st5_graph_stream", f"""WITH e AS (SELECT DISTINCT {_UID} AS uid, src, dst FROM v_edges) SELECT 'edge' AS part, uid AS id, dst AS label FROM e UNION ALL SELECT 'entity', id, name FROM v_entities UNION ALL SELECT 'notice', id, '' FROM v_entities WHERE entity_type = 'EVENT' AND confidence > 0.85""")
 def st5(spark: SparkSession, sf: str) -> DataFrame:
-    path, schema = _landed(spark, view(spark, sf, "v_entities").withColumn("ts", F.col("updated")))
-    entities, notices = folder(spark, "entities"), folder(spark, "notices")
-    writer = jobs.graph_stream(jobs.read_stream(spark, path, schema, 2), entities, notices, folder(spark, "checkpoint"))
-    return rounded(_all(spark, writer, notices, "id string, confidence double"))
+    """A message for each source of edges: the entity and its edges, every edge twice. The graph as it stands afterwards, and the notices."""
+    edges = view(spark, sf, "v_edges").groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("src", "dst", "valid_from", "evidence")).alias("edges"))
+    entities = view(spark, sf, "v_entities").withColumn("ts", F.col("updated"))
+    one = F.array(F.struct("id", "entity_type", "name", "confidence", "updated"))
+    none = F.array().cast("array<struct<src:string,dst:string,valid_from:string,evidence:string>>")
+    messages = entities.join(edges, "id", "left").select("ts", one.alias("entities"), F.concat(F.coalesce("edges", none), F.coalesce("edges", none)).alias("edges"))
+    path, schema = _landed(spark, messages)
+    tables = jobs.GraphTables(folder(spark, "graph"))
+    jobs.graph_stream(jobs.read_stream(spark, path, schema, 2), tables, folder(spark, "checkpoint")).start().awaitTermination()
+    known, between = jobs.graph_snapshot(spark, tables)
+    notices = jobs.stored(spark, tables.notices, jobs.ENTITIES)
+    part = lambda name, df, i, label: df.select(F.lit(name).alias("part"), F.col(i).alias("id"), label.alias("label"))
+    return part("edge", between, "uid", F.col("dst")).unionByName(part("entity", known, "id", F.col("name"))).unionByName(part("notice", notices, "id", F.lit("")))
 
 
 @query("st6_event_notices", "SELECT id FROM v_entities WHERE entity_type = 'EVENT' AND confidence > 0.85")
@@ -176,26 +263,26 @@ def st6(spark: SparkSession, sf: str) -> DataFrame:
     return _all(spark, jobs.started(stream, folder(spark, "checkpoint"), lambda b, k: jobs.write_keyed(b, table, k)), table, "id string")
 
 
-@query("st7_extraction_stream", "SELECT event_id AS id, props AS json FROM events WHERE event_id % 4 <> 3")
+@query("st7_extraction_stream", "SELECT event_id AS id, CASE WHEN event_id % 4 <> 3 THEN props END AS json, CASE WHEN event_id % 4 <> 3 THEN 'ok' WHEN event_id % 8 = 3 THEN 'retry' ELSE 'quarantine' END AS outcome FROM events")
 def st7(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 != 3, F.concat(F.lit("x "), "props")).otherwise("none").alias("text"), F.lit(1).alias("attempt"), "ts")
+    rows = view(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 != 3, F.concat(F.lit("x "), "props")).otherwise("none").alias("text"), F.when(F.col("event_id") % 8 == 3, 1).otherwise(3).alias("attempt"), "ts")
     path, schema = _landed(spark, rows)
-    good, bad = folder(spark, "good"), folder(spark, "bad")
-    writer = jobs.extraction_stream(jobs.read_stream(spark, path, schema, 2), good, bad, folder(spark, "checkpoint"))
-    return _all(spark, writer, good, "id bigint, json string")
+    good, again, bad = folder(spark, "good"), folder(spark, "again"), folder(spark, "bad")
+    writer = jobs.extraction_stream(jobs.read_stream(spark, path, schema, 2), good, again, bad, folder(spark, "checkpoint"))
+    out = _all(spark, writer, good, "id bigint, json string").withColumn("outcome", F.lit("ok"))
+    for name, table in (("retry", again), ("quarantine", bad)):
+        out = out.unionByName(jobs.stored(spark, table, "id bigint").select("id", F.lit(None).cast("string").alias("json"), F.lit(name).alias("outcome")))
+    return out
 
 
 @query("st8_health_stream", _BREAKER + " SELECT CAST(source AS VARCHAR) AS source, seq, round(health, 6) AS health, failures, is_open FROM r")
 def st8(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view")).alias("success"), "ts")
-    path, schema = folder(spark, "stream"), "source string, seq bigint, success boolean, ts timestamp_ntz"
-    # outcomes of a source must come in order: one landing after the other, cut at three numbers
-    cuts = [float("-inf"), *rows.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01), float("inf")]
-    for low, high in zip(cuts, cuts[1:]):
-        rows.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(path)
+    # outcomes of a source must come in order, so files land by number
+    path, schema = _landed(spark, rows.drop("ts").withColumn("ts", F.col("seq")))
     table = folder(spark, "health")
     stream = jobs.health_stream(jobs.read_stream(spark, path, schema, 1))
-    return rounded(_all(spark, jobs.started(stream, folder(spark, "checkpoint"), lambda b, k: jobs.write_keyed(b, table, k)), table, "source string, seq bigint, health double, failures int, is_open boolean"))
+    return rounded(_all(spark, jobs.started(stream, folder(spark, "checkpoint"), lambda b, k: jobs.write_keyed(b, table, k)), table, jobs.HEALTH))
 
 
 @query("s8_decoded_stream", "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 0")
@@ -231,3 +318,13 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
     concepts = spark.read.schema("code string, preferred_term string, synonyms array<string>").json(path)
     entry = F.struct(F.col("preferred_term").alias("surface"), F.lit("parts").alias("code_system"), "code", "synonyms")
     return vocabulary_rows(concepts.select(F.lit("CONDITION").alias("kind"), F.array(entry).alias("entries"))).select("code", F.lower("surface").alias("term"))
+
+
+@query("u4_unseen_stream", "SELECT event_id FROM events")
+def u4_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event is sent twice, the second time in another micro-batch or the same one; each is let through once."""
+    e = view(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    path, schema = _landed(spark, e.unionByName(e))
+    table = folder(spark, "unseen")
+    stream = jobs.unseen(jobs.read_stream(spark, path, schema, 1))
+    return _all(spark, jobs.started(stream.select("event_id"), folder(spark, "checkpoint"), lambda b, k: jobs.write_keyed(b, table, k)), table, "event_id bigint")

@@ -24,7 +24,7 @@ def reader(name: str):
 
 
 def read_landed(spark: SparkSession, path: str, hint: str | None = None) -> DataFrame:
-    """By hint, else by the first reader whose name the path ends with."""
+    """By hint, else by the first reader whose name the path ends with. Readers: csv, ndjson, json (arrays), replay, xml (feeds)."""
     if hint in READERS:
         return READERS[hint](spark, path)
     for name, f in READERS.items():
@@ -46,6 +46,7 @@ def ndjson(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
     return (r.schema(schema) if schema else r).json(path)
 
 
+@reader("json")
 def json_array(spark: SparkSession, path: str, pointer: str = "item", schema: str | None = None) -> DataFrame:
     """Rows of the array that a dotted pointer names; `item` is the top level."""
     r = spark.read.option("multiLine", True)
@@ -64,6 +65,7 @@ def replay_posts(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode(F.coalesce("tweets", F.array(own))).alias("p"), "origin").select("p.*", "origin").where("id is not null")
 
 
+@reader("xml")
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
     """(title, url, published, description, author) of RSS items and Atom entries."""
     def rows(tag: str, schema: str) -> DataFrame:
@@ -97,6 +99,11 @@ def health_mentions(landed: DataFrame, connector: str, project: str, salt: str)
     return rows.where("original_text is not null").withColumn("id", F.substring(F.sha2(F.concat_ws("|", "project_id", "connector_type", "source_id"), 256), 1, 32))
 
 
+def read_mentions(spark: SparkSession, path: str, connector: str, project: str, salt: str, hint: str | None = None) -> DataFrame:
+    """Mentions of a connector from its landed files, read by hint or by name."""
+    return health_mentions(read_landed(spark, path, hint), connector, project, salt)
+
+
 #: Source: (id prefix, id, title, url, author, published, score, comments)
 FEEDS = {
     "hackernews": ("hn-", "objectID", "title", "url", "author", "created_at", "points", "num_comments"),
@@ -132,7 +139,11 @@ def compact_time(value: Column) -> Column:
 
 def bucket_report(rows: DataFrame) -> Column:
     """A Markdown line for a telemetry bucket (bucket, n, mean, low, high, last_avg)."""
-    number = lambda c: F.coalesce(F.format_string("%.6g", c), F.lit("-"))
+    def number(c: str) -> Column:
+        """Six digits without closing zeros; a dash for null."""
+        short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", F.col(c)), r"(\.\d*?)0+(e.*)?$", "$1$2"), r"\.(e.*)?$", "$1")
+        return F.when(F.col(c).isNull(), "-").otherwise(short)
+
     return F.concat_ws(" | ", F.lit(""), F.timestamp_seconds("bucket").cast("string"), F.col("n").cast("string"), number("mean"), number("low"), number("high"), number("last_avg"), F.lit(""))
 
 

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.annotate import misinformation, pii_findings, redacted, sentiment
-from ..operators.graph import confident_events
+from ..functions.annotate import dominant_language, language_segments, misinformation, pii_findings, redacted, sentiment
+from ..operators.dictionary import dictionary_entities
+from ..operators.graph import confident_events, edge_uid, insert_absent, latest_by_key
 from ..operators.ledger import salvage_outcome, salvaged_json
 from ..operators.signals import contingency, disproportionality, ewma_spikes, poisson_llr
 
@@ -41,46 +43,93 @@ def started(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int],
 
 
 def annotated(mentions: DataFrame) -> DataFrame:
-    """mentions (text) with redacted text, findings, sentiment and misinformation, all on redacted text."""
-    found = mentions.withColumn("findings", pii_findings(F.col("text"))).withColumn("clean", redacted(F.col("text"), F.col("findings")))
+    """mentions (text) with language, redacted text, findings, sentiment and misinformation, all but the language on redacted text."""
+    found = mentions.withColumn("language", dominant_language(language_segments(F.col("text")))).withColumn("findings", pii_findings(F.col("text"))).withColumn("clean", redacted(F.col("text"), F.col("findings")))
     return found.withColumn("sentiment", sentiment(F.col("clean"))).withColumn("misinformation", misinformation(F.col("clean")))
 
 
-def annotate_stream(mentions: DataFrame, normalized: str, annotations: str, checkpoint: str) -> DataStreamWriter:
-    """Two sinks from one pass."""
+def annotate_stream(mentions: DataFrame, normalized: str, annotations: str, checkpoint: str, vocabulary: DataFrame | None = None) -> DataStreamWriter:
+    """Two sinks from one pass; with a vocabulary, annotations have the entities of the redacted text."""
     def each(batch: DataFrame, batch_id: int) -> None:
         done = annotated(batch).persist()
         write_keyed(done.select("mention_id", "project_id", "clean", "findings"), normalized, batch_id)
-        write_keyed(done.select("mention_id", "project_id", "sentiment", "misinformation"), annotations, batch_id)
+        out = done.select("mention_id", "project_id", "language", "sentiment", "misinformation")
+        if vocabulary is not None:
+            found = dictionary_entities(done.select("mention_id", F.col("clean").alias("text")), vocabulary)
+            found = found.groupBy("mention_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "code", "negated"))).alias("entities"))
+            out = out.join(found, "mention_id", "left")
+        write_keyed(out, annotations, batch_id)
         done.unpersist()
 
     return started(mentions, checkpoint, each)
 
 
-def daily_counts(mentions: DataFrame, late: str = "1 day") -> DataFrame:
-    """(keyword, district, day, n), each day once it is over; later rows are dropped by the watermark."""
-    w = F.window("ts", "1 day")
-    return mentions.withWatermark("ts", late).groupBy("keyword", "district", w.alias("w")).agg(F.count("*").alias("n")).select("keyword", "district", F.col("w.start").alias("ts"), F.floor(F.unix_seconds("w.start") / 86400).cast("int").alias("day"), "n")
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All micro-batches of a table, with the number of each; none where nothing was written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], f"{schema}, batch bigint")
+    return spark.read.schema(f"{schema}, batch bigint").parquet(path)
 
 
 SPIKES = "keyword string, district string, day int, n bigint, baseline double, z double, prior int, is_spike boolean"
 
 
-def spike_stream(mentions: DataFrame, counts: str, spikes: str, checkpoint: str, late: str = "1 day", **rule: float) -> DataStreamWriter:
-    """Closed days under their batch id in `counts`, and their spikes in `spikes`.
+COUNTS = "keyword string, district string, day int, n bigint"
+CLOSED = "until int, seen timestamp"
 
-    A series is folded from its closed days so far, which are as many numbers as it has days; so a restart needs no state but the
-    table, and the rows are those of the batch operator.
+
+class SpikeTables:
+    """Where a spike stream keeps what it knows: counts and late rows by micro-batch, how far days are closed, and spikes."""
+
+    def __init__(self, root: str) -> None:
+        self.counts, self.late, self.closed, self.spikes = (f"{root.rstrip('/')}/{x}" for x in ("counts", "late", "closed", "spikes"))
+
+
+def _close(spark: SparkSession, tables: SpikeTables, k: int, since: int | None, until: int, rule: dict) -> None:
+    """The days after `since` up to `until`, scored on all closed days of their series, as batch k."""
+    so_far = stored(spark, tables.counts, COUNTS).where((F.col("batch") <= k) & (F.col("day") <= until))
+    new = F.col("day") > (since if since is not None else -(1 << 31))
+    touched = so_far.where(new).select("keyword", "district").distinct()
+    series = so_far.join(touched, ["keyword", "district"], "left_semi").groupBy("keyword", "district", "day").agg(F.sum("n").alias("n"))
+    write_keyed(ewma_spikes(series, **rule).where(new), tables.spikes, k)
+
+
+def spike_stream(mentions: DataFrame, tables: SpikeTables, checkpoint: str, wait_days: int = 1, **rule: float) -> DataStreamWriter:
+    """Counts by keyword, district and day from mentions (keyword, district, ts), and the points of days once they are closed.
+
+    A day is closed when `wait_days` more have begun after it, by the latest time of the batches before. Rows of a closed day go to the late
+    table. A series is folded from its closed days, as many numbers as it has days, so a restart needs no state but the tables,
+    a batch that is tried again overwrites its own, and points are those of the batch operator. Days still open are left to flush().
     """
     def each(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        write_keyed(batch.select("keyword", "district", "day", "n"), counts, k)
-        so_far = spark.read.schema("keyword string, district string, day int, n bigint, batch bigint").parquet(counts).where(F.col("batch") <= k)
-        new = so_far.where(F.col("batch") == k).select("keyword", "district", "day")
-        series = so_far.join(new.select("keyword", "district").distinct(), ["keyword", "district"], "left_semi")
-        write_keyed(ewma_spikes(series.drop("batch"), **rule).join(new, ["keyword", "district", "day"], "left_semi"), spikes, k)
+        before = stored(spark, tables.closed, CLOSED).where(F.col("batch") < k).agg(F.max("until"), F.max("seen")).first()  # one row
+        day = F.floor(F.unix_seconds("ts") / 86400).cast("int")
+        rows = batch.withColumn("day", day).persist()
+        is_late = F.lit(False) if before[0] is None else F.col("day") <= before[0]
+        write_keyed(rows.where(is_late).select("keyword", "district", "day", "ts"), tables.late, k)
+        write_keyed(rows.where(~is_late).groupBy("keyword", "district", "day").agg(F.count("*").alias("n")), tables.counts, k)
+        now = rows.agg(F.max("ts"), F.max("day")).first()
+        rows.unpersist()
+        until = max((x for x in (before[0], None if now[1] is None else now[1] - wait_days - 1) if x is not None), default=None)
+        if until is not None and (before[0] is None or until > before[0]):
+            _close(spark, tables, k, before[0], until, rule)
+        if until is not None:
+            write_keyed(spark.createDataFrame([(until, now[0] or before[1])], CLOSED), tables.closed, k)
 
-    return started(daily_counts(mentions, late), checkpoint, each)
+    return started(mentions, checkpoint, each)
+
+
+def flush(spark: SparkSession, tables: SpikeTables, **rule: float) -> None:
+    """Closes all days that are still open, after the last batch; a second call finds none."""
+    last = stored(spark, tables.counts, COUNTS).agg(F.max("batch"), F.max("day")).first()
+    done = stored(spark, tables.closed, CLOSED).agg(F.max("until"), F.max("seen")).first()
+    if last[1] is None or (done[0] is not None and done[0] >= last[1]):
+        return
+    k = last[0] + 1
+    _close(spark, tables, k, done[0], last[1], rule)
+    write_keyed(spark.createDataFrame([(last[1], done[1])], CLOSED), tables.closed, k)
 
 
 def pair_count_stream(pairs: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
@@ -88,62 +137,102 @@ def pair_count_stream(pairs: DataFrame, table: str, checkpoint: str) -> DataStre
     return started(pairs, checkpoint, lambda batch, k: write_keyed(batch.groupBy("drug", "event").agg(F.count("*").alias("a")), table, k))
 
 
-def total_pairs(spark: SparkSession, table: str) -> DataFrame:
-    """Scores on all counts so far."""
-    counts = spark.read.schema("drug string, event string, a bigint").parquet(f"{table.rstrip('/')}/batch=*").groupBy("drug", "event").agg(F.sum("a").alias("a"))
-    return disproportionality(contingency(counts))
+PAIRS = "drug string, event string, a bigint"
+
+
+def total_pairs(spark: SparkSession, table: str, changed_since: int | None = None) -> DataFrame:
+    """Scores on all counts so far; with changed_since only those of pairs that a batch after it has touched."""
+    rows = stored(spark, table, PAIRS)
+    scores = disproportionality(contingency(rows.groupBy("drug", "event").agg(F.sum("a").alias("a"))))
+    return scores if changed_since is None else scores.join(rows.where(F.col("batch") > changed_since).select("drug", "event").distinct(), ["drug", "event"], "left_semi")
+
+
+def compact_pairs(spark: SparkSession, table: str, into: str) -> None:
+    """Writes the totals as the one batch of a new table, numbered as the last batch was."""
+    rows = stored(spark, table, PAIRS)
+    write_keyed(rows.groupBy("drug", "event").agg(F.sum("a").alias("a")), into, rows.agg(F.max("batch")).first()[0] or 0)
 
 
 def cluster_stream(obs: DataFrame, table: str, checkpoint: str, days: int = 7, degrees: float = 1.0) -> DataStreamWriter:
-    """Cell weights in sliding windows once each is over; scored against their window's mean cell."""
+    """Cell weights in sliding windows once each is over; scored against their window's mean cell. A window holds its start and not its end (the batch operator's holds both)."""
     w = F.window("ts", f"{days} days", "1 day")
     cells = obs.withWatermark("ts", "1 day").groupBy(w.alias("w"), F.floor(F.col("lat") / degrees).alias("cy"), F.floor(F.col("lon") / degrees).alias("cx")).agg(F.sum("weight").alias("weight"))
 
     def each(batch: DataFrame, k: int) -> None:
+        batch = batch.persist()  # a stateful batch that is used twice
         rate = batch.groupBy("w").agg(F.avg("weight").alias("rate"))
         write_keyed(batch.join(rate, "w").select(F.col("w.end").alias("until"), "cy", "cx", "weight", "rate", poisson_llr(F.col("weight"), F.col("rate")).alias("llr")), table, k)
+        batch.unpersist()
 
     return started(cells, checkpoint, each)
 
 
-def graph_stream(batches: DataFrame, entities: str, notices: str, checkpoint: str) -> DataStreamWriter:
-    """Entity updates and, after them, notices of confident events. batches: id, entity_type, name, confidence, updated."""
+ENTITIES = "id string, entity_type string, name string, confidence double, updated bigint"
+EDGES = "uid string, src string, dst string, valid_from string, evidence string"
+
+
+class GraphTables:
+    """Where a graph stream writes: entities and edges by micro-batch, and notices."""
+
+    def __init__(self, root: str) -> None:
+        self.entities, self.edges, self.notices = (f"{root.rstrip('/')}/{x}" for x in ("entities", "edges", "notices"))
+
+
+def graph_stream(messages: DataFrame, tables: GraphTables, checkpoint: str) -> DataStreamWriter:
+    """Extraction messages (entities array of ENTITIES, edges array of EDGES without uid) to entity updates, edges that weren't there, and then notices of confident events."""
     def each(batch: DataFrame, k: int) -> None:
-        last = batch.groupBy("id").agg(F.max_by(F.struct("entity_type", "name", "confidence", "updated"), F.struct("updated", "name")).alias("e")).select("id", "e.*").persist()
-        write_keyed(last, entities, k)
-        write_keyed(confident_events(last), notices, k)
+        batch = batch.persist()
+        spark = batch.sparkSession
+        named = batch.select(F.explode("entities").alias("e")).select("e.*")
+        last = named.groupBy("id").agg(F.max_by(F.struct("entity_type", "name", "confidence", "updated"), F.struct("updated", "name", "confidence")).alias("e")).select("id", "e.*").persist()
+        write_keyed(last, tables.entities, k)
+        new = batch.select(F.explode("edges").alias("e")).select("e.*").withColumn("uid", edge_uid(F.col("src"), F.col("dst"), F.col("valid_from"), F.col("evidence")))
+        write_keyed(insert_absent(stored(spark, tables.edges, EDGES).where(F.col("batch") < k), new, "uid", [F.col("src")]).select("uid", "src", "dst", "valid_from", "evidence"), tables.edges, k)
+        write_keyed(confident_events(last), tables.notices, k)
         last.unpersist()
+        batch.unpersist()
+
+    return started(messages, checkpoint, each)
+
 
-    return started(batches, checkpoint, each)
+def graph_snapshot(spark: SparkSession, tables: GraphTables) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) as they stand after all batches: the last writer of an entity wins."""
+    entities = latest_by_key(stored(spark, tables.entities, ENTITIES), ["id"], [F.desc("batch")]).drop("batch")
+    return entities, stored(spark, tables.edges, EDGES).drop("batch")
 
 
-def extraction_stream(outputs: DataFrame, good: str, quarantine: str, checkpoint: str) -> DataStreamWriter:
-    """Model outputs (id, text, attempt): their JSON, or quarantine."""
+def extraction_stream(outputs: DataFrame, good: str, again: str, quarantine: str, checkpoint: str) -> DataStreamWriter:
+    """Model outputs (id, text, attempt): their JSON, those to be tried again (attempt one higher), and quarantine."""
     def each(batch: DataFrame, k: int) -> None:
         done = batch.withColumn("json", salvaged_json(F.col("text"))).withColumn("outcome", salvage_outcome(F.col("text"), F.col("attempt"))).persist()
         write_keyed(done.where("outcome = 'ok'").select("id", "json"), good, k)
-        write_keyed(done.where("outcome <> 'ok'").select("id", "text", "outcome"), quarantine, k)
+        write_keyed(done.where("outcome = 'retry'").select("id", "text", (F.col("attempt") + 1).alias("attempt")), again, k)
+        write_keyed(done.where("outcome = 'quarantine'").select("id", "text", "attempt"), quarantine, k)
         done.unpersist()
 
     return started(outputs, checkpoint, each)
 
 
-def health_stream(outcomes: DataFrame, alpha: float = 0.3, opens: float = 0.3, closes: float = 0.7) -> DataFrame:
-    """Source health by state: outcomes (source, seq, success) to (source, seq, health, failures, is_open)."""
-    schema = "source string, seq bigint, health double, failures int, is_open boolean"
+HEALTH = "source string, seq bigint, health double, failures int, is_open boolean"
+
 
+def health_stream(outcomes: DataFrame, alpha: float = 0.3, opens: float = 0.3, closes: float = 0.7) -> DataFrame:
+    """Source health by state: outcomes (source, seq, success) to (source, seq, health, failures, is_open). A source's new outcomes are folded as arrays."""
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         h, f, o = state.get if state.exists else (1.0, 0, False)
-        out = []
-        for _, r in pd.concat(list(frames)).sort_values("seq").iterrows():
-            h = (1 - alpha) * h + (alpha if r["success"] else 0.0)
-            f = 0 if r["success"] else f + 1
-            o = (o and h < closes) if r["success"] else (o or h < opens)
-            out.append((key[0], int(r["seq"]), h, f, bool(o)))
+        rows = pd.concat(list(frames))
+        order = np.argsort(rows["seq"].to_numpy(), kind="stable")
+        good = rows["success"].to_numpy(bool)[order]
+        health, failures, is_open = np.empty(len(good)), np.empty(len(good), np.int32), np.empty(len(good), bool)
+        for i, ok in enumerate(good.tolist()):
+            h = (1 - alpha) * h + (alpha if ok else 0.0)
+            f = 0 if ok else f + 1
+            o = (o and h < closes) if ok else (o or h < opens)
+            health[i], failures[i], is_open[i] = h, f, o
         state.update((h, f, o))
-        yield pd.DataFrame(out, columns=["source", "seq", "health", "failures", "is_open"])
+        yield pd.DataFrame({"source": key[0], "seq": rows["seq"].to_numpy()[order], "health": health, "failures": failures, "is_open": is_open})
 
-    return outcomes.groupBy("source").applyInPandasWithState(fold, schema, "h double, f int, o boolean", "append", GroupStateTimeout.NoTimeout)
+    return outcomes.groupBy("source").applyInPandasWithState(fold, HEALTH, "h double, f int, o boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def unseen(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:

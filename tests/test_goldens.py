@@ -119,7 +119,7 @@ def test_graph(spark):
 def test_privacy(spark):
     asked = spark.createDataFrame([("k", 1, 0.5), ("k", 2, 0.6), ("k", 3, 0.5)], "key string, seq long, epsilon double")
     assert [(r["seq"], r["accepted"]) for r in ledger.charged(asked, 1.0).orderBy("seq").collect()] == [(1, True), (2, False), (3, True)]
-    noisy = ledger.noisy(spark.range(4000).select(F.lit(100.0).alias("n")), "n", 1.0, 0.5, 3).agg(F.avg("noisy"), F.stddev("noisy")).first()
+    noisy = ledger.noisy(spark.range(4000).select("id", F.lit(100.0).alias("n")), ["id"], "n", 1.0, 0.5, 3).agg(F.avg("noisy"), F.stddev("noisy")).first()
     assert abs(noisy[0] - 100) < 0.3 and abs(noisy[1] - 2 * 2**0.5) < 0.4
 
 
