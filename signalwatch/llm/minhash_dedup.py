@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, keep
+from .shared import among, components, keep
 from .textbytes import chunks, mix, shingle_sets
 
 _U = np.uint64
@@ -135,7 +135,9 @@ def _led(star: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 shared.append(n), linked.append(100 * n >= per_cent * (len(x) + len(y) - n)), bits.append(np.packbits(has).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(linked, pa.bool_()), pa.array(bits, pa.binary())], ["rep", "leader", "shared", "linked", "bits"])
 
-    full = star.join(sets.withColumnRenamed("shingles", "own"), "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("lead")), "leader")
+    # leaders are few, so their sets go to the pairs first; then pairs and members meet
+    leaders = among(sets, "rep", star.select("leader")).select(F.col("rep").alias("leader"), F.col("shingles").alias("lead"))
+    full = star.join(leaders, "leader").join(sets.withColumnRenamed("shingles", "own"), "rep")
     return full.select("rep", "leader", "own", "lead").mapInArrow(run, "rep bigint, leader bigint, shared int, linked boolean, bits binary")
 
 
@@ -180,10 +182,10 @@ def grouped(docs: DataFrame, shingle: int, per_cent: int, rows: int = 3, miss: f
     led = keep(placed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("copies"), "rep", "n_shingles")).alias("lead")).where("n > 1").select("key", F.col("lead.rep").alias("leader"), F.col("lead.n_shingles").alias("leader_size")))
     members = keep(placed.join(led, "key").select("key", "rep", "leader", "n_shingles", "leader_size"))
     wanted = keep(members.select("rep").distinct().join(about, "rep").select("rep", "d0", "d1", "least_id"))
-    texts = docs.join(wanted.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # a doc_id may have several texts: the digest says which of them is meant
-    sets = keep(full_sets(texts, shingle).join(wanted.select("rep", "d0", "d1"), ["d0", "d1"]).select("rep", "shingles").dropDuplicates(["rep"]))
-    star = keep(_led(members.where("rep <> leader").select("rep", "leader").distinct(), sets, per_cent))
+    # whole texts aren't shuffled: sets are made where texts lie, and the digest says which are meant
+    found = full_sets(among(docs, "doc_id", wanted.select("least_id")), shingle)
+    sets = keep(found.join(wanted.select("rep", "d0", "d1"), ["d0", "d1"]).dropDuplicates(["d0", "d1"]).select("rep", "shingles"))
+    star = keep(_led(keep(members.where("rep <> leader").select("rep", "leader").distinct()), sets, per_cent))
     links = star.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     rest = _beyond_leaders(members, star, sets, links, per_cent)
     final = components(links if rest is None else links.unionByName(rest))

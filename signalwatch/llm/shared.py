@@ -64,6 +64,24 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Places of the bit table of among(): two megabytes at most are broadcast, whatever the tables.
+PLACES = 1 << 24
+
+
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key is in ids (one column), and a few others: an exact join must follow.
+
+    Keys are hashed to PLACES bits, 63 to a row of a table that is broadcast, so that most rows an exact join would drop aren't shuffled for
+    it. With very many ids it lets most rows through, which costs time and loses nothing.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(c) % 63).cast("int"))
+    only = ids.columns[0]
+    bits = ids.select(F.floor(place(only) / 63).alias("__cell"), bit(only).alias("__bit")).groupBy("__cell").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumn("__cell", F.floor(place(key) / 63)).join(F.broadcast(bits), "__cell")
+    return marked.where(F.col("__bits").bitwiseAND(bit(key)) != 0).select(*df.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that `edges` (a, b; either way round, any repeats) reach from each node.
 

@@ -109,6 +109,16 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k in got} and {x for a, b in edges if a != b for x in (a, b)} == set(got)
 
 
+def test_among_loses_no_row(spark, monkeypatch):
+    """All rows with a wanted key come through, and with enough places few others; with too few, all."""
+    df = spark.range(5000).select(F.col("id").alias("key"), F.lit("x").alias("text"))
+    ids = spark.range(0, 5000, 50).select(F.col("id").alias("wanted"))
+    out = shared.among(df, "key", ids)
+    assert out.columns == df.columns and {50 * i for i in range(100)} <= {r["key"] for r in out.collect()} and out.count() < 110
+    monkeypatch.setattr(shared, "PLACES", 64)
+    assert {50 * i for i in range(100)} <= {r["key"] for r in shared.among(df, "key", ids).collect()} and shared.among(df, "key", ids.limit(0)).count() == 0
+
+
 def test_word_hashes_do_not_depend_on_place():
     import pyarrow as pa
 
