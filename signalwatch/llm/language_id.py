@@ -142,7 +142,8 @@ def identified(rows: DataFrame, least: float = 0.5) -> DataFrame:
     hosts = posterior.where("host is not null").groupBy("host").agg(*each).withColumn("domain", F.substring_index("host", ".", -2))
     domains = leaning(hosts.groupBy("domain").agg(*(F.sum(c).alias(c) for c in cells)), ["domain"], base, "domain_share")
     of_host = leaning(hosts.join(domains, "domain"), ["host"], F.col("domain_share"), "host_share")
-    full = seen.join(evidence("declared"), "declared", "left").join(evidence("suffix"), "suffix", "left").join(of_host, "host", "left")
+    # written before it is joined, so that adaptive execution can split a host with very many rows
+    full = seen.join(evidence("declared"), "declared", "left").join(keep(evidence("suffix")), "suffix", "left").join(keep(of_host.select("host", "host_share")), "host", "left")
     none = F.array(*[F.lit(0.0)] * k)
     share = F.coalesce("host_share", base)
     total = F.array(*(F.log(F.get(share, F.lit(i))) + F.get("text_log", F.lit(i)) + F.get(F.coalesce("log_declared", none), F.lit(i)) + F.get(F.coalesce("log_suffix", none), F.lit(i)) for i in range(k)))
