@@ -9,12 +9,13 @@ never depend on the memory.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
 #: Words of a generation: about 150 bytes each.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 400_000
 #: Words that are encoded in one call.
 CALL = 1024
 
@@ -33,6 +34,24 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def plain_tokenizer(path: str):
+    """The tokenizer without the steps that leave a lower-case word of Latin letters as it is: much the same merges at less cost. The whole one where its steps are others."""
+    name = f"plain {path}"
+    if name not in _loaded:
+        from tokenizers import Tokenizer
+
+        whole = tokenizer(path)
+        parts = json.loads(whole.to_str())
+        before, within = parts["normalizer"] or {}, parts["pre_tokenizer"] or {}
+        steps = [x["type"] for x in before.get("normalizers", [before])]
+        cuts = within.get("pretokenizers", [within])
+        known = set(steps) <= {"NFC", "Replace", "Lowercase"} and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and r"[\p{L}]+" in str(cuts[0].get("pattern"))
+        if known:
+            parts["normalizer"], parts["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, cuts[1]]}
+        _loaded[name] = Tokenizer.from_str(json.dumps(parts)) if known else whole
+    return _loaded[name]
+
+
 def _latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -43,11 +62,11 @@ def _latin(text: str) -> bool:
     return True
 
 
-def _encoded(words: list[str], model) -> dict[str, bytes]:
+def _encoded(words: list[str], path: str) -> dict[str, bytes]:
     """The ids of each word: many words in one call. Of words of letters only each is one piece, so pieces tell them apart; other tokens are placed by their characters."""
     out = {}
     for plain in (True, False):
-        own = [w for w in words if w.isalpha() == plain]
+        own, model = [w for w in words if w.isalpha() == plain], plain_tokenizer(path) if plain else tokenizer(path)
         for at in range(0, len(own), CALL):
             some = own[at : at + CALL]
             got = model.encode(" ".join(some), add_special_tokens=False)
@@ -75,12 +94,12 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
     _memory[path] = young, old
     split = [None if "<|" in text or any(c in text for c in _ODD) or not _latin(text) else text.lower().split() for text in texts]
     missing = set().union(*(words for words in split if words)).difference(young)
-    again = missing.intersection(old)
+    again = [w for w in missing if w in old]
     young.update((w, old[w]) for w in again)
-    missing -= again
+    missing.difference_update(again)
     stopped = [w for w in missing if _stopped(w)]
     bases = {w for x in stopped for w in (x[:-1], x[-1])}.difference(young)
-    known = _encoded(list(missing.difference(stopped) | bases), model)
+    known = _encoded(list(missing.difference(stopped) | bases), path)
     young.update(known)
     young.update((w, young[w[:-1]] + young[w[-1]]) for w in stopped)
     get = young.__getitem__
