@@ -28,6 +28,9 @@ PII = [
 # Scripts, their languages and tags, in the order that decides ties.
 SCRIPTS = [("Devanagari", "hi", "Deva"), ("Tamil", "ta", "Taml"), ("Telugu", "te", "Telu"), ("Kannada", "kn", "Knda"), ("Bengali", "bn", "Beng"), ("Gujarati", "gu", "Gujr"), ("Gurmukhi", "pa", "Guru"), ("Malayalam", "ml", "Mlym"), ("Oriya", "or", "Orya"), ("Arabic", "ar", "Arab"), ("Latin", "en", "Latn")]
 
+#: A letter of a script other than Latin.
+OTHER_SCRIPTS = "[" + "".join(rf"\p{{Is{n}}}" for n, _, _ in SCRIPTS[:-1]) + "]"
+
 # Sentiment and negation cues.
 POSITIVE = ["good", "great", "better", "relief", "thanks", "helpful", "safe", "अच्छा", "बेहतर", "ठीक", "நன்றி", "మంచి", "ಚೆನ್ನಾಗಿದೆ"]
 NEGATIVE = ["bad", "worse", "pain", "vomit", "vomiting", "fever", "die", "death", "danger", "dangerous", "fake", "scared", "afraid", "harm", "harmful", "खराब", "दर्द", "मौत", "खतरा", "வலி", "నొప్పి", "ಸಾವು"]
@@ -84,10 +87,10 @@ def redacted(text: Column, findings: Column) -> Column:
 
 
 def dominant_script(token: Column) -> Column:
-    """The script with most letters of a token; Latin if it has none."""
+    """The script with most letters of a token; Latin if it has none. Letters are counted only where there are some of other scripts."""
     counts = [F.regexp_count(token, F.lit(rf"\p{{Is{name}}}")) for name, _, _ in SCRIPTS]
     top = F.greatest(*counts)
-    out = F.when(top == 0, "Latin")
+    out = F.when(~token.rlike(OTHER_SCRIPTS), "Latin").when(top == 0, "Latin")
     for (name, _, _), n in zip(SCRIPTS, counts, strict=True):
         out = out.when(n == top, name)
     return out
@@ -102,9 +105,7 @@ def language_segments(text: Column) -> Column:
     names = F.create_map(*(F.lit(x) for n, lang, _ in SCRIPTS for x in (n, lang)))
     tags = F.create_map(*(F.lit(x) for n, _, tag in SCRIPTS for x in (n, tag)))
     row = lambda start, stop, script: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.element_at(names, script).alias("language"), F.element_at(tags, script).alias("script"))
-    other = "[" + "".join(rf"\p{{Is{n}}}" for n, _, _ in SCRIPTS[:-1]) + "]"
-    script = lambda t: F.when(t.rlike(other), dominant_script(t)).otherwise("Latin")
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), 0), lambda t: F.struct(F.length(t).alias("n"), script(t).alias("script")))
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), 0), lambda t: F.struct(F.length(t).alias("n"), dominant_script(t).alias("script")))
     parts = F.struct(tokens.alias("t"), F.transform(F.split(text, r"\S+", -1), lambda g: F.length(g)).alias("gaps"))
     none = F.array().cast("array<struct<start:int,stop:int,language:string,script:string>>")
 
@@ -123,7 +124,7 @@ def language_segments(text: Column) -> Column:
         return F.aggregate(let(opens, pairs), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
     plain = F.array(row(F.length(F.regexp_extract(text, r"^\s*", 0)), F.length(F.regexp_replace(text, r"\s+$", "")), F.lit("Latin")))
-    return F.when(~text.rlike(r"\S"), none).when(text.rlike(other), let(parts, runs)).otherwise(plain)
+    return F.when(~text.rlike(r"\S"), none).when(text.rlike(OTHER_SCRIPTS), let(parts, runs)).otherwise(plain)
 
 
 def dominant_language(segments: Column) -> Column:
