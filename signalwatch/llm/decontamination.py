@@ -7,8 +7,8 @@ their windows meet the benchmark's in an equi-join on hash and text, so a hit is
 An item shorter than `span` words is one window of its own length; such lengths (fewer than `span` of them) are looked up
 gram by gram in the same pass, since no fingerprint is sure to be kept for them.
 
-Defined results: a null text has no words; items without words occur nowhere; repeated rows of a document count each for themselves only if
-their doc_id differs (rows of one doc_id are taken together); columns of the inputs other than id and text are ignored.
+Defined results: a null text has no words; items without words occur nowhere; every row is judged for itself, by its id and text together, so rows that share an id
+or have none keep their own hits, and repeated rows have equal ones; columns of the inputs other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -54,10 +54,15 @@ def _windows(worded: DataFrame, n: int) -> DataFrame:
     return worded.where(F.size("words") >= n).select("id", F.explode(at).alias("x")).select("id", "x.pos", F.lit(n).alias("len"), "x.window")
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """What rows with the same id and text share: a digest of both, never null."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), F.lit("\n"), F.coalesce(text, F.lit("")))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 6) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs (doc_id, text); benchmark: item_id, text."""
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    worded = texts.select("id", words_of(F.col("text")).alias("words"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("id", _row_key(F.col("doc_id"), F.col("text")))
+    worded = texts.select("doc_id", "id", words_of(F.col("text")).alias("words"))
     items = benchmark.select(F.col("item_id").alias("id"), words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
     # at most span - 1 lengths, whatever the number of items
     short = sorted(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())
@@ -74,14 +79,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int =
         sought = sought.unionByName(_windows(items.where(F.size("words") == n), n))
         found = found.unionByName(_windows(near, n))
     sought = sought.select(F.col("id").alias("item_id"), "len", "window").distinct()
-    hits = found.join(sought.select("len", "window").distinct(), ["len", "window"]).select(F.col("id").alias("doc_id"), "pos", "len", "window")
+    hits = found.join(sought.select("len", "window").distinct(), ["len", "window"]).select("id", "pos", "len", "window")
 
-    before = Window.partitionBy("doc_id").orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("id").orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("pos") + F.col("len")
     fresh = F.greatest(end - F.greatest(F.coalesce(F.max(end).over(before), F.lit(0)), F.col("pos")), F.lit(0))
-    covered = hits.select("doc_id", "pos", "len").distinct().withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
-    of = hits.select("doc_id", "len", "window").distinct().join(sought, ["len", "window"]).select("doc_id", F.col("item_id").cast("string").alias("item_id")).distinct()
-    named = of.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("names"))
-    out = worded.select(F.col("id").alias("doc_id"), F.size("words").cast("bigint").alias("n_words")).join(covered.join(named, "doc_id"), "doc_id", "left")
+    covered = hits.select("id", "pos", "len").distinct().withColumn("fresh", fresh).groupBy("id").agg(F.sum("fresh").alias("n_hit"))
+    of = hits.select("id", "len", "window").distinct().join(sought, ["len", "window"]).select("id", F.col("item_id").cast("string").alias("item_id")).distinct()
+    named = of.groupBy("id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("names"))
+    out = worded.select("doc_id", "id", F.size("words").cast("bigint").alias("n_words")).join(covered.join(named, "id"), "id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -3,7 +3,8 @@
 A change is a document's count with a sign: +n when it comes, -n when it goes, both when its count is revised. A batch of
 changes is added up to a few rows before it is written, under its own id, so totals are a sum over committed batches and
 never need the documents again. Committing an id again does nothing; a batch that died half-way has no _SUCCESS mark,
-isn't read, and is overwritten by its retry.
+isn't read, and is overwritten by its retry. Compaction carries the ids of the batches it adds up into the new table, so a batch sent again
+afterwards is still known.
 
 Changes are made from rows, not from ids: an insert of a row and its later delete or revision come from the same row of the counts, so rows that share
 a doc_id or have none keep their own counts.
@@ -63,23 +64,35 @@ def _path(spark: SparkSession, name: str):
     return spark._jvm.org.apache.hadoop.fs.Path(name)
 
 
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = _path(spark, name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _carried(spark: SparkSession, table: str) -> DataFrame:
+    """(batch): ids of batches that compaction has added up in this table."""
+    where = f"{table.rstrip('/')}/carried"
+    return spark.read.schema("batch bigint").parquet(where) if _exists(spark, f"{where}/_SUCCESS") else spark.createDataFrame([], "batch bigint")
+
+
 def commit(changes: DataFrame, table: str, batch_id: int) -> bool:
-    """Adds a batch of changes to the table (a folder that all executors share) once; False if it was there."""
+    """Adds a batch of changes to the table (a folder that all executors share) once; False if it was there, by itself or within a compacted one."""
     spark = changes.sparkSession
     folder = f"{table.rstrip('/')}/batch={batch_id}"
-    files = _path(spark, folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(_path(spark, f"{folder}/_SUCCESS")):
+    if _exists(spark, f"{folder}/_SUCCESS") or _carried(spark, table).where(F.col("batch") == batch_id).limit(1).count():
         return False
     changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(folder)
     return True
 
 
 def committed(spark: SparkSession, table: str) -> list[str]:
+    """Folders of whole batches."""
     root = _path(spark, table)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(root):
         return []
-    return sorted(str(x.getPath()) for x in files.listStatus(root) if files.exists(_path(spark, f"{x.getPath()}/_SUCCESS")))
+    found = [str(x.getPath()) for x in files.listStatus(root) if x.getPath().getName().startswith("batch=")]
+    return sorted(x for x in found if files.exists(_path(spark, f"{x}/_SUCCESS")))
 
 
 def totals(spark: SparkSession, table: str) -> DataFrame:
@@ -90,5 +103,9 @@ def totals(spark: SparkSession, table: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, table: str, into: str) -> None:
-    """Writes the totals as one batch of a new table, without groups that are empty."""
-    totals(spark, table).where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{into.rstrip('/')}/batch=0")
+    """Writes the totals as one batch of a new table, without groups that are empty, and beside it the ids of all batches they hold."""
+    names = [x.rsplit("=", 1)[1] for x in committed(spark, table)]
+    own = spark.createDataFrame([(int(n),) for n in names if n != "compacted"], "batch bigint")
+    into = into.rstrip("/")
+    own.unionByName(_carried(spark, table)).distinct().write.mode("overwrite").parquet(f"{into}/carried")
+    totals(spark, table).where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{into}/batch=compacted")
