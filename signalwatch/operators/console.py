@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import keyed_fold
 from .slices import OWN, PART, PLACE, by_rows, by_seconds
 from .telemetry import epoch_seconds
 
@@ -133,13 +134,14 @@ def cooled(candidates: DataFrame, key: str, sec: str, cool: int) -> DataFrame:
     """(key, sec): candidates in time order without those `cool` seconds or less after the last one kept. Of a key only its distinct seconds are put in order; each
     stretch of candidates without a pause is folded on its own."""
     gap = F.col(sec) - F.lag(sec).over(Window.partitionBy(key).orderBy(sec))
-    # a pause longer than `cool` starts afresh, so a fold never holds more than one such stretch
-    parts = candidates.select(key, sec).distinct().withColumn("new", F.coalesce((gap > cool).cast("int"), F.lit(1)))
+    # a pause longer than `cool` starts afresh
+    parts = candidates.select(key, F.col(sec).cast("bigint").alias(sec)).distinct().withColumn("new", F.coalesce((gap > cool).cast("int"), F.lit(1)))
     parts = parts.withColumn("part", F.sum("new").over(Window.partitionBy(key).orderBy(sec).rowsBetween(Window.unboundedPreceding, 0)))
-    state = F.array().cast("array<bigint>")
-    step = lambda out, x: F.when((F.size(out) == 0) | (x - F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) > cool), F.concat(out, F.array(x))).otherwise(out)
-    folded = parts.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.col(sec).cast("bigint"))).alias("xs"))
-    return folded.select(key, F.explode(F.aggregate("xs", state, step)).alias(sec))
+
+    def step(last: int | None, at: int) -> tuple[int | None, tuple | None]:
+        return (at, (True,)) if last is None or at - last > cool else (last, None)
+
+    return keyed_fold(parts.where(F.col(sec).isNotNull()), [key, "part"], [sec], [], "kept boolean", None, step).select(key, sec)
 
 
 def first_sightings(entities: DataFrame, per_batch: int = 3) -> DataFrame:

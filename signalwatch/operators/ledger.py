@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window
 
+from .folds import keyed_fold
+
 GENESIS = "0" * 64
 
 
@@ -16,15 +20,13 @@ def canonical_json(df: DataFrame, columns: list[str]) -> Column:
 
 
 def chained(df: DataFrame, chain: str = "chain", sequence: str = "sequence", payload: str = "payload") -> DataFrame:
-    """(chain, sequence, prev_hash, payload_hash): each hash is of the one before and the payload. Sequential within a chain, parallel across chains."""
-    state = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast("array<struct<sequence:bigint,prev_hash:string,payload_hash:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        own = F.sha2(F.concat(s["prev"], x["p"]), 256)
-        return F.struct(own.alias("prev"), F.concat(s["out"], F.array(F.struct(x["s"].alias("sequence"), s["prev"].alias("prev_hash"), own.alias("payload_hash")))).alias("out"))
+    """(chain, sequence, prev_hash, payload_hash): each hash is of the one before and the payload. Sequential within a chain, a row at a time; parallel across chains."""
+    def step(before: str, _: int, text: str) -> tuple[str, tuple]:
+        own = hashlib.sha256((before + text).encode()).hexdigest()
+        return own, (before, own)
 
-    rows = df.groupBy(chain).agg(F.sort_array(F.collect_list(F.struct(F.col(sequence).cast("bigint").alias("s"), F.coalesce(payload, F.lit("")).alias("p")))).alias("xs"))
-    return rows.select(chain, F.explode(F.aggregate("xs", state, step, lambda s: s["out"])).alias("e")).select(chain, "e.*")
+    rows = df.select(F.col(chain), F.col(sequence).cast("bigint").alias("sequence"), F.coalesce(payload, F.lit("")).alias("payload"))
+    return keyed_fold(rows, [chain], ["sequence"], ["payload"], "prev_hash string, payload_hash string", GENESIS, step)
 
 
 def verified(entries: DataFrame, chain: str = "chain") -> DataFrame:
@@ -177,29 +179,31 @@ def noisy(df: DataFrame, keys: list[str], value: str, sensitivity: float, epsilo
 
 def charged(requests: DataFrame, budget: float) -> DataFrame:
     """(key, seq, epsilon, accepted, spent): requests in order against a budget; refused ones spend nothing, and those of no or negative epsilon are refused. requests: key, seq, epsilon."""
-    state = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<seq:bigint,epsilon:double,accepted:boolean,spent:double>>").alias("out"))
+    def step(spent: float, _: int, epsilon: float | None) -> tuple[float, tuple]:
+        fits = epsilon is not None and epsilon > 0 and spent + epsilon <= budget + 1e-12
+        after = spent + epsilon if fits else spent
+        return after, (epsilon, fits, after)
 
-    def step(s: Column, x: Column) -> Column:
-        fits = F.coalesce((x["epsilon"] > 0) & (s["spent"] + x["epsilon"] <= budget + 1e-12), F.lit(False))
-        after = F.when(fits, s["spent"] + x["epsilon"]).otherwise(s["spent"])
-        return F.struct(after.alias("spent"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), x["epsilon"].alias("epsilon"), fits.alias("accepted"), after.alias("spent")))).alias("out"))
+    rows = requests.select("key", F.col("seq").cast("bigint").alias("seq"), F.col("epsilon").cast("double").alias("asked"))
+    return keyed_fold(rows, ["key"], ["seq"], ["asked"], "epsilon double, accepted boolean, spent double", 0.0, step)
 
-    rows = requests.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("epsilon").cast("double").alias("epsilon")))).alias("xs"))
-    return rows.select("key", F.explode(F.aggregate("xs", state, step, lambda s: s["out"])).alias("e")).select("key", "e.*")
 
+#: Health, failures in a row, and whether the breaker is open, before any outcome.
+HEALTHY = (1.0, 0, False)
 
-def breaker(outcomes: DataFrame, alpha: float = 0.3, opens: float = 0.3, closes: float = 0.7, base: float = 60.0, most: float = 16.0) -> DataFrame:
-    """(source, seq, health, failures, is_open, delay) after each poll outcome. outcomes: source, seq, success. A fold per source and day keeps arrays short: give `source` that grain where histories are long."""
-    state = F.struct(F.lit(1.0).alias("h"), F.lit(0).alias("f"), F.lit(False).alias("o"), F.array().cast("array<struct<seq:bigint,health:double,failures:int,is_open:boolean>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        h = (1 - alpha) * s["h"] + F.when(x["success"], alpha).otherwise(0.0)
-        f = F.when(x["success"], 0).otherwise(s["f"] + 1)
-        o = F.when(x["success"], s["o"] & (h < closes)).otherwise(s["o"] | (h < opens))
-        return F.struct(h.alias("h"), f.alias("f"), o.alias("o"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), h.alias("health"), f.alias("failures"), o.alias("is_open")))).alias("out"))
+def poll_outcome(state: tuple[float, int, bool], ok: bool | None, alpha: float, opens: float, closes: float) -> tuple[tuple, tuple]:
+    """The state after one outcome, twice: to go on with, and as the outcome's row."""
+    health, failures, is_open = state
+    health = (1 - alpha) * health + (alpha if ok else 0.0)
+    after = (health, 0, is_open and health < closes) if ok else (health, failures + 1, is_open or health < opens)
+    return after, after
+
 
-    rows = outcomes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), "success"))).alias("xs"))
-    out = rows.select("source", F.explode(F.aggregate("xs", state, step, lambda s: s["out"])).alias("e")).select("source", "e.*")
+def breaker(outcomes: DataFrame, alpha: float = 0.3, opens: float = 0.3, closes: float = 0.7, base: float = 60.0, most: float = 16.0) -> DataFrame:
+    """(source, seq, health, failures, is_open, delay) after each poll outcome. outcomes: source, seq, success (null: none)."""
+    rows = outcomes.select("source", F.col("seq").cast("bigint").alias("seq"), "success")
+    out = keyed_fold(rows, ["source"], ["seq"], ["success"], "health double, failures int, is_open boolean", HEALTHY, lambda s, _, ok: poll_outcome(s, ok, alpha, opens, closes))
     delay = F.when(~F.col("is_open") & (F.col("failures") == 0), base).otherwise(base * F.least(F.pow(F.lit(2.0), F.greatest(F.col("failures") - 1, F.lit(0))), F.lit(most)))
     return out.withColumn("delay", delay)
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import decayed
+from .slices import PLACE
+
 HALF = 0.5
 #: Entity kinds that count as events of a drug.
 EVENT_KINDS = ("ADVERSE_EVENT", "SYMPTOM", "CONDITION")
@@ -73,25 +76,17 @@ def bucket_counts(df: DataFrame) -> DataFrame:
 def ewma_spikes(counts: DataFrame, window: int = 14, alpha: float = 0.3, least_points: int = 5, least_z: float = 3.0) -> DataFrame:
     """counts (keyword, district, day, n) with baseline, z, prior (points before, at most `window`), is_spike.
 
-    Each series is folded in day order against the baseline before the day; its array is bounded by days, not by mentions.
+    Mean and variance are linear recurrences, so a series is cut into slices that are summed side by side (see folds.decayed), however long or hot it is.
     """
-    state = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"), F.lit(0).alias("k"), F.array().cast("array<struct<day:int,n:bigint,baseline:double,z:double,prior:int,is_spike:boolean>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = x["n"].cast("double")
-        new = s["k"] == 0
-        base = F.when(new, F.greatest(n, F.lit(1.0))).otherwise(s["mean"])
-        z = (n - base) / F.sqrt(F.greatest(F.when(new, 1.0).otherwise(s["var"]), F.lit(1.0)))
-        prior = F.least(s["k"], F.lit(window))
-        spike = (prior >= least_points) & (z >= least_z) & (n >= F.greatest(base * 1.5, F.lit(3.0)))
-        row = F.struct(x["day"].alias("day"), x["n"].alias("n"), base.alias("baseline"), z.alias("z"), prior.alias("prior"), spike.alias("is_spike"))
-        mean = F.when(new, n).otherwise(alpha * n + (1 - alpha) * s["mean"])
-        var = F.when(new, F.greatest(n, F.lit(1.0))).otherwise(alpha * (n - s["mean"]) * (n - s["mean"]) + (1 - alpha) * s["var"])
-        return F.struct(mean.alias("mean"), var.alias("var"), (s["k"] + 1).alias("k"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    series = counts.groupBy("keyword", "district").agg(F.sort_array(F.collect_list(F.struct(F.col("day").cast("int").alias("day"), F.col("n").cast("bigint").alias("n")))).alias("points"))
-    folded = series.select("keyword", "district", F.explode(F.aggregate("points", state, step, lambda s: s["out"])).alias("p"))
-    return folded.select("keyword", "district", "p.*")
+    n, keep = F.col("n").cast("double"), 1 - alpha
+    deviation = lambda place, mean: F.when(place == 1, F.greatest(n, F.lit(1.0))).otherwise(alpha * (n - mean) * (n - mean))
+    points = counts.select("keyword", "district", F.col("day").cast("int").alias("day"), F.col("n").cast("bigint").alias("n"))
+    both = decayed(points, ["keyword", "district"], ["day", "n"], F.floor(F.col("day") / 1000), keep, {"mean": lambda place, _: F.when(place == 1, n).otherwise(alpha * n), "var": deviation})
+    base = F.when(F.col(PLACE) == 1, F.greatest(n, F.lit(1.0))).otherwise(F.col("mean_before"))
+    z = (n - F.col("baseline")) / F.sqrt(F.greatest(F.coalesce("var_before", F.lit(1.0)), F.lit(1.0)))
+    scored = both.withColumn("baseline", base).withColumn("z", z).withColumn("prior", F.least(F.col(PLACE) - 1, F.lit(window)).cast("int"))
+    spike = (F.col("prior") >= least_points) & (F.col("z") >= least_z) & (n >= F.greatest(F.col("baseline") * 1.5, F.lit(3.0)))
+    return scored.select("keyword", "district", "day", "n", "baseline", "z", "prior", spike.alias("is_spike"))
 
 
 def poisson_llr(observed: Column, expected: Column) -> Column:
