@@ -82,8 +82,9 @@ def ewma_spikes(counts: DataFrame, window: int = 14, alpha: float = 0.3, least_p
     deviation = lambda place, mean: F.when(place == 1, F.greatest(n, F.lit(1.0))).otherwise(alpha * (n - mean) * (n - mean))
     points = counts.select("keyword", "district", F.col("day").cast("int").alias("day"), F.col("n").cast("bigint").alias("n"))
     both = decayed(points, ["keyword", "district"], ["day", "n"], F.floor(F.col("day") / 1000), keep, {"mean": lambda place, _: F.when(place == 1, n).otherwise(alpha * n), "var": deviation})
-    base = F.when(F.col(PLACE) == 1, F.greatest(n, F.lit(1.0))).otherwise(F.col("mean_before"))
-    z = (n - F.col("baseline")) / F.sqrt(F.greatest(F.coalesce("var_before", F.lit(1.0)), F.lit(1.0)))
+    # twelve places: beyond them the order of a sum shows, and a count that just meets a bound would miss it
+    base = F.when(F.col(PLACE) == 1, F.greatest(n, F.lit(1.0))).otherwise(F.round("mean_before", 12))
+    z = (n - F.col("baseline")) / F.sqrt(F.greatest(F.coalesce(F.round("var_before", 12), F.lit(1.0)), F.lit(1.0)))
     scored = both.withColumn("baseline", base).withColumn("z", z).withColumn("prior", F.least(F.col(PLACE) - 1, F.lit(window)).cast("int"))
     spike = (F.col("prior") >= least_points) & (F.col("z") >= least_z) & (n >= F.greatest(F.col("baseline") * 1.5, F.lit(3.0)))
     return scored.select("keyword", "district", "day", "n", "baseline", "z", "prior", spike.alias("is_spike"))
