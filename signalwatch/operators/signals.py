@@ -73,6 +73,21 @@ def bucket_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("keyword", "district", "day").agg(F.count("*").alias("n"))
 
 
+#: Mean, variance and number of the points so far.
+NO_POINTS = (0.0, 0.0, 0)
+
+
+def trend_point(state: tuple[float, float, int], n: int, window: int = 14, alpha: float = 0.3, least_points: int = 5, least_z: float = 3.0) -> tuple[tuple[float, float, int], tuple]:
+    """One point against the baseline before it: (the state after it, (baseline, z, prior, is_spike)). What ewma_spikes computes, a point at a time."""
+    mean, var, points = state
+    base = mean if points else max(float(n), 1.0)
+    z = (n - base) / max(var if points else 1.0, 1.0) ** 0.5
+    prior = min(points, window)
+    spike = prior >= least_points and z >= least_z and n >= max(base * 1.5, 3.0)
+    after = (alpha * n + (1 - alpha) * mean, alpha * (n - mean) ** 2 + (1 - alpha) * var) if points else (float(n), max(float(n), 1.0))
+    return (*after, points + 1), (base, z, prior, spike)
+
+
 def ewma_spikes(counts: DataFrame, window: int = 14, alpha: float = 0.3, least_points: int = 5, least_z: float = 3.0) -> DataFrame:
     """counts (keyword, district, day, n) with baseline, z, prior (points before, at most `window`), is_spike.
 

@@ -16,9 +16,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.annotate import dominant_language, language_segments, misinformation, pii_findings, redacted, sentiment
 from ..operators.dictionary import dictionary_entities
-from ..operators.graph import confident_events, edge_uid, insert_absent, latest_by_key
+from ..operators.folds import keyed_fold
+from ..operators.graph import confident_events, edge_uid, latest_by_key
 from ..operators.ledger import salvage_outcome, salvaged_json
-from ..operators.signals import contingency, disproportionality, ewma_spikes, poisson_llr
+from ..operators.signals import NO_POINTS, contingency, disproportionality, poisson_llr, trend_point
+from ..sources.buckets import BucketTable
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, per_batch: int = 250) -> DataFrame:
@@ -77,59 +79,106 @@ SPIKES = "keyword string, district string, day int, n bigint, baseline double, z
 
 COUNTS = "keyword string, district string, day int, n bigint"
 CLOSED = "until int, seen timestamp"
+TRENDS = "keyword string, district string, mean double, var double, points bigint"
 
 
 class SpikeTables:
-    """Where a spike stream keeps what it knows: counts and late rows by micro-batch, how far days are closed, and spikes."""
+    """Where a spike stream keeps what it knows: counts by day and micro-batch, late rows, how far days are closed, the trend of each series, and spikes."""
 
     def __init__(self, root: str) -> None:
-        self.counts, self.late, self.closed, self.spikes = (f"{root.rstrip('/')}/{x}" for x in ("counts", "late", "closed", "spikes"))
+        self.counts, self.late, self.closed, self.trends, self.spikes = (f"{root.rstrip('/')}/{x}" for x in ("counts", "late", "closed", "trends", "spikes"))
+
+
+def _names(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of folders `prefix=number` in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(x.split("=", 1)[1]) for x in found if x.startswith(f"{prefix}="))
+
+
+def _closed_before(spark: SparkSession, tables: SpikeTables, k: int | None) -> tuple[int | None, int | None, object]:
+    """(batch, until, seen) of the last batch before k that closed days."""
+    before = [b for b in _names(spark, tables.closed, "batch") if k is None or b < k]
+    if not before:
+        return None, None, None
+    row = spark.read.schema(CLOSED).parquet(f"{tables.closed}/batch={before[-1]}").first()
+    return before[-1], row["until"], row["seen"]
+
+
+def _set_closed(spark: SparkSession, tables: SpikeTables, k: int, until: int, seen: object) -> None:
+    """Notes how far days are closed; of older notes the last one stays, in case batch k is sent again."""
+    write_keyed(spark.createDataFrame([(until, seen)], CLOSED), tables.closed, k)
+    for old in _names(spark, tables.closed, "batch")[:-2]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{tables.closed}/batch={old}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _close(spark: SparkSession, tables: SpikeTables, k: int, since: int | None, until: int, rule: dict) -> None:
-    """The days after `since` up to `until`, scored on all closed days of their series, as batch k."""
-    so_far = stored(spark, tables.counts, COUNTS).where((F.col("batch") <= k) & (F.col("day") <= until))
-    new = F.col("day") > (since if since is not None else -(1 << 31))
-    touched = so_far.where(new).select("keyword", "district").distinct()
-    series = so_far.join(touched, ["keyword", "district"], "left_semi").groupBy("keyword", "district", "day").agg(F.sum("n").alias("n"))
-    write_keyed(ewma_spikes(series, **rule).where(new), tables.spikes, k)
+    """The days after `since` up to `until`, scored on the trends of their series, as batch k. Reads those days and the trends of buckets that they touch, nothing before."""
+    days = [d for d in _names(spark, tables.counts, "day") if (since is None or d > since) and d <= until]
+    if not days:
+        return
+    counts = spark.read.option("basePath", tables.counts).schema(f"{COUNTS}, batch bigint").parquet(*(f"{tables.counts}/day={d}" for d in days)).where(F.col("batch") <= k)
+    new = counts.groupBy("keyword", "district", "day").agg(F.sum("n").alias("n"))
+    trends = BucketTable(spark, tables.trends, TRENDS, ["keyword", "district"])
+    known = trends.read(trends.touched(new), k - 1)
+    # a series' trend goes ahead of its days and starts its fold
+    rows = new.select("keyword", "district", "day", "n", *(F.lit(None).cast(t).alias(c) for c, t in (("mean", "double"), ("var", "double"), ("points", "bigint"))))
+    rows = rows.unionByName(known.select("keyword", "district", F.lit(-(1 << 31)).alias("day"), F.lit(None).cast("bigint").alias("n"), "mean", "var", "points"))
+
+    def step(state: tuple, _: int, n: int | None, *trend: float) -> tuple[tuple, tuple | None]:
+        if n is None:
+            return trend, None
+        after, told = trend_point(state, n, **rule)
+        return after, (n, *told, *after)
+
+    told = keyed_fold(rows, ["keyword", "district"], ["day"], ["n", "mean", "var", "points"], "count bigint, baseline double, z double, prior int, is_spike boolean, mean double, var double, points bigint", NO_POINTS, step)
+    told = told.withColumnRenamed("count", "n").persist()
+    write_keyed(told.drop("mean", "var", "points"), tables.spikes, k)
+    last = told.groupBy("keyword", "district").agg(F.max_by(F.struct("mean", "var", "points"), "day").alias("t")).select("keyword", "district", "t.*")
+    trends.replace(last, k, lambda old, fresh: latest_by_key(old.unionByName(fresh), ["keyword", "district"], [F.desc("points")]))
+    trends.vacuum(k)
+    told.unpersist()
 
 
 def spike_stream(mentions: DataFrame, tables: SpikeTables, checkpoint: str, wait_days: int = 1, **rule: float) -> DataStreamWriter:
     """Counts by keyword, district and day from mentions (keyword, district, ts), and the points of days once they are closed.
 
     A day is closed when `wait_days` more have begun after it, by the latest time of the batches before. Rows of a closed day go to the late
-    table. A series is folded from its closed days, as many numbers as it has days, so a restart needs no state but the tables,
-    a batch that is tried again overwrites its own, and points are those of the batch operator. Days still open are left to flush().
+    table. Each series has one row of trend (mean, variance, points) in a bucketed table, so closing days reads those days' counts and touched buckets, whatever came
+    before; a restart needs no state but the tables, a batch that is tried again starts from the trends before it and overwrites its own, and
+    points are those of the batch operator. Days still open are left to flush().
     """
     def each(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        before = stored(spark, tables.closed, CLOSED).where(F.col("batch") < k).agg(F.max("until"), F.max("seen")).first()  # one row
+        _, closed, seen = _closed_before(spark, tables, k)
         day = F.floor(F.unix_seconds("ts") / 86400).cast("int")
         rows = batch.withColumn("day", day).persist()
-        is_late = F.lit(False) if before[0] is None else F.col("day") <= before[0]
+        is_late = F.lit(False) if closed is None else F.col("day") <= closed
         write_keyed(rows.where(is_late).select("keyword", "district", "day", "ts"), tables.late, k)
-        write_keyed(rows.where(~is_late).groupBy("keyword", "district", "day").agg(F.count("*").alias("n")), tables.counts, k)
+        counts = rows.where(~is_late).groupBy("keyword", "district", "day").agg(F.count("*").alias("n")).withColumn("batch", F.lit(k))
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(tables.counts)
         now = rows.agg(F.max("ts"), F.max("day")).first()
         rows.unpersist()
-        until = max((x for x in (before[0], None if now[1] is None else now[1] - wait_days - 1) if x is not None), default=None)
-        if until is not None and (before[0] is None or until > before[0]):
-            _close(spark, tables, k, before[0], until, rule)
+        until = max((x for x in (closed, None if now[1] is None else now[1] - wait_days - 1) if x is not None), default=None)
+        if until is not None and (closed is None or until > closed):
+            _close(spark, tables, k, closed, until, rule)
         if until is not None:
-            write_keyed(spark.createDataFrame([(until, now[0] or before[1])], CLOSED), tables.closed, k)
+            _set_closed(spark, tables, k, until, now[0] or seen)
 
     return started(mentions, checkpoint, each)
 
 
 def flush(spark: SparkSession, tables: SpikeTables, **rule: float) -> None:
     """Closes all days that are still open, after the last batch; a second call finds none."""
-    last = stored(spark, tables.counts, COUNTS).agg(F.max("batch"), F.max("day")).first()
-    done = stored(spark, tables.closed, CLOSED).agg(F.max("until"), F.max("seen")).first()
-    if last[1] is None or (done[0] is not None and done[0] >= last[1]):
+    last, closed, seen = _closed_before(spark, tables, None)
+    still = [d for d in _names(spark, tables.counts, "day") if closed is None or d > closed]
+    if not still:
         return
-    k = last[0] + 1
-    _close(spark, tables, k, done[0], last[1], rule)
-    write_keyed(spark.createDataFrame([(last[1], done[1])], CLOSED), tables.closed, k)
+    k = 1 + max([last if last is not None else -1, *(b for d in still for b in _names(spark, f"{tables.counts}/day={d}", "batch"))])
+    _close(spark, tables, k, closed, still[-1], rule)
+    _set_closed(spark, tables, k, still[-1], seen)
 
 
 def pair_count_stream(pairs: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
@@ -172,33 +221,52 @@ EDGES = "uid string, src string, dst string, valid_from string, evidence string"
 
 
 class GraphTables:
-    """Where a graph stream writes: entities and edges by micro-batch, and notices."""
+    """Where a graph stream writes: entities by id and edges by uid in buckets, and notices by micro-batch."""
 
-    def __init__(self, root: str) -> None:
+    def __init__(self, root: str, buckets: int = 32) -> None:
         self.entities, self.edges, self.notices = (f"{root.rstrip('/')}/{x}" for x in ("entities", "edges", "notices"))
+        self.buckets = buckets
 
+    def stored(self, spark: SparkSession) -> tuple[BucketTable, BucketTable]:
+        return BucketTable(spark, self.entities, f"{ENTITIES}, batch bigint", ["id"], self.buckets), BucketTable(spark, self.edges, EDGES, ["uid"], self.buckets)
 
-def graph_stream(messages: DataFrame, tables: GraphTables, checkpoint: str) -> DataStreamWriter:
-    """Extraction messages (entities array of ENTITIES, edges array of EDGES without uid) to entity updates, edges that weren't there, and then notices of confident events."""
+
+def graph_stream(messages: DataFrame, tables: GraphTables, checkpoint: str, compact_every: int = 50) -> DataStreamWriter:
+    """Extraction messages (entities array of ENTITIES, edges array of EDGES without uid) to entity updates, edges that weren't there, and then notices of confident events.
+
+    Whether an edge is there is looked up in the buckets of the batch's own edges; every `compact_every` batches long buckets are rewritten."""
     def each(batch: DataFrame, k: int) -> None:
         batch = batch.persist()
-        spark = batch.sparkSession
+        entities, edges = tables.stored(batch.sparkSession)
         named = batch.select(F.explode("entities").alias("e")).select("e.*")
         last = named.groupBy("id").agg(F.max_by(F.struct("entity_type", "name", "confidence", "updated"), F.struct("updated", "name", "confidence")).alias("e")).select("id", "e.*").persist()
-        write_keyed(last, tables.entities, k)
+        entities.append(last.withColumn("batch", F.lit(k).cast("bigint")), k)
         new = batch.select(F.explode("edges").alias("e")).select("e.*").withColumn("uid", edge_uid(F.col("src"), F.col("dst"), F.col("valid_from"), F.col("evidence")))
-        write_keyed(insert_absent(stored(spark, tables.edges, EDGES).where(F.col("batch") < k), new, "uid", [F.col("src")]).select("uid", "src", "dst", "valid_from", "evidence"), tables.edges, k)
+        edges.insert_absent(new, k)
         write_keyed(confident_events(last), tables.notices, k)
+        if k % compact_every == compact_every - 1:
+            compact_graph(batch.sparkSession, tables)
         last.unpersist()
         batch.unpersist()
 
     return started(messages, checkpoint, each)
 
 
+def _last_writer(entities: DataFrame) -> DataFrame:
+    return latest_by_key(entities, ["id"], [F.desc("batch")])
+
+
+def compact_graph(spark: SparkSession, tables: GraphTables, most: int = 4) -> None:
+    """Rewrites buckets of more than `most` folders: the last writer of each entity, and all edges."""
+    entities, edges = tables.stored(spark)
+    entities.compact(most, _last_writer)
+    edges.compact(most)
+
+
 def graph_snapshot(spark: SparkSession, tables: GraphTables) -> tuple[DataFrame, DataFrame]:
     """(entities, edges) as they stand after all batches: the last writer of an entity wins."""
-    entities = latest_by_key(stored(spark, tables.entities, ENTITIES), ["id"], [F.desc("batch")]).drop("batch")
-    return entities, stored(spark, tables.edges, EDGES).drop("batch")
+    entities, edges = tables.stored(spark)
+    return _last_writer(entities.read()).drop("batch"), edges.read()
 
 
 def extraction_stream(outputs: DataFrame, good: str, again: str, quarantine: str, checkpoint: str) -> DataStreamWriter:
