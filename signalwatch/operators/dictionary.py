@@ -22,10 +22,10 @@ GRAMS = 50_000
 
 
 def vocabulary_rows(sections: DataFrame) -> DataFrame:
-    """(kind, surface, code_system, code, ord): one row per surface and per synonym. sections: kind, entries array<struct<surface, code_system, code, synonyms>>."""
+    """(kind, surface, code_system, code, ord): one row per surface and per synonym; ord: their order, by entry and then by place in it. sections: kind, entries array<struct<surface, code_system, code, synonyms>>."""
     each = sections.select("kind", F.posexplode("entries").alias("i", "e"))
     names = each.select("kind", "i", "e.code_system", "e.code", F.posexplode(F.concat(F.array("e.surface"), F.coalesce("e.synonyms", F.array().cast("array<string>")))).alias("j", "surface"))
-    return names.where("trim(surface) <> ''").select("kind", "surface", "code_system", "code", (F.col("i") * 1000 + F.col("j")).alias("ord"))
+    return names.where("trim(surface) <> ''").select("kind", "surface", "code_system", "code", (F.col("i").cast("bigint") * (1 << 31) + F.col("j")).alias("ord"))
 
 
 def placed_grams(mentions: DataFrame, longest: int, firsts: frozenset[str] | None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import console as c
 from ..operators import ledger as g
 from ..operators import signals as s
+from ..operators.releases import BudgetSpent, ReleaseLedger
+from ..sources.scratch import folder
 from .registry import registry, rounded
 from .views import view
 
@@ -157,6 +159,22 @@ def a29(spark: SparkSession, sf: str) -> DataFrame:
     return g.noisy(counts, ["project_id", "kind"], "n", 1.0, 0.5, 11)
 
 
+@query("a29_released_counts", """SELECT release, project_id, kind, n, release = 'week-3' AS stored_before FROM (SELECT project_id, kind, CAST(count(*) AS DOUBLE) AS n FROM v_signals GROUP BY 1, 2), (VALUES ('week-1'), ('week-3')) AS r(release)""")
+def a29_released(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts released under a budget of 1: one week for .6, one refused, one for .4, and that one asked for again at no cost. Each stored row with its count."""
+    counts = view(spark, sf, "v_signals").groupBy("project_id", "kind").agg(F.count("*").cast("double").alias("n"))
+    book, out = ReleaseLedger(spark, folder(spark, "releases"), "counts", 1.0), None
+    for week, epsilon in (("week-1", 0.6), ("week-2", 0.6), ("week-3", 0.4), ("week-3", 0.4)):
+        before = week in dict(book.entries())
+        try:
+            stored = book.release(counts, week, ["project_id", "kind"], "n", 1.0, epsilon, 11)
+        except BudgetSpent:
+            continue
+        told = stored.join(counts, ["project_id", "kind"]).select(F.lit(week).alias("release"), "project_id", "kind", "n", F.lit(before).alias("stored_before"))
+        out = told if out is None else out.where(F.col("release") != week).unionByName(told)
+    return out
+
+
 @query("a30_budget_ledger", """WITH RECURSIVE q AS (SELECT o_custkey AS key, o_orderkey AS seq, round(o_totalprice / 1000000, 3) AS epsilon, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
     r AS (SELECT key, seq, epsilon, i, epsilon <= 1 AS accepted, CASE WHEN epsilon <= 1 THEN epsilon ELSE 0 END AS spent FROM q WHERE i = 1
       UNION ALL SELECT q.key, q.seq, q.epsilon, q.i, r.spent + q.epsilon <= 1 + 1e-12, CASE WHEN r.spent + q.epsilon <= 1 + 1e-12 THEN r.spent + q.epsilon ELSE r.spent END FROM r JOIN q ON q.key = r.key AND q.i = r.i + 1)
