@@ -138,12 +138,11 @@ class Index:
         for bound, i, j in cells_by_bound(*self.bounds(x)):
             if bound < least:
                 return out, popped, -np.inf
-            if popped >= seen:
+            if popped >= seen and (n := self.count.get((i, j))):  # a cell without rows holds nothing up
                 if got >= rows:
                     return out, popped, bound
-                if n := self.count.get((i, j)):
-                    out.setdefault(i, []).append(j)
-                    got += n
+                out.setdefault(i, []).append(j)
+                got += n
             popped += 1
         return out, popped, -np.inf
 
