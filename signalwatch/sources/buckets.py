@@ -68,6 +68,10 @@ class BucketTable:
         """The buckets of rows: as many numbers as there are buckets at most."""
         return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
 
+    def ids(self) -> list[int]:
+        """Batches that are in, as far as compaction has left them apart."""
+        return sorted({*self._finished("delta"), *self._finished("base")})
+
     def has(self, batch: int) -> bool:
         """Whether the batch is in, by itself or within a base."""
         return batch in self._finished("delta") or any(k >= batch for k in self._finished("base"))
