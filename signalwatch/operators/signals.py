@@ -129,6 +129,37 @@ def poisson_clusters(obs: DataFrame, now: str, days: int = 7, degrees: float = 1
         llr.alias("llr"), F.when(llr <= 0, 1.0).otherwise(erfc(F.sqrt(llr))).alias("p_value"), "population", ((observed >= least) & (F.col("weight") > F.col("rate")) & (llr >= least_llr)).alias("is_cluster"))
 
 
+def day_cells(weight: Column, ts: Column) -> list[Column]:
+    """What a grid cell keeps of a day: weight and number of its rows, and of those at midnight sharp. Weights count to nine places, so that sums can be taken back exactly."""
+    sharp, w = F.unix_micros(ts.cast("timestamp")) % 86_400_000_000 == 0, weight.cast("decimal(28,9)")
+    return [F.sum(w).alias("weight"), F.sum(F.when(sharp, w).otherwise(0)).alias("edge"), F.count("*").alias("n"), F.count_if(sharp).alias("n_edge")]
+
+
+def window_cells(cells: DataFrame, days: int = 7) -> DataFrame:
+    """(until, cy, cx, weight, population, rate, llr): the occupied cells of every window that ends at a midnight `until` (days since 1970) and holds `days` days, both ends included.
+
+    cells: cy, cx, day and day_cells(). A day comes into the window that ends where it begins with what lies on that midnight, into the next with the rest, and leaves
+    `days` later: three signed rows, however long windows are, and a running sum along the days of a cell. rate is the mean weight of a window's occupied cells.
+    """
+    row = lambda day, w, n: F.struct(day.alias("day"), w.cast("decimal(38,9)").alias("w"), n.alias("n"))
+    c = F.col
+    signed = F.array(row(c("day"), c("edge"), c("n_edge")), row(c("day") + 1, c("weight") - c("edge"), c("n") - c("n_edge")), row(c("day") + (days + 1), -c("weight"), -c("n")))
+    changes = cells.select("cy", "cx", F.explode(signed).alias("x")).groupBy("cy", "cx", "x.day").agg(F.sum("x.w").alias("w"), F.sum("x.n").alias("n"))
+    along = Window.partitionBy("cy", "cx").orderBy("day")
+    sums = changes.select("cy", "cx", "day", F.sum("w").over(along).cast("double").alias("weight"), F.sum("n").over(along).alias("population"), F.lead("day").over(along).alias("next"))
+    each = sums.where("population > 0").select(F.explode(F.sequence("day", F.col("next") - 1)).alias("until"), "cy", "cx", "weight", "population")
+    scored = each.join(each.groupBy("until").agg(F.avg("weight").alias("rate")), "until")
+    return scored.withColumn("llr", poisson_llr(F.col("weight"), F.col("rate")))
+
+
+def poisson_windows(obs: DataFrame, days: int = 7, degrees: float = 1.0) -> DataFrame:
+    """window_cells() of observations (lat, lon, ts, weight); those without a place or time are in none."""
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)
+    placed = obs.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("ts").isNotNull())
+    cells = placed.groupBy(F.floor(F.col("lat") / degrees).alias("cy"), F.floor(F.col("lon") / degrees).alias("cx"), day.alias("day"))
+    return window_cells(cells.agg(*day_cells(F.coalesce("weight", F.lit(0.0)), F.col("ts"))), days)
+
+
 def signal_id(*parts: Column) -> Column:
     """A stable id from what makes a signal what it is."""
     return F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 32)

@@ -11,6 +11,8 @@ from ..sources import landed as l
 from ..streaming import jobs
 from .ledger_queries import BREAKER as _BREAKER
 from .registry import registry, rounded
+from ..operators.signals import poisson_windows
+from ..sources.records import record_stream
 from ..sources.scratch import folder
 from .graph_queries import _UID
 from .signal_queries import _EWMA
@@ -225,17 +227,23 @@ def st3(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["st3_pair_stream"] = ORACLES_OF_SIGNALS["a4_disproportionality"].replace("prr0 >= 1.02", "prr0 >= 2").replace("chi0 >= 1.0", "chi0 >= 4")
 
 
-@query("st4_cluster_stream", """WITH d AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM v_obs), w AS (SELECT unnest(range(day + 1, day + 8)) AS until, floor(lat / 5) AS cy, floor(lon / 5) AS cx, weight FROM d),
-    c AS (SELECT until, cy, cx, sum(weight) AS weight FROM w GROUP BY 1, 2, 3), r AS (SELECT *, avg(weight) OVER (PARTITION BY until) AS rate FROM c)
-    SELECT until, CAST(cy AS BIGINT) AS cy, CAST(cx AS BIGINT) AS cx, round(weight, 6) AS weight, round(rate, 6) AS rate, round(CASE WHEN weight <= rate THEN 0 ELSE weight * ln(weight / rate) - (weight - rate) END, 6) AS llr
-    FROM r WHERE until * 86400 <= (SELECT max(epoch(ts)) FROM v_obs) - 86400""")
+_WINDOWS = """WITH d AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM v_obs), w AS (SELECT unnest(range(CASE WHEN epoch(ts) = day * 86400 THEN day ELSE day + 1 END, day + 8)) AS until, floor(lat / 5) AS cy, floor(lon / 5) AS cx, weight FROM d),
+    c AS (SELECT until, cy, cx, sum(weight) AS weight, count(*) AS population FROM w GROUP BY 1, 2, 3), r AS (SELECT *, avg(weight) OVER (PARTITION BY until) AS rate FROM c)
+    SELECT until, CAST(cy AS BIGINT) AS cy, CAST(cx AS BIGINT) AS cx, round(weight, 6) AS weight, population, round(rate, 6) AS rate, round(CASE WHEN weight <= rate THEN 0 ELSE weight * ln(weight / rate) - (weight - rate) END, 6) AS llr FROM r"""
+
+
+@query("a5_sliding_clusters", _WINDOWS)
+def a5_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of every week that ends at a midnight."""
+    return rounded(poisson_windows(view(spark, sf, "v_obs"), degrees=5.0))
+
+
+@query("st4_cluster_stream", f"{_WINDOWS} WHERE until <= (SELECT max(day) FROM d WHERE (day + 1) * 86400 <= (SELECT max(epoch(ts)) FROM v_obs) - 86400)")
 def st4(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows that were over a day before the last row came."""
+    """Windows that end on a day that was over a day before the last row came."""
     path, schema = _landed(spark, view(spark, sf, "v_obs").select("lat", "lon", F.col("ts").cast("timestamp").alias("ts"), "weight"))
-    table = folder(spark, "clusters")
-    writer = jobs.cluster_stream(jobs.read_stream(spark, path, schema, 1), table, folder(spark, "checkpoint"), degrees=5.0)
-    out = _all(spark, writer, table, "until timestamp, cy bigint, cx bigint, weight double, rate double, llr double")
-    return rounded(out.withColumn("until", F.floor(F.unix_seconds("until") / 86400)))
+    root = folder(spark, "clusters")
+    return rounded(_all(spark, jobs.cluster_stream(jobs.read_stream(spark, path, schema, 1), root, folder(spark, "checkpoint"), degrees=5.0), f"{root}/windows", jobs.WINDOWS))
 
 
 @query("st5_graph_stream", f"""WITH e AS (SELECT DISTINCT {_UID} AS uid, src, dst FROM v_edges) SELECT 'edge' AS part, uid AS id, dst AS label FROM e UNION ALL SELECT 'entity', id, name FROM v_entities UNION ALL SELECT 'notice', id, '' FROM v_entities WHERE entity_type = 'EVENT' AND confidence > 0.85""")
@@ -295,6 +303,21 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
     return _all(spark, jobs.started(good, folder(spark, "checkpoint"), lambda b, k: jobs.write_keyed(b, table, k)), table, "event_id bigint, event_type string")
 
 
+@query("s8_record_stream", "SELECT event_id, event_type, user_id FROM events")
+def s8_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as logs of lines, read in micro-batches that are counted in records."""
+    path, table = folder(spark, "logs"), folder(spark, "records")
+    view(spark, sf, "events").select(F.to_json(F.struct("event_id", "event_type", "user_id")).alias("value")).write.text(path)
+    schema = "event_id bigint, event_type string, user_id bigint"
+    good, _ = jobs.decoded(record_stream(spark, path, 50_000).select("value"), schema)
+    running = good.writeStream.option("checkpointLocation", folder(spark, "checkpoint")).foreachBatch(lambda b, k: jobs.write_keyed(b, table, k)).start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return jobs.stored(spark, table, schema).drop("batch")
+
+
 @query("s9_keyed_sink", "SELECT event_id, user_id FROM events")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
     """Each micro-batch is written twice, as after a failure; nothing is there twice."""

@@ -19,7 +19,7 @@ from ..operators.dictionary import dictionary_entities
 from ..operators.folds import keyed_fold
 from ..operators.graph import confident_events, edge_uid, latest_by_key
 from ..operators.ledger import salvage_outcome, salvaged_json
-from ..operators.signals import NO_POINTS, contingency, disproportionality, poisson_llr, trend_point
+from ..operators.signals import NO_POINTS, contingency, day_cells, disproportionality, trend_point, window_cells
 from ..sources.buckets import BucketTable
 
 
@@ -202,18 +202,36 @@ def compact_pairs(spark: SparkSession, table: str, into: str) -> None:
     write_keyed(rows.groupBy("drug", "event").agg(F.sum("a").alias("a")), into, rows.agg(F.max("batch")).first()[0] or 0)
 
 
-def cluster_stream(obs: DataFrame, table: str, checkpoint: str, days: int = 7, degrees: float = 1.0) -> DataStreamWriter:
-    """Cell weights in sliding windows once each is over; scored against their window's mean cell. A window holds its start and not its end (the batch operator's holds both)."""
-    w = F.window("ts", f"{days} days", "1 day")
-    cells = obs.withWatermark("ts", "1 day").groupBy(w.alias("w"), F.floor(F.col("lat") / degrees).alias("cy"), F.floor(F.col("lon") / degrees).alias("cx")).agg(F.sum("weight").alias("weight"))
+DAYS = "cy bigint, cx bigint, weight decimal(38,9), edge decimal(38,9), n bigint, n_edge bigint, day bigint, batch bigint"
+WINDOWS = "until bigint, cy bigint, cx bigint, weight double, population bigint, rate double, llr double"
+
+
+def cluster_stream(obs: DataFrame, root: str, checkpoint: str, days: int = 7, degrees: float = 1.0) -> DataStreamWriter:
+    """Cells of sliding windows as window_cells() gives them, under root/windows, each window once the day that it ends on is closed.
+
+    State is one row a cell and open day, whatever a window's length. A day is closed by the watermark, a day behind the latest time; it is written under root/days, from which the
+    windows since the last closed day take their days. A batch that is tried again sees no later days and overwrites its own.
+    """
+    placed = obs.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withWatermark("ts", "1 day")
+    cells = placed.groupBy(F.window("ts", "1 day").alias("w"), F.floor(F.col("lat") / degrees).alias("cy"), F.floor(F.col("lon") / degrees).alias("cx"))
+    daily = cells.agg(*day_cells(F.coalesce("weight", F.lit(0.0)), F.col("ts"))).withColumn("day", F.floor(F.unix_seconds("w.start") / 86400)).drop("w")
+    where = f"{root.rstrip('/')}/days"
 
     def each(batch: DataFrame, k: int) -> None:
-        batch = batch.persist()  # a stateful batch that is used twice
-        rate = batch.groupBy("w").agg(F.avg("weight").alias("rate"))
-        write_keyed(batch.join(rate, "w").select(F.col("w.end").alias("until"), "cy", "cx", "weight", "rate", poisson_llr(F.col("weight"), F.col("rate")).alias("llr")), table, k)
-        batch.unpersist()
+        spark = batch.sparkSession
+        rows = batch.withColumn("batch", F.lit(k).cast("bigint")).persist()  # a stateful batch that is used twice
+        until = rows.agg(F.max("day")).first()[0]
+        if until is not None:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(where)
+            found = _names(spark, where, "day")
+            since = next((d for d in reversed(found) if any(b < k for b in _names(spark, f"{where}/day={d}", "batch"))), None)
+            paths = [f"{where}/day={d}" for d in found if d <= until and (since is None or d > since - days)]
+            known = spark.read.option("basePath", where).schema(DAYS).parquet(*paths).where(F.col("batch") <= k)
+            told = F.col("until") <= until if since is None else F.col("until").between(since + 1, until)
+            write_keyed(window_cells(known, days).where(told), f"{root.rstrip('/')}/windows", k)
+        rows.unpersist()
 
-    return started(cells, checkpoint, each)
+    return started(daily, checkpoint, each)
 
 
 ENTITIES = "id string, entity_type string, name string, confidence double, updated bigint"
