@@ -288,9 +288,8 @@ def st8(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view")).alias("success"), "ts")
     # outcomes of a source must come in order, so files land by number
     path, schema = _landed(spark, rows.drop("ts").withColumn("ts", F.col("seq")))
-    table = folder(spark, "health")
-    stream = jobs.health_stream(jobs.read_stream(spark, path, schema, 1))
-    return rounded(_all(spark, jobs.started(stream, folder(spark, "checkpoint"), lambda b, k: jobs.write_keyed(b, table, k)), table, jobs.HEALTH))
+    root = folder(spark, "sources")
+    return rounded(_all(spark, jobs.health_stream(jobs.read_stream(spark, path, schema, 1), root, folder(spark, "checkpoint")), f"{root}/health", jobs.HEALTH))
 
 
 @query("s8_decoded_stream", "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 0")

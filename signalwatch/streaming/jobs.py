@@ -5,20 +5,17 @@ Sources are files here; another source only changes read_stream. A restart goes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.annotate import dominant_language, language_segments, misinformation, pii_findings, redacted, sentiment
 from ..operators.dictionary import dictionary_entities
 from ..operators.folds import keyed_fold
 from ..operators.graph import confident_events, edge_uid, latest_by_key
-from ..operators.ledger import salvage_outcome, salvaged_json
+from ..operators.ledger import HEALTHY, poll_outcome, salvage_outcome, salvaged_json
 from ..operators.signals import NO_POINTS, contingency, day_cells, disproportionality, trend_point, window_cells
 from ..sources.buckets import BucketTable
 
@@ -300,25 +297,38 @@ def extraction_stream(outputs: DataFrame, good: str, again: str, quarantine: str
 
 
 HEALTH = "source string, seq bigint, health double, failures int, is_open boolean"
+STATES = "source string, health double, failures int, is_open boolean, batch bigint"
 
 
-def health_stream(outcomes: DataFrame, alpha: float = 0.3, opens: float = 0.3, closes: float = 0.7) -> DataFrame:
-    """Source health by state: outcomes (source, seq, success) to (source, seq, health, failures, is_open). A source's new outcomes are folded as arrays."""
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        h, f, o = state.get if state.exists else (1.0, 0, False)
-        rows = pd.concat(list(frames))
-        order = np.argsort(rows["seq"].to_numpy(), kind="stable")
-        good = rows["success"].to_numpy(bool)[order]
-        health, failures, is_open = np.empty(len(good)), np.empty(len(good), np.int32), np.empty(len(good), bool)
-        for i, ok in enumerate(good.tolist()):
-            h = (1 - alpha) * h + (alpha if ok else 0.0)
-            f = 0 if ok else f + 1
-            o = (o and h < closes) if ok else (o or h < opens)
-            health[i], failures[i], is_open[i] = h, f, o
-        state.update((h, f, o))
-        yield pd.DataFrame({"source": key[0], "seq": rows["seq"].to_numpy()[order], "health": health, "failures": failures, "is_open": is_open})
-
-    return outcomes.groupBy("source").applyInPandasWithState(fold, HEALTH, "h double, f int, o boolean", "append", GroupStateTimeout.NoTimeout)
+def health_stream(outcomes: DataFrame, root: str, checkpoint: str, alpha: float = 0.3, opens: float = 0.3, closes: float = 0.7) -> DataStreamWriter:
+    """Source health after each outcome (source, seq, success) under root/health, micro-batch by micro-batch; what a source was after the last one is a row of a bucketed table.
+
+    Within a batch outcomes are folded in order of seq as the batch operator does, with one state in memory, however many a source has; those of a later batch come after all
+    before. A batch that is tried again starts from the states before it.
+    """
+    def each(batch: DataFrame, k: int) -> None:
+        new = batch.select("source", F.col("seq").cast("bigint").alias("seq"), "success").persist()
+        states = BucketTable(batch.sparkSession, f"{root.rstrip('/')}/states", STATES, ["source"])
+        none = lambda kind: F.lit(None).cast(kind)
+        known = states.read(states.touched(new), k - 1).select("source", none("bigint").alias("seq"), none("boolean").alias("success"), "health", "failures", "is_open", F.lit(0).alias("turn"))
+        # a source's state goes ahead of its outcomes and starts its fold
+        rows = new.select("*", none("double").alias("health"), none("int").alias("failures"), none("boolean").alias("is_open"), F.lit(1).alias("turn")).unionByName(known)
+
+        def step(state: tuple, turn: int, _: int | None, success: bool | None, *stored: float) -> tuple[tuple, tuple | None]:
+            if not turn:
+                return (stored, 0), None
+            after, place = poll_outcome(state[0], success, alpha, opens, closes)[0], state[1] + 1
+            return (after, place), (*after, place)
+
+        told = keyed_fold(rows, ["source"], ["turn", "seq"], ["success", "health", "failures", "is_open"], "health double, failures int, is_open boolean, place bigint", (HEALTHY, 0), step)
+        write_keyed(told.drop("turn"), f"{root.rstrip('/')}/health", k)
+        done = batch.sparkSession.read.schema(f"{HEALTH}, place bigint").parquet(f"{root.rstrip('/')}/health/batch={k}")
+        last = latest_by_key(done, ["source"], [F.desc("place")]).select("source", "health", "failures", "is_open", F.lit(k).cast("bigint").alias("batch"))
+        states.replace(last, k, lambda old, fresh: latest_by_key(old.unionByName(fresh), ["source"], [F.desc("batch")]))
+        states.vacuum(k)
+        new.unpersist()
+
+    return started(outcomes, checkpoint, each)
 
 
 def unseen(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
