@@ -229,12 +229,12 @@ def f11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a10_entity_counts", f"WITH e AS ({_ENTITIES}), c AS (SELECT kind, lower(v) AS low, count(*) AS n FROM e GROUP BY 1, 2) SELECT kind, low, n AS count, round(CAST(least(0.97, {_BASE} + least(0.06, 0.01 * n)) AS DOUBLE), 6) AS confidence FROM c")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(w.entity_counts(_entities(spark, sf), []).select("kind", "low", "count", "confidence"))
+    return rounded(w.counted_entities(view(spark, sf, "v_mentions").select("mention_id", "text"), []).select("kind", "low", "count", "confidence"))
 
 
 @query("a12_entities_per_kind", f"WITH e AS ({_ENTITIES}) SELECT kind, count(DISTINCT lower(v)) AS n FROM e GROUP BY 1")
 def a12(spark: SparkSession, sf: str) -> DataFrame:
-    return w.entity_counts(_entities(spark, sf), []).groupBy("kind").agg(F.count("*").alias("n"))
+    return w.counted_entities(view(spark, sf, "v_mentions").select("mention_id", "text"), []).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 #: Titles of pages as queries, with words that queries are asked about put in.

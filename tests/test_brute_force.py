@@ -257,6 +257,20 @@ def event_table(spark, n=400):
     return spark.createDataFrame(rows, "event_id long, source string, ts timestamp_ntz, value double, ok boolean")
 
 
+def test_counted_entities(spark):
+    """Against the list of mentions and against plain patterns, keys and surfaces included; and texts with nothing, nulls and edges that only ASCII knows."""
+    odd = [None, "", "Acme Corp, ACME CORP and acme corp; Harbor Bank's Harbor Bank", "xSri Lanka Sri Lanka_ éSri Lanka Sri Lankan Oman\nUAE. One Two Three Four South Korea", "usd 5 EUR7 $ 9 xusd 3 cve-2024-12345 CVE-2024-12345", "United States United Kingdom United", "é" * 50 + "Ab’c Paris Hilton Of the World", "a" * 32 + " " + "A" * 65]
+    df = spark.createDataFrame([(i, "pq"[i % 2], t) for i, t in enumerate(odd + texts(spark, 120))], "mention_id int, project string, text string")
+    for keys in ([], ["project"]):
+        got, want = w.counted_entities(df, keys), w.entity_counts(w.heuristic_entities(df), keys)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+    lands = sorted(r["value"] for r in w.heuristic_entities(df.select("mention_id", "text"), ["GEO"]).where(F.col("value").isin(w.COUNTRIES)).collect())
+    plain = rf"(?a)\b(?:{'|'.join(w.COUNTRIES)})\b"
+    assert lands == sorted(v for r in df.where("text is not null").collect() for v in regex.findall(plain, r["text"])) and "Sri Lanka" in lands
+    assert w.counted_entities(df.where("false"), []).count() == 0
+
+
 def test_sliced_windows(spark):
     """Cut into runs of a few rows, windows give what one window over the whole series gives; null keys are a series too."""
     df = event_table(spark)
