@@ -325,11 +325,11 @@ def content_type(value: Column) -> Column:
 
 
 def salvaged_json(text: Column) -> Column:
-    """The first fenced JSON block of a model's output, else its first object or array; null without one."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*([\[{].*?[\]}])\s*```", 1)
-    bare = F.regexp_extract(text, r"(?s)([\[{].*[\]}])", 1)
-    got = F.when(fenced != "", fenced).when(bare != "", bare)
-    return F.when(F.try_parse_json(got).isNotNull(), got)
+    """The first fenced block of a model's output that is a JSON object or array; without any fence, what stands from the first bracket to the last of its kind. Null if nothing parses."""
+    fits = lambda j: F.try_parse_json(j).isNotNull()
+    fenced = F.regexp_extract_all(text, F.lit(r"(?is)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```"), 1)
+    bare = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
+    return F.when(F.size(fenced) > 0, F.get(F.filter(fenced, fits), 0)).when((bare != "") & fits(bare), bare)
 
 
 def salvage_outcome(text: Column, attempt: Column, most: int = 3) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import grams, lexical_distance, normalized_name
+from ..operators import extraction as x
 from ..operators import graph as g
 from ..operators import resolve as r
 from ..operators import vector_index as vi
@@ -231,3 +232,36 @@ def j6_new(spark: SparkSession, sf: str) -> DataFrame:
 def a9(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "supplier").join(view(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return rounded(r.folded(s.select(F.col("n_regionkey").alias("region"), F.col("s_acctbal").alias("confidence"), F.lit(1).cast("bigint").alias("source_count"), F.col("s_suppkey").alias("updated")), "region"))
+
+
+#: A model's output for every supplier and customer: one entity, by its name in capitals or, for every fifth, by a name that nobody has, and an edge to its nation; some outputs are broken.
+_SOURCES = """SELECT concat('ORG-', CAST(s_suppkey AS STRING)) AS of, s_suppkey AS k, 'ORG' AS t, s_name AS name, s_nationkey AS nation FROM {supplier} UNION ALL SELECT concat('PERSON-', CAST(c_custkey AS STRING)), c_custkey, 'PERSON', c_name, c_nationkey FROM {customer}"""
+_TOLD = """SELECT concat('out-', of) AS id, of, k, t, nation, concat('new-', of) AS e, CASE WHEN k % 5 = 0 THEN md5(of) ELSE upper(name) END AS name, CASE WHEN k % 7 = 3 THEN CASE WHEN k % 2 = 0 THEN 'retry' ELSE 'quarantine' END ELSE 'ok' END AS outcome FROM src"""
+
+
+def _outputs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(_TOLD.replace("src", "{src}"), src=spark.sql(_SOURCES, supplier=view(spark, sf, "supplier"), customer=view(spark, sf, "customer")))
+    entity = F.struct(F.struct(F.col("e").alias("id"), F.col("t").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit(2).alias("source_count"), F.lit("2024-01-02T00:00:00Z").alias("last_updated")).alias("entity"), F.col("name").alias("canonical_name"))
+    # a share beyond 1 is a fault of the whole output
+    said = F.struct(F.when(F.col("outcome") == "ok", 0.5).otherwise(1.5).alias("confidence"), F.lit("2024-01-02T00:00:00Z").alias("valid_from"), F.lit("is in").alias("evidence_text"))
+    edge = F.struct(F.col("e").alias("source_entity_id"), F.concat(F.lit("GEO-"), F.col("nation").cast("string")).alias("destination_entity_id"), said.alias("relationship"))
+    json = F.to_json(F.struct(F.array(entity).alias("entities"), F.array(edge).alias("relationships")))
+    return rows.select("id", F.concat(F.lit("Found:\n```json\n"), json, F.lit("\n```")).alias("text"), (F.col("k") % 2 * 2 + 1).alias("attempt"))
+
+
+@query("graph_extraction", f"""WITH src AS ({_SOURCES.replace("{supplier}", "supplier").replace("{customer}", "customer").replace("STRING", "VARCHAR")}), told AS ({_TOLD}), good AS (SELECT *, CASE WHEN k % 5 = 0 THEN e ELSE of END AS now FROM told WHERE outcome = 'ok'),
+    first AS (SELECT *, CASE WHEN k % 5 = 0 THEN e ELSE min(of) OVER (PARTITION BY t, lower(name)) END AS id2 FROM good), made AS (SELECT e AS id, name, CAST(2 AS BIGINT) AS n FROM first WHERE k % 5 = 0),
+    old AS (SELECT v.id, v.name, CAST(1 + 2 * count(f.e) AS BIGINT) AS n FROM v_entities v LEFT JOIN first f ON f.id2 = v.id AND f.k % 5 <> 0 WHERE v.entity_type <> 'EVENT' GROUP BY 1, 2),
+    ed AS (SELECT DISTINCT id2 AS src, 'GEO-' || nation AS dst FROM first)
+    SELECT 'entity' AS part, id, name AS label, n FROM old UNION ALL SELECT 'entity', id, name, n FROM made UNION ALL SELECT 'edge', src, dst, CAST(0 AS BIGINT) FROM ed UNION ALL SELECT 'outcome', id, outcome, CAST(0 AS BIGINT) FROM told
+    UNION ALL SELECT 'around', id, 'hop', CAST(0 AS BIGINT) FROM (SELECT src AS id FROM ed) UNION ALL SELECT 'around', dst, 'hop', CAST(1 AS BIGINT) FROM (SELECT DISTINCT dst FROM ed)""")
+def graph_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """From outputs to the graph: what is known merges, what isn't is created, edges follow, and what lies a step around."""
+    stored = view(spark, sf, "v_entities").where("entity_type <> 'EVENT'").select("id", "entity_type", "name", "confidence", F.lit(1).cast("bigint").alias("source_count"), F.lit(0).cast("bigint").alias("updated"))
+    graph = x.Graph(stored, edges(spark, sf).select("uid", "src", "dst", "valid_from", "evidence").limit(0), spark.createDataFrame([], "id string, canonical_id string"))
+    step = x.ingested(_outputs(spark, sf), graph)
+    part = lambda name, df, i, label, n: df.select(F.lit(name).alias("part"), F.col(i).alias("id"), label.alias("label"), n.cast("bigint").alias("n"))
+    none = F.lit(0)
+    return (
+        part("entity", step.graph.entities, "id", F.col("name"), F.col("source_count")).unionByName(part("edge", step.graph.edges, "src", F.col("dst"), none))
+        .unionByName(part("outcome", step.outcomes, "id", F.col("outcome"), none)).unionByName(part("around", x.around(step, 1), "id", F.lit("hop"), F.col("hop"))))
