@@ -68,8 +68,19 @@ def embedding(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable
     return embed
 
 
-def hashed_name_model(width: int = 192, low: int = 3, high: int = 5) -> Callable[[list[str]], np.ndarray]:
-    """Signed BLAKE2b feature hashing of character n-grams, unit length."""
+def _blake_place(gram: str, width: int) -> tuple[int, int]:
+    h = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "little") % width, 1 if h[4] & 1 else -1
+
+
+def md5_place(gram: str, width: int) -> tuple[int, int]:
+    """The place and sign that names.hashed_vector gives a gram."""
+    h = hashlib.md5(gram.encode(), usedforsecurity=False).hexdigest()
+    return int(h[:8], 16) % width, 1 if int(h[8], 16) % 2 else -1
+
+
+def hashed_name_model(width: int = 192, low: int = 3, high: int = 5, place: Callable[[str, int], tuple[int, int]] = _blake_place) -> Callable[[list[str]], np.ndarray]:
+    """Signed feature hashing of character n-grams, unit length; `place` says where a gram goes, by default by BLAKE2b."""
     def run(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), width))
         for row, text in enumerate(texts):
@@ -77,8 +88,17 @@ def hashed_name_model(width: int = 192, low: int = 3, high: int = 5) -> Callable
             if text.strip():
                 for n in range(low, high + 1):
                     for i in range(len(padded) - n + 1):
-                        h = hashlib.blake2b(padded[i : i + n].encode(), digest_size=8).digest()
-                        out[row, int.from_bytes(h[:4], "little") % width] += 1 if h[4] & 1 else -1
+                        b, w = place(padded[i : i + n], width)
+                        out[row, b] += w
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return run
+
+
+def author_digest(salt: str) -> Callable[[Column], Column]:
+    """A column function: 16 digits of BLAKE2b for a handle without outer blanks and in lower case, to meet hashes made elsewhere; without a handle that of `anonymous`. annotate.author_hash stays in the JVM and is the one to take otherwise."""
+    @F.pandas_udf("string")
+    def digest(handles: pd.Series) -> pd.Series:
+        return handles.map(lambda h: hashlib.blake2b(f"{salt}::{(h or 'anonymous').strip().lower()}".encode(), digest_size=8).hexdigest())
+
+    return digest

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import grams, lexical_distance, normalized_name
+from ..functions.stages import embedding, hashed_name_model, md5_place
 from ..operators import extraction as x
 from ..operators import graph as g
 from ..operators import resolve as r
@@ -166,6 +167,8 @@ def _hashed(key: str) -> str:
 
 
 _GRAMS = f"""WITH n AS (SELECT id, ' ' || {_NORM.format('name')} || ' ' AS p FROM v_entities), f AS (SELECT id, unnest(flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, length(p) - k + 2), lambda i: substr(p, CAST(i AS INTEGER), CAST(k AS INTEGER)))))) AS g FROM n), {_hashed('id')}"""
+#: What the hook says of a model's 32-bit weights: each as a share of the largest, which small whole numbers give.
+_SHARES = f"{_GRAMS} SELECT id, b, round(w / max(abs(w)) OVER (PARTITION BY id), 4) AS share FROM c WHERE w <> 0"
 _FEATURES = "unnest(string_split({0}, ' ') || list_transform(range(1, length({0}) - 2), lambda i: substr({0}, CAST(i AS INTEGER), 4)))"
 
 
@@ -175,6 +178,15 @@ def f8v(spark: SparkSession, sf: str) -> DataFrame:
     return r.named(view(spark, sf, "v_entities")).select("id", F.explode("vec").alias("x")).select("id", "x.b", F.round("x.w", 6).alias("w"))
 
 
+@query("x2_embedding_hook", _SHARES)
+def x2(spark: SparkSession, sf: str) -> DataFrame:
+    """A model behind the hook that hashes as f8_name_vectors does: every weight of every name."""
+    embed = embedding(lambda: hashed_name_model(place=md5_place))
+    v = view(spark, sf, "v_entities").select("id", embed(normalized_name(F.col("name"))).alias("v")).withColumn("most", F.array_max(F.transform("v", F.abs)).cast("double"))
+    weights = v.select("id", "most", F.posexplode("v").alias("b", "w")).where("w <> 0")
+    return weights.select("id", "b", F.round(F.col("w").cast("double") / F.col("most"), 4).alias("share"))
+
+
 @query("f9_hashed_vectors", f"WITH d AS (SELECT DISTINCT evidence, lower(evidence) AS p FROM v_edges), f AS (SELECT evidence, {_FEATURES.format('p')} AS g FROM d), {_hashed('evidence')} SELECT evidence, b, round(w, 6) AS w FROM v")
 def f9(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence of all edges: words and 4-character runs, hashed as a question is."""
@@ -203,10 +215,13 @@ def graph_question(spark: SparkSession, sf: str) -> DataFrame:
     return part("edge", between, "src", "dst").unionByName(part("node", nodes, "id", "name"))
 
 
-@query("f10_name_distances", f"""WITH a AS (SELECT n_nationkey AS k, lower(n_name) AS x, lower(r_name) AS y FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT k, round(CASE WHEN x = y THEN 0 ELSE levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE) END, 6) AS d FROM a""")
+@query("f10_name_distances", f"""SELECT p_partkey AS k, round(CASE WHEN x = y THEN 0 ELSE levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE) END, 6) AS d FROM (SELECT p_partkey, lower(p_name) AS x, lower(p_type) AS y FROM part)
+    UNION ALL SELECT -c_custkey, round(levenshtein(lower(c_name), lower(n_name)) / CAST(greatest(length(c_name), length(n_name)) AS DOUBLE), 6) FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def f10(spark: SparkSession, sf: str) -> DataFrame:
-    a = view(spark, sf, "nation").join(view(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return a.select(F.col("n_nationkey").alias("k"), F.round(lexical_distance(F.lower("n_name"), F.lower("r_name")), 6).alias("d"))
+    """Names of parts against their types, and of customers against their nations."""
+    p = view(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("x"), F.lower("p_type").alias("y"))
+    c = view(spark, sf, "customer").join(view(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select((-F.col("c_custkey")).alias("k"), F.lower("c_name").alias("x"), F.lower("n_name").alias("y"))
+    return p.unionByName(c).select("k", F.round(lexical_distance(F.col("x"), F.col("y")), 6).alias("d"))
 
 
 def _variants(spark: SparkSession, sf: str) -> DataFrame:

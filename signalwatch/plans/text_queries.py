@@ -276,12 +276,3 @@ def x1(spark: SparkSession, sf: str) -> DataFrame:
 
     out = applied(_mixed(spark, sf), ["language", "redact", "translate", "sentiment", "misinformation"])
     return out.select("origin", "id", "language", F.col("misinformation.label").alias("label"))
-
-
-@query("x2_embedding_hook")
-def x2(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.stages import embedding, hashed_name_model
-
-    embed = embedding(hashed_name_model)
-    v = view(spark, sf, "v_entities").select("id", embed(F.lower("name")).alias("v"))
-    return v.select("id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))

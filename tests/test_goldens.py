@@ -1,6 +1,7 @@
 """Values worked out by hand from the definitions."""
 
 import datetime as dt
+import hashlib
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from signalwatch.functions import annotate as a
 from signalwatch.functions import webtext as w
 from signalwatch.functions.names import normalized_name
+from signalwatch.functions.stages import author_digest
 from signalwatch.operators import console as c
 from signalwatch.operators import graph as g
 from signalwatch.operators import ledger, resolve
@@ -92,6 +94,12 @@ def test_authors(spark):
     assert out[0] == out[1] and re.fullmatch("[0-9a-f]{16}", out[0]) and out[2] == out[3] == "anonymous"
 
 
+def test_author_digests(spark):
+    rows = ["@alice", " @ALICE ", None, "", "anonymous", "Zoé"]
+    out = [r[0] for r in spark.createDataFrame([(i, h) for i, h in enumerate(rows)], "i int, h string").orderBy("i").select(author_digest("s")(F.col("h"))).collect()]
+    assert out == [hashlib.blake2b(f"s::{h}".encode(), digest_size=8).hexdigest() for h in ("@alice", "@alice", "anonymous", "anonymous", "anonymous", "zoé")]
+
+
 def test_bot_walls(spark):
     out = spark.createDataFrame([(429, ""), (200, "Checking your browser"), (403, ""), (200, "fine")], "s int, t string").select(w.bot_wall(F.col("s"), F.col("t"))["tier"]).collect()
     assert [r[0] for r in out] == ["soft_rate_limit", "interactive_challenge", "hard_block", "none"]
