@@ -198,6 +198,11 @@ def grouped(docs: DataFrame, shingle: int, per_cent: int, rows: int = 3, miss: f
     return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "component")
 
 
+def _present(waiting: DataFrame) -> DataFrame:
+    """(rep): members and leaders of waiting, each once. A class waits in up to m*m buckets, so its rows are made one on each side before the two are put together."""
+    return waiting.select("rep").distinct().unionByName(waiting.select(F.col("leader").alias("rep")).distinct()).distinct()
+
+
 def _beyond_leaders(members: DataFrame, star: DataFrame, sets: DataFrame, links: DataFrame, per_cent: int) -> DataFrame | None:
     """Links (a, b) between members of buckets that their leaders leave in several components; None where there are none."""
     first = keep(components(links))
@@ -209,8 +214,7 @@ def _beyond_leaders(members: DataFrame, star: DataFrame, sets: DataFrame, links:
     if not waiting.limit(1).count():
         return None
     # shingles that one class alone has are in no intersection; with the leaders among the classes, the others beyond a leader's are known
-    there = waiting.select(F.explode(F.array("rep", "leader")).alias("rep")).distinct()
-    counted = sets.join(there, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    counted = sets.join(_present(waiting), "rep", "left_semi").select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
     alone = counted.where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     a_block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(8 * BLOCK_BYTES) / F.greatest(F.col("leader_size"), F.lit(1)))))
     beyond = (F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.col("shared")).alias("beyond")

@@ -62,3 +62,13 @@ def test_compaction_remembers_batches(spark, tmp_path):
     assert [(r["docs"], r["tokens"]) for r in token_counts.totals(spark, third).collect()] == [(4, 13)]
     token_counts.compact(spark, str(tmp_path / "none"), str(tmp_path / "empty"))
     assert token_counts.totals(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_classes_that_wait_are_not_multiplied(spark):
+    """A class waits in many buckets: what is counted is each class once, and no row of a bucket becomes two."""
+    from signalwatch.llm.minhash_dedup import _present
+
+    rows = [(key, rep, rep % 3) for key in range(50) for rep in range(3, 20)]
+    there = _present(spark.createDataFrame(rows, "key long, rep long, leader long"))
+    assert sorted(r[0] for r in there.collect()) == list(range(20))
+    assert "Generate" not in there._jdf.queryExecution().executedPlan().toString()
