@@ -1,5 +1,7 @@
 """The vector index against the exact search: recall at two sizes, hot lists, odd rows, later batches."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +59,27 @@ def test_odd_rows_and_batches(spark, tmp_path):
     assert [r["vec_id"] for r in first].count(500) == 1 and all(abs(r["cosine"] - 1) < 1e-9 for r in first)
     with pytest.raises(ValueError):
         vi.built(spark.createDataFrame(odd[1:3], kind), str(tmp_path / "none"))
+
+
+def test_the_sample(spark, monkeypatch):
+    """It is a written table, of the rows with the smallest hashes of all."""
+    monkeypatch.setattr(vi, "SAMPLE", 100)
+    rows = spark.range(1000).select("id", F.encode(F.col("id").cast("string"), "utf-8").alias("v"))
+    got = vi._sample(rows, 1000)
+    assert "Limit" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "TakeOrdered" not in plan
+    assert {r["id"] for r in got.collect()} == {r["id"] for r in rows.orderBy(F.xxhash64("id")).limit(100).collect()}
+    same = rows.withColumn("id", F.lit(1).cast("bigint"))
+    assert vi._sample(same, 1000).count() == 100 and vi._sample(rows.limit(50), 50).count() == 50
+
+
+def test_fitting_is_bounded(monkeypatch):
+    """Scores are told block by block: the driver never holds all points times all lists."""
+    points = np.random.default_rng(1).normal(size=(4000, 8))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    tracemalloc.start()
+    fitted = vi._fitted(points, 512, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 4000 * 512 / 2 and fitted.shape == (512, 8)
+    monkeypatch.setattr(vi, "BLOCK", 10_000)
+    assert np.allclose(vi._fitted(points, 512, 2), fitted)
