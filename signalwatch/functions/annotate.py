@@ -129,9 +129,13 @@ def language_segments(text: Column) -> Column:
 
 def dominant_language(segments: Column) -> Column:
     """The language with most characters, the first in segment order on a tie; en without any."""
-    names = F.array_distinct(F.transform(segments, lambda s: s["language"]))
-    totals = F.transform(names, lambda n, i: F.struct(F.aggregate(F.filter(segments, lambda s: s["language"] == n), F.lit(0), lambda a, s: a + s["stop"] - s["start"]).alias("n"), (-i).alias("first"), n.alias("language")))
-    return F.coalesce(F.array_max(totals)["language"], F.lit("en"))
+    def top(runs: Column) -> Column:
+        names = F.array_distinct(F.transform(runs, lambda s: s["language"]))
+        totals = F.transform(names, lambda n, i: F.struct(F.aggregate(F.filter(runs, lambda s: s["language"] == n), F.lit(0), lambda a, s: a + s["stop"] - s["start"]).alias("n"), (-i).alias("first"), n.alias("language")))
+        return F.array_max(totals)["language"]
+
+    # named once: segments would be found again for every language
+    return F.coalesce(let(segments, top), F.lit("en"))
 
 
 def needs_translation(segments: Column) -> Column:
