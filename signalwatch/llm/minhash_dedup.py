@@ -10,8 +10,8 @@ Links are exact on what the tables propose, and no group is ever paired out:
 2. Halves that no other class has are in no shared key, so only pairs of shared halves become table keys.
 3. In every table bucket the class with most copies leads; each member is checked against its leader. Copies of one text
    thus cost a number of checks in proportion to their number.
-4. Where a bucket still spans several components, its members outside the largest one are checked against all others, in
-   blocks of bounded size. Each check of step 3 leaves a bit for every shingle of the leader; the bits that two members share,
+4. Where the buckets of a leader still span several components, its members outside the largest one are checked against all others, in
+   blocks of bounded size; a member counts once for its leader, in however many buckets they meet. Each check of step 3 leaves a bit for every shingle of the leader; the bits that two members share,
    and the shingles beyond the leader's that others have too, bound their intersection from above. Pairs that pass go to the full sets.
 5. Components are contracted by joins. Sums by key are written before they are joined, so adaptive execution can split a hot key.
 
@@ -185,9 +185,10 @@ def grouped(docs: DataFrame, shingle: int, per_cent: int, rows: int = 3, miss: f
     # whole texts aren't shuffled: sets are made where texts lie, and the digest says which are meant
     found = full_sets(among(docs, "doc_id", wanted.select("least_id")), shingle)
     sets = keep(found.join(wanted.select("rep", "d0", "d1"), ["d0", "d1"]).dropDuplicates(["d0", "d1"]).select("rep", "shingles"))
-    star = keep(_led(keep(members.where("rep <> leader").select("rep", "leader").distinct()), sets, per_cent))
+    pairs = keep(members.where("rep <> leader").select("rep", "leader", "n_shingles", "leader_size").distinct())
+    star = keep(_led(pairs.select("rep", "leader"), sets, per_cent))
     links = star.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    rest = _beyond_leaders(members, star, sets, links, per_cent)
+    rest = _beyond_leaders(pairs, star, sets, links, per_cent)
     final = components(links if rest is None else links.unionByName(rest))
 
     named = about.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -199,18 +200,22 @@ def grouped(docs: DataFrame, shingle: int, per_cent: int, rows: int = 3, miss: f
 
 
 def _present(waiting: DataFrame) -> DataFrame:
-    """(rep): members and leaders of waiting, each once. A class waits in up to m*m buckets, so its rows are made one on each side before the two are put together."""
+    """(rep): members and leaders of waiting, each once. A class may wait with many leaders, so its rows are made one on each side before the two are put together."""
     return waiting.select("rep").distinct().unionByName(waiting.select(F.col("leader").alias("rep")).distinct()).distinct()
 
 
-def _beyond_leaders(members: DataFrame, star: DataFrame, sets: DataFrame, links: DataFrame, per_cent: int) -> DataFrame | None:
-    """Links (a, b) between members of buckets that their leaders leave in several components; None where there are none."""
+def _beyond_leaders(pairs: DataFrame, star: DataFrame, sets: DataFrame, links: DataFrame, per_cent: int) -> DataFrame | None:
+    """Links (a, b) between members of buckets that their leaders leave in several components; None where there are none.
+
+    pairs: rep, leader, n_shingles, leader_size, each pair once. All buckets of a leader are looked at as one, so rows are as many as pairs, not as places in up to
+    m*m buckets; members that share a bucket share its leader, so none of their pairs is lost.
+    """
     first = keep(components(links))
-    labelled = keep(members.where("rep <> leader").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    shares = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1")
-    split = keep(split.select("key", F.col("top.component").alias("top"), "total"))
-    waiting = keep(labelled.join(split, "key"))
+    labelled = keep(pairs.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    shares = labelled.groupBy("leader", "component").agg(F.count("*").alias("n"))
+    split = shares.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1")
+    split = keep(split.select("leader", F.col("top.component").alias("top"), "total"))
+    waiting = keep(labelled.join(split, "leader"))
     if not waiting.limit(1).count():
         return None
     # shingles that one class alone has are in no intersection; with the leaders among the classes, the others beyond a leader's are known
@@ -219,9 +224,9 @@ def _beyond_leaders(members: DataFrame, star: DataFrame, sets: DataFrame, links:
     a_block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(8 * BLOCK_BYTES) / F.greatest(F.col("leader_size"), F.lit(1)))))
     beyond = (F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.col("shared")).alias("beyond")
     marked = star.join(alone, "rep", "left").select("rep", "leader", "shared", "bits", "alone")
-    spread = waiting.join(marked, ["rep", "leader"]).withColumn("blocks", F.ceil(F.col("total") / a_block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    spread = waiting.join(marked, ["rep", "leader"]).withColumn("blocks", F.ceil(F.col("total") / a_block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "leader"), F.col("blocks")).cast("int"))
     row = F.struct("rep", "component", "n_shingles", beyond, "bits")
-    few = spread.where("component <> top").groupBy("key", F.col("block").alias("s"), "blocks").agg(F.collect_list(row).alias("few"))
-    many = spread.groupBy("key", F.col("block").alias("t")).agg(F.collect_list(row).alias("many"))
-    tasks = few.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(many, ["key", "t"]).select("few", "many")
+    few = spread.where("component <> top").groupBy("leader", F.col("block").alias("s"), "blocks").agg(F.collect_list(row).alias("few"))
+    many = spread.groupBy("leader", F.col("block").alias("t")).agg(F.collect_list(row).alias("many"))
+    tasks = few.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(many, ["leader", "t"]).select("few", "many")
     return confirmed(keep(_rest(tasks, per_cent)), sets, per_cent)

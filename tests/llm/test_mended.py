@@ -72,3 +72,24 @@ def test_classes_that_wait_are_not_multiplied(spark):
     there = _present(spark.createDataFrame(rows, "key long, rep long, leader long"))
     assert sorted(r[0] for r in there.collect()) == list(range(20))
     assert "Generate" not in there._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_meet_once_for_a_leader(spark, monkeypatch):
+    """Two members that share many buckets of a leader are compared once for it, and links that it doesn't make are found."""
+    from collections import Counter
+
+    from signalwatch.llm import minhash_dedup as m
+
+    word = lambda k: f"w{k} "
+    common = "".join(map(word, range(70)))
+    texts = [common + "".join(map(word, range(70, 100)))] * 3
+    texts += [common + "".join(map(word, range(1000 * k, 1000 * k + 28))) + f"x{j} " for k in range(1, 13) for j in range(2)]
+    tasks, stars = [], []
+    rest, led = m._rest, m._led
+    monkeypatch.setattr(m, "_rest", lambda t, p: (tasks.append(t.collect()), rest(t, p))[1])
+    monkeypatch.setattr(m, "_led", lambda star, *more: (stars.append(star.select("leader").distinct().count()), led(star, *more))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs, shingle=1, per_cent=80, rows=1, miss=1e-6).collect()}
+    assert got == {0: 0, 1: 0, 2: 0} | {k: k - (k - 3) % 2 for k in range(3, 27)}
+    met = Counter((x["rep"], y["rep"]) for t in tasks[0] for x in t["few"] for y in t["many"])
+    assert met and max(met.values()) <= stars[0]
