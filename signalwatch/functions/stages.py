@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import annotate as a
+from .names import hashed_rows
 
 Stage = Callable[[DataFrame], DataFrame]
 STAGES: dict[str, Stage] = {}
@@ -81,15 +82,10 @@ def md5_place(gram: str, width: int) -> tuple[int, int]:
 
 def hashed_name_model(width: int = 192, low: int = 3, high: int = 5, place: Callable[[str, int], tuple[int, int]] = _blake_place) -> Callable[[list[str]], np.ndarray]:
     """Signed feature hashing of character n-grams, unit length; `place` says where a gram goes, by default by BLAKE2b."""
+    rows = hashed_rows(width, low, high, place)
+
     def run(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), width))
-        for row, text in enumerate(texts):
-            padded = f" {text} "
-            if text.strip():
-                for n in range(low, high + 1):
-                    for i in range(len(padded) - n + 1):
-                        b, w = place(padded[i : i + n], width)
-                        out[row, b] += w
+        out = rows(texts)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return run
