@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,21 @@ def _blake_place(gram: str, width: int) -> tuple[int, int]:
     return int.from_bytes(h[:4], "little") % width, 1 if h[4] & 1 else -1
 
 
+def nonzero_weights(vectors: DataFrame) -> DataFrame:
+    """(id, b, w, most) of vectors (id, v array<float>): a row for each weight that isn't zero, with its place and the largest weight's size. Zeros, which are most, never become rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, n = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).value_lengths().fill_null(0).to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            b = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            most = np.zeros(len(n))
+            np.maximum.at(most, row, np.abs(w))
+            some = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(b[some].astype(np.int32)), pa.array(w[some]), pa.array(most[row[some]])], ["id", "b", "w", "most"])
+
+    return vectors.select("id", "v").mapInArrow(run, f"id {vectors.schema['id'].dataType.simpleString()}, b int, w float, most double")
+
+
 def md5_place(gram: str, width: int) -> tuple[int, int]:
     """The place and sign that names.hashed_vector gives a gram."""
     h = hashlib.md5(gram.encode(), usedforsecurity=False).hexdigest()

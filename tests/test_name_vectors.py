@@ -27,3 +27,11 @@ def test_names_are_dealt_out(spark):
     """A few files are a few tasks, so names go by id before they are hashed."""
     for name in ("f8_name_vectors", "x2_embedding_hook"):
         assert "hashpartitioning(id" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zeros_are_no_rows(spark):
+    from signalwatch.functions.stages import nonzero_weights
+
+    df = spark.createDataFrame([("a", [0.0, -0.5, 0.25]), ("b", [0.0, 0.0]), ("c", None), ("d", [])], "id string, v array<float>")
+    assert sorted(map(tuple, nonzero_weights(df).collect())) == [("a", 1, -0.5, 0.5), ("a", 2, 0.25, 0.5)]
+    assert "Generate" not in QUERIES["x2_embedding_hook"](spark, SF)._jdf.queryExecution().executedPlan().toString()
