@@ -41,20 +41,20 @@ def started(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int],
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True)
 
 
-def annotated(mentions: DataFrame) -> DataFrame:
-    """mentions (text) with language, redacted text, findings, sentiment and misinformation, all but the language on redacted text."""
+def annotated(mentions: DataFrame, on: str = "clean") -> DataFrame:
+    """mentions (text) with language, redacted text, findings, sentiment and misinformation; the last two on redacted text, or on the text as it came for on="text"."""
     found = mentions.withColumn("language", dominant_language(language_segments(F.col("text")))).withColumn("findings", pii_findings(F.col("text"))).withColumn("clean", redacted(F.col("text"), F.col("findings")))
-    return found.withColumn("sentiment", sentiment(F.col("clean"))).withColumn("misinformation", misinformation(F.col("clean")))
+    return found.withColumn("sentiment", sentiment(F.col(on))).withColumn("misinformation", misinformation(F.col(on)))
 
 
-def annotate_stream(mentions: DataFrame, normalized: str, annotations: str, checkpoint: str, vocabulary: DataFrame | None = None) -> DataStreamWriter:
-    """Two sinks from one pass; with a vocabulary, annotations have the entities of the redacted text."""
+def annotate_stream(mentions: DataFrame, normalized: str, annotations: str, checkpoint: str, vocabulary: DataFrame | None = None, on: str = "clean") -> DataStreamWriter:
+    """Two sinks from one pass; with a vocabulary, annotations have the entities. on: what is annotated, the redacted text or, for "text", the text as it came, whose cues and surfaces may stand in what is redacted."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = annotated(batch).persist()
+        done = annotated(batch, on).persist()
         write_keyed(done.select("mention_id", "project_id", "clean", "findings"), normalized, batch_id)
         out = done.select("mention_id", "project_id", "language", "sentiment", "misinformation")
         if vocabulary is not None:
-            found = dictionary_entities(done.select("mention_id", F.col("clean").alias("text")), vocabulary)
+            found = dictionary_entities(done.select("mention_id", F.col(on).alias("text")), vocabulary)
             found = found.groupBy("mention_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "code", "negated"))).alias("entities"))
             out = out.join(found, "mention_id", "left")
         write_keyed(out, annotations, batch_id)
