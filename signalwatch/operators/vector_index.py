@@ -176,7 +176,8 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, question: str =
     size = lambda rows, most, name: rows.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     piece = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
     packed = lambda rows, most, name: rows.join(F.broadcast(size(rows, most, "n")), "list").groupBy("list", piece("n").alias(name)).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}s"))
-    tasks = written(packed(stored, PIECE, "piece"), "pieces").join(packed(asked, BLOCK, "block"), "list")
+    # merged: files of vectors that repeat are small, so Spark would send such vectors, or the questions of all lists, to the driver and broadcast them
+    tasks = written(packed(stored, PIECE, "piece"), "pieces").hint("merge").join(packed(asked, BLOCK, "block").hint("merge"), "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

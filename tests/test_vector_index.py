@@ -83,3 +83,11 @@ def test_fitting_is_bounded(monkeypatch):
     assert peak < 8 * 4000 * 512 / 2 and fitted.shape == (512, 8)
     monkeypatch.setattr(vi, "BLOCK", 10_000)
     assert np.allclose(vi._fitted(points, 512, 2), fitted)
+
+
+def test_vectors_are_not_broadcast(spark, tmp_path):
+    """However small their files are, neither vectors nor questions go through the driver."""
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double"), F.lit(2.0)).alias("embedding"))
+    found = vi.search(vi.built(rows, str(tmp_path / "index")), rows.withColumnRenamed("vec_id", "question"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and found.count() == 1200
